@@ -109,3 +109,214 @@ ENTRIES: dict[str, Entry] = {
                                **_q("invoice_breakdown", doubles=("saas_fee", "seat_fee", "growth", "additional_items",
                                                                   "total_cv", "monthly_invoice_total"))),
 }
+
+
+# ---- 2.12 report operators ------------------------------------------------
+from ..oracle import reports_sql as RS  # noqa: E402
+from . import overview as ov  # noqa: E402
+from .month_report import enrolment_extras, tenant_month_report  # noqa: E402
+
+TMR_DOUBLES = ("seat_fee_min", "seat_fee_max", "seat_overage_fee", "airlock_fee", "exemption_fee", "import_fee",
+               "pba_fee", "rpl_fee", "enrollment_pct", "min_rev_share", "exp_rev_usd", "seat_exp_rev",
+               "completion_rate", "avg_full_month")
+MONEY = ("seat_rev", "share_rev", "lead_rev", "rpl_pba_rev", "course_rev", "expected_rev", "total_rev")
+PCTS = ("delta_m1_pct", "delta_y1_pct")
+
+
+def _base(wh, p=PAST):
+    return ov.overview_base(wh, p)
+
+
+def _cols(cols) -> str:
+    return ", ".join(cols)
+
+
+def _ob(cols, where: str = "", extra: str = "", **kw) -> dict:
+    sql = f"SELECT {_cols(cols)}{extra} FROM q_overview_base{where}"
+    return dict(sql_final=sql, sql_deps=("q_overview_base",), **kw)
+
+
+def _in(cols, pool):
+    return tuple(c for c in cols if c in pool)
+
+
+_SEAT_W = " WHERE revenue_model = 'SEAT_BASED'"
+_SHARE_W = " WHERE revenue_model = 'REVENUE_SHARE'"
+_SEAT_TOTAL_SUMS = [RS.sum_i("active_base"), RS.sum_i("new_enrol"), RS.sum_i("new_enrol_m1"), RS.sum_i("new_enrol_y1"),
+                    RS.sum_i("new_enrol_m1_mtd"), RS.sum_i("new_enrol_y1_mtd"), RS.sum_i("eom_enrol"),
+                    RS.sum_i("pauses_m1"), RS.sum_i("archives_m1"), RS.sum_i("net_additions"),
+                    RS.sum_money("seat_rev"), RS.sum_money("lead_rev"), RS.sum_money("rpl_pba_rev"),
+                    RS.sum_money("course_rev"), RS.sum_money("total_rev"),
+                    RS.sum_i("st_till_last_month"), RS.sum_i("st_new_this_month"),
+                    RS.sum_i("st_converted_this_month"), RS.sum_i("rpl_low"), RS.sum_i("rpl_high"),
+                    RS.sum_i("pba_count"), RS.sum_i("oxford_sbs")]
+_SHARE_TOTAL_SUMS = [RS.sum_i("new_enrol"), RS.sum_i("new_enrol_m1"), RS.sum_i("new_enrol_y1"),
+                     RS.sum_i("new_enrol_m1_mtd"), RS.sum_i("new_enrol_y1_mtd"), RS.sum_i("eom_enrol"),
+                     RS.sum_i("archived_30d"), RS.sum_i("net_revsh"),
+                     RS.sum_money("share_rev"), RS.sum_money("lead_rev"), RS.sum_money("rpl_pba_rev"),
+                     RS.sum_money("course_rev"), RS.sum_money("total_rev"),
+                     RS.sum_i("st_till_last_month"), RS.sum_i("st_new_this_month"),
+                     RS.sum_i("st_converted_this_month"), RS.sum_i("rpl_low"), RS.sum_i("rpl_high"),
+                     RS.sum_i("pba_count"), RS.sum_i("oxford_sbs")]
+_EOM_VAR = "CASE WHEN proj_sum <> 0 THEN eom_enrol - proj_sum END AS eom_variance,"
+_ENROL_TOTAL_SUMS = [RS.sum_i("new_enrol"), RS.sum_i("eom_enrol_fallback", "eom_est"), RS.sum_i("new_enrol_m1"),
+                     RS.sum_i("new_enrol_m1_mtd"), RS.sum_i("new_enrol_y1"), RS.sum_i("new_enrol_y1_mtd"),
+                     RS.sum_i("st_till_last_month"), RS.sum_i("st_wlh_count"), RS.sum_i("st_new_this_month"),
+                     RS.sum_i("st_converted_this_month"), RS.sum_i("pba_count"), RS.sum_i("rpl_admission"),
+                     RS.sum_i("rpl_low"), RS.sum_i("rpl_high"), RS.sum_i("oxford_sbs")]
+_ENROL_FINAL = ("CASE WHEN proj_sum <> 0 THEN eom_est >= proj_sum END AS eom_met, "
+                "CASE WHEN proj_sum <> 0 THEN CAST(round_even(eom_est / proj_sum * 100, 0) AS BIGINT) END "
+                "AS eom_pct_of_proj,")
+_FLAG_SQL = " UNION ALL ".join(
+    f"SELECT college_id, '{flag}' AS flag FROM q_tenant_month_report WHERE {cond}" for flag, cond in zip(
+        ov.OPPORTUNITY_FLAGS,
+        ("st_till_last_month > 0 AND st_converted_this_month = 0", "rpl_low = 0 AND rpl_high = 0", "pba_count = 0",
+         "oxford_sbs = 0 AND revenue_model = 'SEAT_BASED'", "new_enrol = 0")))
+_REV_OVERVIEW_SQL = ("SELECT t.id AS college_id, t.name, t.revenue_model, ib.invoice_name, "
+                     "ib.invoice_name IS NOT NULL AS has_invoice, "
+                     "CASE WHEN ib.invoice_name IS NOT NULL THEN ib.quarterly_status END AS quarterly_status, "
+                     "CASE WHEN ib.invoice_name IS NOT NULL THEN ib.invoice_status END AS invoice_status, "
+                     + ", ".join(f"CASE WHEN ib.invoice_name IS NOT NULL AND ib.{h} <> 0 THEN ib.{h} END AS {h}"
+                                 for h in ov.HEADS)
+                     + " FROM q_verified_tenants t LEFT JOIN q_invoice_breakdown ib ON ib.college_id = t.id")
+
+ENTRIES.update({
+    "tenant_month_report": Entry(lambda wh: tenant_month_report(wh, PAST),
+                                 sql_final="SELECT * FROM q_tenant_month_report",
+                                 sql_deps=("q_tenant_month_report",), doubles=TMR_DOUBLES, dates=("phase_start",)),
+    "tenant_month_report_current": Entry(lambda wh: tenant_month_report(wh, CURRENT),
+                                         sql_final="SELECT * FROM q_tenant_month_report",
+                                         sql_deps=("q_tenant_month_report",), doubles=TMR_DOUBLES,
+                                         dates=("phase_start",), period="current"),
+    "enrolment_extras": Entry(lambda wh: enrolment_extras(wh, PAST), sql_final="SELECT * FROM q_enrolment_extras",
+                              sql_deps=("q_enrolment_extras",)),
+    "squad_report": Entry(lambda wh: ov.squad_report(wh, PAST),
+                          sql_final="SELECT sq.squad, r.* FROM q_tenant_month_report r JOIN squads sq ON sq.name = r.name",
+                          sql_deps=("q_tenant_month_report", "squads"), doubles=TMR_DOUBLES, dates=("phase_start",)),
+    "lead_funnel": Entry(lambda wh: ov.lead_funnel(tenant_month_report(wh, PAST)),
+                         sql_final="""SELECT *,
+  CASE WHEN st_new > 0 THEN round_even(CAST(st_converted AS DOUBLE) / st_new * 100, 1) END AS conversion_pct,
+  CASE WHEN st_converted > 0 THEN round_even(CAST(enrolled AS DOUBLE) / st_converted * 100, 1) END AS enrol_of_converted_pct
+FROM (SELECT CAST(SUM(st_till_last_month) AS BIGINT) AS st_till, CAST(SUM(st_new_this_month) AS BIGINT) AS st_new,
+  CAST(SUM(st_converted_this_month) AS BIGINT) AS st_converted, CAST(SUM(new_enrol) AS BIGINT) AS enrolled
+  FROM q_tenant_month_report) s""", sql_deps=("q_tenant_month_report",),
+                         doubles=("conversion_pct", "enrol_of_converted_pct")),
+    "period_delta": Entry(lambda wh: ov.period_delta(_base(wh)),
+                          **_ob(("college_id", "new_enrol", "new_enrol_m1_mtd", "delta_m1", "delta_m1_pct",
+                                 "delta_m1_dir", "new_enrol_y1_mtd", "delta_y1", "delta_y1_pct", "delta_y1_dir"),
+                                doubles=PCTS)),
+    "projection_variance": Entry(lambda wh: ov.projection_variance(_base(wh)),
+                                 **_ob(("college_id", "new_enrol", "projected", "completion_rate", "variance",
+                                        "variance_mtd_based"), doubles=("completion_rate",))),
+    "eom_estimate": Entry(lambda wh: ov.eom_estimate(_base(wh)),
+                          **_ob(("college_id", "new_enrol", "projected", "eom_est", "eom_est_fallback", "eom_met",
+                                 "eom_pct_of_proj"))),
+    "revenue_components": Entry(lambda wh: ov.revenue_components(_base(wh)),
+                                **_ob(("college_id", "revenue_model", "seat_rev", "share_rev", "lead_rev",
+                                       "rpl_pba_rev", "course_rev", "expected_rev"),
+                                      doubles=MONEY[:-1])),
+    "total_revenue": Entry(lambda wh: ov.total_revenue(_base(wh)), **_ob(("college_id", "total_rev"),
+                                                                         doubles=("total_rev",))),
+    "section_kpis": Entry(lambda wh: ov.section_kpis(tenant_month_report(wh, PAST)),
+                          sql_final="SELECT revenue_model, COUNT(*) AS tenants, " + ", ".join(
+                              f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in
+                              ("new_enrol", "pauses_m1", "archives_m1", "net_additions", "archived_30d", "net_revsh"))
+                          + " FROM q_tenant_month_report GROUP BY revenue_model",
+                          sql_deps=("q_tenant_month_report",)),
+    "seat_overview": Entry(lambda wh: ov.seat_overview(_base(wh)),
+                           **_ob(ov.SEAT_COLUMNS, _SEAT_W,
+                                 doubles=_in(ov.SEAT_COLUMNS, MONEY + PCTS + ("seat_fee_min", "seat_fee_max")))),
+    "seat_overview_total": Entry(lambda wh: ov.seat_overview_total(_base(wh)),
+                                 sql_final=RS.totals_sql("SEAT_BASED", _SEAT_TOTAL_SUMS, _EOM_VAR),
+                                 sql_deps=("q_overview_base",), doubles=MONEY[:1] + MONEY[2:5] + MONEY[6:] + PCTS),
+    "seat_eom_revenue": Entry(lambda wh: ov.seat_eom_revenue(_base(wh)), sql_final="""SELECT *, eom_rev - total_rev AS eom_delta FROM (
+  SELECT SUM(CASE WHEN COALESCE(active_base, 0) > 0 AND seat_rev IS NOT NULL
+      THEN (CAST(COALESCE(active_base, 0) AS DOUBLE) + GREATEST(eom_enrol - new_enrol, 0)) * (seat_rev / CAST(COALESCE(active_base, 0) AS DOUBLE))
+      ELSE COALESCE(seat_rev, 0) END
+    + COALESCE(lead_rev, 0) + COALESCE(rpl_pba_rev, 0) + COALESCE(course_rev, 0)) AS eom_rev,
+  COALESCE(SUM(total_rev), 0) AS total_rev
+  FROM q_overview_base WHERE revenue_model = 'SEAT_BASED') t""", sql_deps=("q_overview_base",),
+                              doubles=("eom_rev", "total_rev", "eom_delta")),
+    "share_overview": Entry(lambda wh: ov.share_overview(_base(wh)),
+                            **_ob([c for c in ov.SHARE_COLUMNS if c != "share_rev_approximate"], _SHARE_W,
+                                  extra=", CASE WHEN share_rev IS NOT NULL THEN COALESCE(est_from_min_rev, 0) > 0 END"
+                                        " AS share_rev_approximate",
+                                  doubles=_in(ov.SHARE_COLUMNS, MONEY + PCTS + ("enrollment_pct",)))),
+    "share_overview_total": Entry(lambda wh: ov.share_overview_total(_base(wh)),
+                                  sql_final=RS.totals_sql("REVENUE_SHARE", _SHARE_TOTAL_SUMS, _EOM_VAR),
+                                  sql_deps=("q_overview_base",), doubles=MONEY[1:5] + MONEY[6:] + PCTS),
+    "share_eom_revenue": Entry(lambda wh: ov.share_eom_revenue(_base(wh)), sql_final="""SELECT *, eom_rev - total_rev AS eom_delta FROM (
+  SELECT COALESCE(SUM(CASE WHEN total_rev IS NOT NULL AND total_rev <> 0 THEN
+      CASE WHEN rel THEN total_rev / completion_rate ELSE total_rev END END), 0) AS eom_rev,
+  COALESCE(SUM(total_rev), 0) AS total_rev
+  FROM q_overview_base WHERE revenue_model = 'REVENUE_SHARE') t""", sql_deps=("q_overview_base",),
+                               doubles=("eom_rev", "total_rev", "eom_delta")),
+    "tenant_kpis": Entry(lambda wh: ov.tenant_kpis(tenant_month_report(wh, PAST)), sql_final="""SELECT college_id, name,
+  revenue_model, new_enrol, new_enrol - new_enrol_m1 AS enrol_change_m1, pauses, archives, net_additions,
+  CASE WHEN revenue_model = 'SEAT_BASED' THEN active_base ELSE st_converted_this_month END AS headline,
+  CASE WHEN revenue_model = 'SEAT_BASED' THEN 'active_base' ELSE 'st_conversions' END AS headline_kind
+FROM q_tenant_month_report""", sql_deps=("q_tenant_month_report",)),
+    "tenant_trend_net": Entry(lambda wh: ov.tenant_trend_net(act.tenant_trend(wh, PAST)),
+                              sql_final="SELECT * FROM q_tenant_trend_net", sql_deps=("q_tenant_trend_net",)),
+    "lead_conversion": Entry(lambda wh: ov.lead_conversion(tenant_month_report(wh, PAST)), sql_final="""SELECT college_id,
+  st_till_last_month, st_new_this_month, st_converted_this_month,
+  CASE WHEN st_new_this_month > 0 THEN round_even(CAST(st_converted_this_month AS DOUBLE) / st_new_this_month * 100, 1) END AS conversion_pct,
+  CASE WHEN st_new_this_month > 0 AND st_converted_this_month < st_new_this_month
+       THEN st_new_this_month - st_converted_this_month END AS unconverted_gap
+FROM q_tenant_month_report""", sql_deps=("q_tenant_month_report",), doubles=("conversion_pct",)),
+    "opportunity_flags": Entry(lambda wh: ov.opportunity_flags(tenant_month_report(wh, PAST)),
+                               sql_final=_FLAG_SQL, sql_deps=("q_tenant_month_report",)),
+    "revenue_overview": Entry(lambda wh: ov.revenue_overview(wh, BILLING_START), sql_final=_REV_OVERVIEW_SQL,
+                              sql_deps=("q_verified_tenants", "q_invoice_breakdown"), doubles=ov.HEADS),
+    "revenue_overview_total": Entry(lambda wh: ov.revenue_overview_total(ov.revenue_overview(wh, BILLING_START)),
+                                    sql_final="SELECT revenue_model, COUNT(*) AS tenants, COUNT(invoice_name) AS with_invoice, "
+                                              + ", ".join(f"NULLIF(COALESCE(SUM({h}), 0), 0) AS {h}" for h in ov.HEADS)
+                                              + f" FROM ({_REV_OVERVIEW_SQL}) r GROUP BY revenue_model",
+                                    sql_deps=("q_verified_tenants", "q_invoice_breakdown"), doubles=ov.HEADS),
+    "enrolment_overview_seat": Entry(lambda wh: ov.enrolment_overview_seat(_base(wh)),
+                                     **_ob(ov.ENROL_COMMON + ("active_base", "pauses_m1", "archives_m1", "net_additions"),
+                                           _SEAT_W, doubles=PCTS)),
+    "enrolment_overview_seat_total": Entry(lambda wh: ov.enrolment_overview_seat_total(_base(wh)),
+                                           sql_final=RS.totals_sql("SEAT_BASED", _ENROL_TOTAL_SUMS + [
+                                               RS.sum_i("active_base"), RS.sum_i("pauses_m1"), RS.sum_i("archives_m1"),
+                                               RS.sum_i("net_additions")], _ENROL_FINAL),
+                                           sql_deps=("q_overview_base",), doubles=PCTS),
+    "enrolment_overview_share": Entry(lambda wh: ov.enrolment_overview_share(_base(wh)),
+                                      **_ob(ov.ENROL_COMMON + ("archived_30d", "net_revsh"), _SHARE_W, doubles=PCTS)),
+    "enrolment_overview_share_total": Entry(lambda wh: ov.enrolment_overview_share_total(_base(wh)),
+                                            sql_final=RS.totals_sql("REVENUE_SHARE", _ENROL_TOTAL_SUMS + [
+                                                RS.sum_i("archived_30d"), RS.sum_i("net_revsh")], _ENROL_FINAL),
+                                            sql_deps=("q_overview_base",), doubles=PCTS),
+    "display_columns": Entry(lambda wh: ov.display_columns(_base(wh)), sql_final=RS.display_sql(),
+                             sql_deps=("q_overview_base",)),
+    # ---- 2.1 sources: side dimensions -----------------------------------
+    "dim_projections": Entry(lambda wh: dims.projections(wh), sql_final="SELECT * FROM projections",
+                             sql_deps=("projections",)),
+    "dim_fees": Entry(lambda wh: dims.fees(wh), sql_final="SELECT * FROM fees", sql_deps=("fees",)),
+    "dim_squads": Entry(lambda wh: dims.squads(wh), sql_final="SELECT * FROM squads", sql_deps=("squads",)),
+    "dim_short_names": Entry(lambda wh: dims.with_label(
+        enr.verified_tenants(wh).select(F.col("id").alias("college_id"), "name"), dims.short_names(wh)),
+        sql_final="SELECT t.id AS college_id, t.name, COALESCE(sn.short_name, t.name) AS label "
+                  "FROM q_verified_tenants t LEFT JOIN short_names sn ON sn.name = t.name",
+        sql_deps=("q_verified_tenants", "short_names")),
+    "dim_featured_courses": Entry(lambda wh: dims.featured_courses(wh), sql_final="SELECT * FROM featured_courses",
+                                  sql_deps=("featured_courses",)),
+})
+
+# ---- 2.1 S01 table binding: every operational table, checked against its recipe ----
+_TABLE_DOUBLES = {"degrees": ("tuition_cost",), "prices": ("price",), "invoice_purchase_overrides": ("tuition_due",),
+                  "invoices": ("amount",), "purchases": ("rev_share",), "custom_prices": ("price",)}
+_TABLE_TS = {"degree_students": ("created", "pause_started", "pause_ended", "delisted_timestamp"),
+             "activities": ("created",), "st_students": ("created",), "subscription_phases": ("version",),
+             "invoices": ("billing_started",), "purchases": ("created",), "rpl_exemption_requests": ("processed",),
+             "degree_student_services": ("rpl",), "ams_course_students": ("created",)}
+
+
+def _binding_entry(name: str) -> Entry:
+    return Entry(lambda wh: wh.table(name), sql_final=f"SELECT * FROM {name}", sql_deps=(name,),
+                 doubles=_TABLE_DOUBLES.get(name, ()), timestamps=_TABLE_TS.get(name, ()))
+
+
+from ..sources.warehouse import OPERATIONAL_TABLES  # noqa: E402
+
+ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES})

@@ -29,6 +29,7 @@ class Entry:
     sql_deps: tuple[str, ...] = ()
     doubles: tuple[str, ...] = ()
     dates: tuple[str, ...] = ()
+    timestamps: tuple[str, ...] = ()
     period: str = "past"                    # which Period the oracle SQL uses
     extra: dict = field(default_factory=dict)
 
@@ -47,11 +48,12 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def wrap_sql(sql: str, doubles, dates) -> str:
-    if not doubles and not dates:
+def wrap_sql(sql: str, doubles, dates, timestamps=()) -> str:
+    if not doubles and not dates and not timestamps:
         return sql
     repl = [f"ROUND(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in doubles]
     repl += [f"strftime(CAST({c} AS DATE), '%Y-%m-%d') AS {c}" for c in dates]
+    repl += [f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {c}" for c in timestamps]
     return f"SELECT * REPLACE ({', '.join(repl)}) FROM (\n{sql}\n) AS q"
 
 
@@ -69,5 +71,9 @@ def make_sql(entry: Entry) -> str | None:
         return None
     from .catalog import BILLING_START, PERIODS
 
-    reg = M.cte_registry(PERIODS[entry.period], BILLING_START)
-    return wrap_sql(M.build(entry.sql_final, entry.sql_deps, reg), entry.doubles, entry.dates)
+    from ..oracle.reports_sql import report_ctes
+
+    p = PERIODS[entry.period]
+    reg = M.cte_registry(p, BILLING_START)
+    reg.update(report_ctes(p))
+    return wrap_sql(M.build(entry.sql_final, entry.sql_deps, reg), entry.doubles, entry.dates, entry.timestamps)
