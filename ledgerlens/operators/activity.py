@@ -87,6 +87,29 @@ def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = No
     )
 
 
+def activity_counts_from_rollup(daily: DataFrame, p: Period) -> DataFrame:
+    """M02 and M03 columns per tenant from a rollup, by conditional sums only.
+
+    No row filter is applied to ``daily``, so Catalyst cannot push a
+    different date range into each consumer and the rollup's exchange is
+    computed once and reused. Tenants without activity in a window get 0,
+    which is what the month report does after its left join anyway.
+    """
+    month = _between(p.first, p.last)
+    m1 = _between(p.m1_first, p.m1_last)
+    return daily.groupBy("college_id").agg(
+        _sum_if(month, "n_enrol").alias("new_enrol"),
+        _sum_if(month, "n_pause").alias("pauses"),
+        _sum_if(month, "n_archive").alias("archives"),
+        _sum_if(m1, "n_enrol").alias("new_enrol_m1"),
+        _sum_if(m1, "n_pause").alias("pauses_m1"),
+        _sum_if(m1, "n_archive").alias("archives_m1"),
+        _sum_if(_between(p.m1_first, p.m1_cap), "n_enrol").alias("new_enrol_m1_mtd"),
+        _sum_if(_between(p.y1_first, p.y1_last), "n_enrol").alias("new_enrol_y1"),
+        _sum_if(_between(p.y1_first, p.y1_cap), "n_enrol").alias("new_enrol_y1_mtd"),
+    )
+
+
 # ---- M14: seasonality-aware completion rate ------------------------------
 
 def monthly_mtd_history(wh: Warehouse, p: Period, through_day: int | None = None,
@@ -94,14 +117,18 @@ def monthly_mtd_history(wh: Warehouse, p: Period, through_day: int | None = None
     """(college_id, mo, mtd_count, total_month) over the 18 months before the month."""
     through_day = p.today_day if through_day is None else through_day
     lo, hi = p.history_first, date.fromordinal(p.first.toordinal() - 1)
-    daily = daily if daily is not None else activity_daily(wh, lo, hi)
+    if daily is None:
+        daily = activity_daily(wh, lo, hi)
+    # Window membership is a condition inside the sums (not a row filter) so
+    # a shared rollup stays one subtree; empty months drop out afterwards.
+    window = _between(lo, hi)
     return (
-        daily.where(_between(lo, hi) & (F.col("n_enrol") > 0))
-        .groupBy("college_id", F.trunc("d", "MM").alias("mo"))
+        daily.groupBy("college_id", F.trunc("d", "MM").alias("mo"))
         .agg(
-            _sum_if(F.dayofmonth("d") <= F.lit(through_day), "n_enrol").alias("mtd_count"),
-            F.sum("n_enrol").cast("bigint").alias("total_month"),
+            _sum_if(window & (F.dayofmonth("d") <= F.lit(through_day)), "n_enrol").alias("mtd_count"),
+            _sum_if(window, "n_enrol").alias("total_month"),
         )
+        .where(F.col("total_month") > 0)
     )
 
 

@@ -48,6 +48,32 @@ def active_base(wh: Warehouse, p: Period) -> DataFrame:
     )
 
 
+def enrolment_pass(wh: Warehouse, p: Period, ps: DataFrame | None = None) -> DataFrame:
+    """One scan of ``degree_students`` feeding M04/M05, M06, M08 and M10.
+
+    Enrolments meet the per-tenant phase start (one row per tenant, a
+    broadcast-sized build side) and are reduced to per-(tenant, degree)
+    counts by a map-side partial aggregate, so a hot tenant costs no more
+    shuffle than a cold one.
+    """
+    ps = (ps if ps is not None else phase_start(wh)).select("college_id", "phase_date")
+    ds = wh.table("degree_students").select(
+        "college_id", "degree_id", "status", "created", "pause_started", "pause_ended", "delisted_timestamp",
+        "has_activity_before_invitation", "is_pba_converted")
+    active = active_filter(p)
+    in_month = on_or_between("created", p.first, p.last)
+    has_phase = F.col("phase_date").isNotNull()
+    since_phase = day("created") >= day("phase_date")
+    return ds.join(ps, "college_id", "left").groupBy("college_id", "degree_id").agg(
+        count_if(active & (~has_phase | since_phase)).alias("active_base"),
+        count_if(active & has_phase & since_phase).alias("seat_billable"),
+        count_if(in_month & is_true("has_activity_before_invitation")).alias("st_converted_this_month"),
+        count_if(is_true("is_pba_converted") & in_month).alias("pba_count"),
+        count_if((F.col("status") == "ARCHIVED") & on_or_between("created", p.refund_window_first, p.last))
+        .alias("archived_30d"),
+    )
+
+
 def conversion_admission_counts(wh: Warehouse, p: Period) -> DataFrame:
     """st_converted_this_month and pba_count; every tenant with an enrolment appears."""
     ds = wh.table("degree_students")

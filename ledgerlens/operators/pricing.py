@@ -42,6 +42,11 @@ def latest_phase(wh: Warehouse) -> DataFrame:
     )
 
 
+def priced(wh: Warehouse) -> DataFrame:
+    """Public handle on the price x product x service dimension (shared by a report)."""
+    return _priced(wh)
+
+
 def _priced(wh: Warehouse) -> DataFrame:
     """prices x products x services: (phase_id, college_id, degree_id, kind, price)."""
     pr = wh.table("prices").select("phase_id", F.col("product_id"), "price")
@@ -51,17 +56,31 @@ def _priced(wh: Warehouse) -> DataFrame:
         "phase_id", "college_id", "degree_id", "kind", "price")
 
 
-def seat_fee_per_degree(wh: Warehouse) -> DataFrame:
+def seat_fee_per_degree(wh: Warehouse, priced: DataFrame | None = None, ps: DataFrame | None = None) -> DataFrame:
     """Highest positive SEAT price per (tenant, degree) in the max-id phase."""
-    ps = phase_start(wh).select("phase_id")
+    ps = (ps if ps is not None else phase_start(wh)).select("phase_id")
+    priced = priced if priced is not None else _priced(wh)
     return (
-        _priced(wh).where((F.col("kind") == "SEAT") & (F.col("price") > 0))
+        priced.where((F.col("kind") == "SEAT") & (F.col("price") > 0))
         .join(ps, "phase_id")
         .groupBy("college_id", "degree_id")
         .agg(F.max("price").alias("seat_fee"))
     )
 
 
+def seat_revenue_from_counts(counts: DataFrame, fees: DataFrame) -> DataFrame:
+    """M06 from per-(tenant, degree) billable counts: SUM(fee) over enrolments = SUM(n x fee)."""
+    return (
+        counts.join(fees, ["college_id", "degree_id"], "left")
+        .groupBy("college_id")
+        .agg(F.sum(F.when(F.col("seat_billable") > 0, F.col("seat_billable") * F.col("seat_fee")))
+             .alias("seat_exp_rev"),
+             F.sum("seat_billable").alias("_n"))
+        .where(F.col("_n") > 0)
+        .drop("_n")
+    )
+
+
 def seat_expected_revenue(wh: Warehouse, p: Period) -> DataFrame:
     """M06b (current) / M06c (past): sum of seat fees over active enrolments since phase start."""
     from .enrolment import active_filter
@@ -78,11 +97,12 @@ def seat_expected_revenue(wh: Warehouse, p: Period) -> DataFrame:
     )
 
 
-def degree_fee_pivot(wh: Warehouse) -> DataFrame:
+def degree_fee_pivot(wh: Warehouse, priced: DataFrame | None = None, lp: DataFrame | None = None) -> DataFrame:
     """enrollment_pct and min_rev_share per (tenant, degree) in the latest phase."""
-    lp = latest_phase(wh).select("phase_id")
+    lp = (lp if lp is not None else latest_phase(wh)).select("phase_id")
+    priced = priced if priced is not None else _priced(wh)
     return (
-        _priced(wh).join(lp, "phase_id")
+        priced.join(lp, "phase_id")
         .groupBy("college_id", "degree_id")
         .agg(
             F.max(F.when(F.col("kind") == "ENROLLMENT", F.col("price"))).alias("enrollment_pct"),
@@ -91,10 +111,11 @@ def degree_fee_pivot(wh: Warehouse) -> DataFrame:
     )
 
 
-def pricing_config(wh: Warehouse) -> DataFrame:
+def pricing_config(wh: Warehouse, priced: DataFrame | None = None, lp: DataFrame | None = None) -> DataFrame:
     """The fee configuration of each tenant's latest phase (positive prices only)."""
-    lp = latest_phase(wh).select("phase_id", "phase_start")
-    cur = _priced(wh).where(F.col("price") > 0).join(lp, "phase_id")
+    lp = (lp if lp is not None else latest_phase(wh)).select("phase_id", "phase_start")
+    priced = priced if priced is not None else _priced(wh)
+    cur = priced.where(F.col("price") > 0).join(lp, "phase_id")
 
     def kind_max(kind: str):
         return F.max(F.when(F.col("kind") == kind, F.col("price")))
@@ -107,3 +128,34 @@ def pricing_config(wh: Warehouse) -> DataFrame:
         kind_max("ENROLLMENT").alias("enrollment_pct"),
         kind_max("MIN_REV_SHARE").alias("min_rev_share"),
     )
+
+
+def dimension_views() -> dict:
+    """Period-independent views over the price and phase dimensions (materialisable)."""
+    def fee_pivot(wh):
+        return degree_fee_pivot(wh, _view(wh, "priced"), _view(wh, "latest_phase"))
+
+    def seat_fees(wh):
+        return seat_fee_per_degree(wh, _view(wh, "priced"), _view(wh, "phase_start"))
+
+    def pricing(wh):
+        return pricing_config(wh, _view(wh, "priced"), _view(wh, "latest_phase"))
+
+    return {
+        "phase_start": phase_start,
+        "latest_phase": latest_phase,
+        "priced": _priced,
+        "degree_fee_pivot": fee_pivot,
+        "seat_fee_per_degree": seat_fees,
+        "pricing_config": pricing,
+    }
+
+
+def _view(wh: Warehouse, name: str) -> DataFrame | None:
+    return wh.view(name)
+
+
+def view_or_build(wh: Warehouse, name: str) -> DataFrame:
+    """The materialised view when present, else the plan that builds it."""
+    v = wh.view(name)
+    return v if v is not None else dimension_views()[name](wh)

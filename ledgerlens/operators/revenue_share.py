@@ -77,13 +77,14 @@ def share_branch(fee_pct, tuition, floor, deg_avg, tenant_avg):
             .otherwise(4))
 
 
-def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False) -> DataFrame:
+def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False,
+                           fees: DataFrame | None = None) -> DataFrame:
     """exp_rev_usd = ROUND(SUM(waterfall), 0) and est_from_min_rev per tenant.
 
     With ``with_rows`` the per-enrolment rows (value and branch) are returned
     instead, which the tests use to check the branch counts.
     """
-    fees = degree_fee_pivot(wh)
+    fees = fees if fees is not None else degree_fee_pivot(wh)
     ne = new_enrolment_tuition(wh, p)
     ar = avg_share_per_degree_3m(wh, p, fees).withColumnRenamed("avg_rev_share", "deg_avg")
     cr = avg_share_per_tenant(wh, fees).withColumnRenamed("avg_rev_share", "tenant_avg")

@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import Period
-from ..operators.activity import activity_counts_month, activity_counts_prior, activity_daily, completion_rates
-from ..operators.enrolment import (active_base, conversion_admission_counts, exemption_counts,
-                                   featured_course_counts, refund_window_archives, rpl_admissions,
+from ..operators.activity import activity_counts_from_rollup, activity_daily, completion_rates
+from ..operators.enrolment import (enrolment_pass, exemption_counts, featured_course_counts, rpl_admissions,
                                    verified_tenants)
 from ..operators.leads import lead_counts, lead_workload
-from ..operators.pricing import pricing_config, seat_expected_revenue
+from ..operators.pricing import seat_revenue_from_counts, view_or_build
 from ..operators.revenue_share import expected_share_revenue
 from ..sources import dims
 from ..sources.warehouse import Warehouse
@@ -37,33 +36,31 @@ COUNT_COLUMNS = (
 def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = None) -> DataFrame:
     """One row per verified tenant with every metric of the month."""
     featured = featured if featured is not None else dims.featured_courses(wh)
+    # Shared inputs: one bounded activity rollup, one enrolment pass, one copy
+    # of each phase / price dimension.
     daily = activity_daily(wh, p.history_first, p.last)
+    ps = view_or_build(wh, "phase_start")
+    enrol = enrolment_pass(wh, p, ps)
+    per_tenant = enrol.groupBy("college_id").agg(
+        *[F.sum(c).cast("bigint").alias(c)
+          for c in ("active_base", "st_converted_this_month", "pba_count", "archived_30d")])
     tenants = verified_tenants(wh).select(F.col("id").alias("college_id"), "name", "revenue_model")
 
-    counted = [
-        activity_counts_month(wh, p, daily),
-        activity_counts_prior(wh, p, daily),
-        active_base(wh, p),
+    parts = [
+        activity_counts_from_rollup(daily, p),
+        per_tenant,
         lead_counts(wh, p),
-        conversion_admission_counts(wh, p),
         exemption_counts(wh, p),
         featured_course_counts(wh, p, featured),
-        refund_window_archives(wh, p),
+        view_or_build(wh, "pricing_config").withColumn("phase_start", F.to_date("phase_start")),
+        expected_share_revenue(wh, p, fees=view_or_build(wh, "degree_fee_pivot")),
+        seat_revenue_from_counts(enrol, view_or_build(wh, "seat_fee_per_degree")),
+        completion_rates(wh, p, daily=daily),
     ]
     df = tenants
-    for m in counted:
-        df = df.join(m, "college_id", "left")
+    for part in parts:
+        df = df.join(part, "college_id", "left")
     df = df.fillna(0, subset=list(COUNT_COLUMNS))
-
-    priced = [
-        pricing_config(wh).withColumn("phase_start", F.to_date("phase_start")),
-        expected_share_revenue(wh, p),
-        seat_expected_revenue(wh, p),
-        completion_rates(wh, p, daily=daily),
-    ]
-    for m in priced:
-        df = df.join(m, "college_id", "left")
-
     return (
         df.withColumn("active_base", F.when(F.col("revenue_model") == "SEAT_BASED", F.col("active_base")))
         .withColumn("net_additions", F.col("new_enrol") - F.col("pauses_m1") - F.col("archives_m1"))

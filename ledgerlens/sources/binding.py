@@ -57,5 +57,15 @@ def bound_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     # Side dimensions are derived from base tables; keep the base loader too.
     src = Warehouse.from_testdata(spark, sf_dir)
     wh._loader = src._loader
+    from ..operators.pricing import dimension_views
+
+    views = dimension_views()
+    vroot = f"{root}/_views"
+    if not _exists(spark, _marker_path(vroot)):
+        wh.materialize_views(vroot, views)
+        _touch(spark, _marker_path(vroot))
+    else:
+        for name in views:
+            wh._views[name] = spark.read.parquet(f"{vroot}/{name}")
     _BOUND[key] = wh
     return wh

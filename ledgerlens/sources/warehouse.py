@@ -18,8 +18,6 @@ reuses the same logical subtree (and Spark reuses the exchange).
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +66,7 @@ class Warehouse:
         self.spark = spark
         self._loader = loader
         self._bound: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
 
     # ---- construction -------------------------------------------------
     @classmethod
@@ -100,11 +99,28 @@ class Warehouse:
         warehouse these tables would also be partitioned by month.
         """
         root = root.rstrip("/")
-        for name in OPERATIONAL_TABLES:
+        for name in OPERATIONAL_TABLES:       # dependency order
             df = self.table(name)
             if name in TIME_SORTED:
                 df = df.sortWithinPartitions(TIME_SORTED[name])
             df.write.mode(mode).parquet(f"{root}/{name}")
+            # Later tables derive from the written copy, not the derivation.
+            self._bound[name] = self.spark.read.parquet(f"{root}/{name}")
+
+    def view(self, name: str) -> DataFrame | None:
+        """A materialised, period-independent dimension view, if one was written."""
+        return self._views.get(name)
+
+    def materialize_views(self, root: str, builders: dict, mode: str = "overwrite") -> None:
+        """Write each ``name -> builder(wh)`` view under ``root`` and read it back.
+
+        Used for slow-changing views over the dimension tables (current phase,
+        price configuration); a scheduled refresh rewrites them.
+        """
+        root = root.rstrip("/")
+        for name, build in builders.items():
+            build(self).write.mode(mode).parquet(f"{root}/{name}")
+            self._views[name] = self.spark.read.parquet(f"{root}/{name}")
 
     def base(self, name: str) -> DataFrame:
         if name not in self._bound:
@@ -128,7 +144,7 @@ class Warehouse:
         return self._bound[name]
 
     # ---- tenants and catalogue ----------------------------------------
-    @cached_property
+    @property
     def orgs(self) -> DataFrame:
         def build():
             n = self.base("nation")
@@ -140,7 +156,7 @@ class Warehouse:
             )
         return self._get("orgs", build)
 
-    @cached_property
+    @property
     def degrees(self) -> DataFrame:
         def build():
             n = self.base("nation")
@@ -152,21 +168,21 @@ class Warehouse:
             )
         return self._get("degrees", build)
 
-    @cached_property
+    @property
     def services(self) -> DataFrame:
         def build():
             rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("kind")) for i, k in SERVICE_KINDS])
             return self.spark.range(1).select(F.explode(rows).alias("s")).select("s.id", "s.kind")
         return self._get("services", build)
 
-    @cached_property
+    @property
     def subscriptions(self) -> DataFrame:
         def build():
             n = self.base("nation")
             return n.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("college_id"))
         return self._get("subscriptions", build)
 
-    @cached_property
+    @property
     def subscription_phases(self) -> DataFrame:
         def build():
             s = self.base("supplier")
@@ -177,7 +193,7 @@ class Warehouse:
             )
         return self._get("subscription_phases", build)
 
-    @cached_property
+    @property
     def products(self) -> DataFrame:
         def build():
             d = self.degrees
@@ -189,7 +205,7 @@ class Warehouse:
             )
         return self._get("products", build)
 
-    @cached_property
+    @property
     def prices(self) -> DataFrame:
         def build():
             ph = self.subscription_phases.alias("ph")
@@ -213,7 +229,7 @@ class Warehouse:
         return self._get("prices", build)
 
     # ---- enrolments and activity --------------------------------------
-    @cached_property
+    @property
     def degree_students(self) -> DataFrame:
         def build():
             o = self.base("orders")
@@ -238,7 +254,7 @@ class Warehouse:
             )
         return self._get("degree_students", build)
 
-    @cached_property
+    @property
     def activities(self) -> DataFrame:
         def build():
             ds = self.degree_students
@@ -256,7 +272,7 @@ class Warehouse:
             )
         return self._get("activities", build)
 
-    @cached_property
+    @property
     def students(self) -> DataFrame:
         def build():
             c = self.base("customer")
@@ -264,7 +280,7 @@ class Warehouse:
                             F.col("c_nationkey").alias("college_id"))
         return self._get("students", build)
 
-    @cached_property
+    @property
     def st_students(self) -> DataFrame:
         def build():
             c = self.base("customer")
@@ -278,7 +294,7 @@ class Warehouse:
             )
         return self._get("st_students", build)
 
-    @cached_property
+    @property
     def invoice_purchase_overrides(self) -> DataFrame:
         def build():
             ds = self.degree_students
@@ -290,7 +306,7 @@ class Warehouse:
             )
         return self._get("invoice_purchase_overrides", build)
 
-    @cached_property
+    @property
     def rpl_exemption_requests(self) -> DataFrame:
         def build():
             ds = self.degree_students
@@ -304,7 +320,7 @@ class Warehouse:
             )
         return self._get("rpl_exemption_requests", build)
 
-    @cached_property
+    @property
     def degree_student_services(self) -> DataFrame:
         def build():
             ds = self.degree_students
@@ -315,7 +331,7 @@ class Warehouse:
         return self._get("degree_student_services", build)
 
     # ---- courses -------------------------------------------------------
-    @cached_property
+    @property
     def courses(self) -> DataFrame:
         def build():
             p = self.base("part")
@@ -323,7 +339,7 @@ class Warehouse:
                             F.col("p_name").alias("name"))
         return self._get("courses", build)
 
-    @cached_property
+    @property
     def ams_course_students(self) -> DataFrame:
         def build():
             li = self.base("lineitem")
@@ -335,7 +351,7 @@ class Warehouse:
         return self._get("ams_course_students", build)
 
     # ---- billing -------------------------------------------------------
-    @cached_property
+    @property
     def invoices(self) -> DataFrame:
         def build():
             n = self.base("nation")
@@ -355,7 +371,7 @@ class Warehouse:
             )
         return self._get("invoices", build)
 
-    @cached_property
+    @property
     def custom_prices(self) -> DataFrame:
         def build():
             i = self.invoices
@@ -370,7 +386,7 @@ class Warehouse:
             )
         return self._get("custom_prices", build)
 
-    @cached_property
+    @property
     def purchases(self) -> DataFrame:
         def build():
             li = self.base("lineitem")
