@@ -87,26 +87,84 @@ def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = No
     )
 
 
-def activity_counts_from_rollup(daily: DataFrame, p: Period) -> DataFrame:
-    """M02 and M03 columns per tenant from a rollup, by conditional sums only.
+def activity_monthly(wh: Warehouse, lo: date, hi: date, through_day: int) -> DataFrame:
+    """(college_id, mo, n_enrol, n_enrol_mtd, n_pause, n_archive) for days in [lo, hi].
 
-    No row filter is applied to ``daily``, so Catalyst cannot push a
-    different date range into each consumer and the rollup's exchange is
-    computed once and reused. Tenants without activity in a window get 0,
-    which is what the month report does after its left join anyway.
+    ``n_enrol_mtd`` counts enrolments on or before day ``through_day`` of the
+    month: the capped month-to-date count of M03 and the MTD count of M14.
     """
-    month = _between(p.first, p.last)
-    m1 = _between(p.m1_first, p.m1_last)
-    return daily.groupBy("college_id").agg(
-        _sum_if(month, "n_enrol").alias("new_enrol"),
-        _sum_if(month, "n_pause").alias("pauses"),
-        _sum_if(month, "n_archive").alias("archives"),
-        _sum_if(m1, "n_enrol").alias("new_enrol_m1"),
-        _sum_if(m1, "n_pause").alias("pauses_m1"),
-        _sum_if(m1, "n_archive").alias("archives_m1"),
-        _sum_if(_between(p.m1_first, p.m1_cap), "n_enrol").alias("new_enrol_m1_mtd"),
-        _sum_if(_between(p.y1_first, p.y1_last), "n_enrol").alias("new_enrol_y1"),
-        _sum_if(_between(p.y1_first, p.y1_cap), "n_enrol").alias("new_enrol_y1_mtd"),
+    a = wh.table("activities")
+    d = day("created")
+    cond = F.col("kind").isin(*KINDS) & (d >= lit_date(lo)) & (d <= lit_date(hi))
+    enrol = F.col("kind") == ENROL
+    return (
+        a.where(cond)
+        .groupBy("college_id", F.trunc(d, "MM").alias("mo"))
+        .agg(
+            count_if(enrol).alias("n_enrol"),
+            count_if(enrol & (F.dayofmonth(d) <= F.lit(through_day))).alias("n_enrol_mtd"),
+            count_if(F.col("kind") == PAUSE).alias("n_pause"),
+            count_if(F.col("kind") == ARCHIVE).alias("n_archive"),
+        )
+    )
+
+
+def month_report_activity(wh: Warehouse, p: Period) -> DataFrame:
+    """M02, M03 and M14 columns per tenant from a single bounded scan of ``activities``.
+
+    The monthly rollup is aggregated once more per tenant. The 18-month
+    history needed by M14 travels as a per-tenant array of at most 18
+    (month, mtd, total) entries - bounded by the calendar, not by the data -
+    and the top-4 / same-month-last-year / preceding-months averages are
+    array expressions, so no window and no second scan is needed.
+    """
+    monthly = activity_monthly(wh, p.history_first, p.last, p.today_day)
+    mo = F.col("mo")
+
+    def at(month: date, col: str):
+        return F.coalesce(F.sum(F.when(mo == lit_date(month), F.col(col))), F.lit(0)).cast("bigint")
+
+    in_hist = (mo >= lit_date(p.history_first)) & (mo < lit_date(p.first)) & (F.col("n_enrol") > 0)
+    entry = F.struct(mo.alias("mo"), F.col("n_enrol_mtd").alias("mtd"), F.col("n_enrol").alias("total"))
+    agg = monthly.groupBy("college_id").agg(
+        at(p.first, "n_enrol").alias("new_enrol"),
+        at(p.first, "n_pause").alias("pauses"),
+        at(p.first, "n_archive").alias("archives"),
+        at(p.m1_first, "n_enrol").alias("new_enrol_m1"),
+        at(p.m1_first, "n_pause").alias("pauses_m1"),
+        at(p.m1_first, "n_archive").alias("archives_m1"),
+        at(p.m1_first, "n_enrol_mtd").alias("new_enrol_m1_mtd"),
+        at(p.y1_first, "n_enrol").alias("new_enrol_y1"),
+        at(p.y1_first, "n_enrol_mtd").alias("new_enrol_y1_mtd"),
+        F.sort_array(F.collect_list(F.when(in_hist, entry)), asc=False).alias("hist"),
+    )
+    return completion_from_history(agg, p).drop("hist")
+
+
+def _rate(x):
+    return x["mtd"].cast("double") / x["total"].cast("double")
+
+
+def _avg(arr, value):
+    n = F.size(arr)
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + value(x))
+    return F.when(n > 0, total / n)
+
+
+def completion_from_history(df: DataFrame, p: Period) -> DataFrame:
+    """M14 from ``hist`` (months with enrolments, newest first): adds completion_rate, avg_full_month."""
+    top4 = F.slice(F.col("hist"), 1, 4)
+    y1 = lit_date(add_months(p.first, -12))
+    prev_lo = lit_date(add_months(p.first, -16))
+    y1_rows = F.filter(F.col("hist"), lambda x: x["mo"] == y1)
+    prev_rows = F.filter(F.col("hist"), lambda x: (x["mo"] >= prev_lo) & (x["mo"] < y1))
+    momentum = _avg(top4, _rate)
+    y1_rate = F.when(F.size(y1_rows) > 0, _rate(F.element_at(y1_rows, 1)))
+    factor = safe_div(y1_rate, _avg(prev_rows, _rate))
+    return df.select(
+        "*",
+        F.coalesce(F.try_multiply(momentum, factor), momentum).alias("completion_rate"),
+        sqlround(_avg(top4, lambda x: x["total"].cast("double")), 0).alias("avg_full_month"),
     )
 
 

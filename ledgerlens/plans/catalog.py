@@ -320,3 +320,29 @@ def _binding_entry(name: str) -> Entry:
 from ..sources.warehouse import OPERATIONAL_TABLES  # noqa: E402
 
 ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES})
+
+
+# ---- 2.1 S07-S10 stored results --------------------------------------------
+from datetime import datetime  # noqa: E402
+
+from ..streaming import snapshots as snap  # noqa: E402
+
+# The refresh clock of the fixture runs (a past month, after it ended).
+SNAPSHOT_NOW = datetime(2000, 7, 15, 12, 0, 0)
+
+
+def _snapshot_read(wh):
+    store = snap.SnapshotStore(wh.spark, snap.default_root(wh.spark) + "/" + wh.tag)
+    return store.read("activity_counts_month_2000_06", snap.TTL_LIVE, SNAPSHOT_NOW,
+                      lambda: act.activity_counts_month(wh, PAST))
+
+
+def _snapshot_refresh(wh):
+    store = snap.SnapshotStore(wh.spark, snap.default_root(wh.spark) + "/" + wh.tag)
+    return snap.refresh(store, snap.month_tasks(wh, PAST), SNAPSHOT_NOW).select("key", "status")
+
+
+ENTRIES.update({
+    "snapshot_read": Entry(_snapshot_read, **_q("activity_counts_month")),
+    "snapshot_refresh": Entry(_snapshot_refresh),
+})

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import Period
-from ..operators.activity import activity_counts_from_rollup, activity_daily, completion_rates
+from ..operators.activity import month_report_activity
 from ..operators.enrolment import (enrolment_pass, exemption_counts, featured_course_counts, rpl_admissions,
                                    verified_tenants)
 from ..operators.leads import lead_counts, lead_workload
@@ -36,9 +36,8 @@ COUNT_COLUMNS = (
 def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = None) -> DataFrame:
     """One row per verified tenant with every metric of the month."""
     featured = featured if featured is not None else dims.featured_courses(wh)
-    # Shared inputs: one bounded activity rollup, one enrolment pass, one copy
-    # of each phase / price dimension.
-    daily = activity_daily(wh, p.history_first, p.last)
+    # Shared inputs: one bounded activity scan (M02, M03, M14), one enrolment
+    # pass (M04/5, M06, M08, M10), materialised phase / price views.
     ps = view_or_build(wh, "phase_start")
     enrol = enrolment_pass(wh, p, ps)
     per_tenant = enrol.groupBy("college_id").agg(
@@ -47,7 +46,7 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
     tenants = verified_tenants(wh).select(F.col("id").alias("college_id"), "name", "revenue_model")
 
     parts = [
-        activity_counts_from_rollup(daily, p),
+        month_report_activity(wh, p),
         per_tenant,
         lead_counts(wh, p),
         exemption_counts(wh, p),
@@ -55,7 +54,6 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
         view_or_build(wh, "pricing_config").withColumn("phase_start", F.to_date("phase_start")),
         expected_share_revenue(wh, p, fees=view_or_build(wh, "degree_fee_pivot")),
         seat_revenue_from_counts(enrol, view_or_build(wh, "seat_fee_per_degree")),
-        completion_rates(wh, p, daily=daily),
     ]
     df = tenants
     for part in parts:

@@ -54,6 +54,7 @@ def bound_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         Warehouse.from_testdata(spark, sf_dir).write(root)
         _touch(spark, _marker_path(root))
     wh = Warehouse.from_parquet_dir(spark, root)
+    wh.tag = root.rstrip("/").rsplit("/", 1)[-1]
     # Side dimensions are derived from base tables; keep the base loader too.
     src = Warehouse.from_testdata(spark, sf_dir)
     wh._loader = src._loader

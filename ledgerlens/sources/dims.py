@@ -44,8 +44,10 @@ def fees(wh: Warehouse) -> DataFrame:
 
 def fees_from_map(docs: DataFrame, col: str = "doc") -> DataFrame:
     """S03 from a JSON map tenant -> fee."""
-    return docs.select(F.explode(F.from_json(F.col(col), "map<string,int>")).alias("name", "fee")) \
-        .where(F.col("fee").isNotNull())
+    pairs = docs.select(F.explode(F.from_json(F.col(col), "map<string,string>")).alias("name", "raw"))
+    # Non-numeric entries (comments) become NULL and drop out (F22 lenient conversion).
+    return (pairs.select("name", F.expr("try_cast(raw AS INT)").alias("fee"))
+            .where(F.col("fee").isNotNull()))
 
 
 def squads(wh: Warehouse) -> DataFrame:

@@ -67,6 +67,7 @@ class Warehouse:
         self._loader = loader
         self._bound: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
+        self.tag = "default"       # names this data set in shared folders
 
     # ---- construction -------------------------------------------------
     @classmethod

@@ -1,0 +1,88 @@
+"""Fixture facts (FIXTURES.md section 4) and arithmetic invariants of the reports."""
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.periods import Period
+from ledgerlens.operators import activity as act
+from ledgerlens.operators import enrolment as enr
+from ledgerlens.operators import leads as lds
+from ledgerlens.operators import revenue_share as rsh
+from ledgerlens.plans import overview as ov
+from ledgerlens.plans.catalog import CURRENT, PAST
+from ledgerlens.plans.month_report import tenant_month_report
+
+
+def test_month_counts(wh_mid):
+    r = act.activity_counts_month(wh_mid, PAST).agg(*[F.sum(c) for c in ("new_enrol", "pauses", "archives")]).first()
+    assert tuple(r) == (196, 31, 35)
+
+
+def test_waterfall_branches(wh_mid):
+    rows = rsh.expected_share_revenue(wh_mid, PAST, with_rows=True)
+    counts = {r.branch: r.n for r in rows.groupBy("branch").agg(F.count("*").alias("n")).collect()}
+    null_p2 = rows.where((F.col("branch") == 2) & F.col("value").isNull()).count()
+    # P1 68, P2 53 (+14 with NULL pct -> no value), P3 47, P4 14
+    assert (counts[1], counts[2] - null_p2, null_p2, counts[3], counts[4]) == (68, 53, 14, 47, 14)
+    assert sum(counts.values()) == 196
+
+
+def test_point_in_time_active_total(wh_mid):
+    assert enr.active_base(wh_mid, PAST).agg(F.sum("active_base")).first()[0] == 2180
+
+
+def test_admission_join_fans_out(wh_mid):
+    r = lds.admission_mix(wh_mid, PAST).first()
+    assert (r.pba, r.rpl, r.standard) == (210, 56, 546)
+
+
+def test_funnel_bands_sum_to_total(wh_mid):
+    f = lds.funnel_extras(wh_mid, PAST).first()
+    assert f.age_0_6m + f.age_6_12m + f.age_12pm == f.conv_total
+    assert f.adm_standard + f.adm_pba + f.adm_rpl == f.enrol_total
+
+
+def test_leads(wh_mid):
+    r = lds.lead_counts(wh_mid, PAST).agg(F.sum("st_till_last_month"), F.sum("st_new_this_month")).first()
+    assert tuple(r) == (888, 29)
+
+
+def test_mtd_never_exceeds_full_month(wh_mid):
+    h = act.monthly_mtd_history(wh_mid, CURRENT)
+    assert h.where(F.col("mtd_count") > F.col("total_month")).count() == 0
+    assert h.groupBy("college_id").count().where(F.col("count") != 18).count() == 0
+
+
+def test_completion_rate_branches_are_hit(wh_mid):
+    cr = act.completion_rates(wh_mid, CURRENT)
+    assert cr.where(F.col("completion_rate") < 0.25).count() == 3
+    assert cr.where(F.col("completion_rate") > 1).count() == 3
+
+
+def test_past_month_does_not_depend_on_as_of(wh_mid):
+    later = Period(PAST.month, date(2001, 1, 3))
+    a = {tuple(r) for r in tenant_month_report(wh_mid, PAST).collect()}
+    b = {tuple(r) for r in tenant_month_report(wh_mid, later).collect()}
+    assert a == b
+
+
+def test_total_rows_equal_sums_of_rows(wh_mid):
+    base = ov.overview_base(wh_mid, PAST)
+    rows = ov.seat_overview(base)
+    tot = ov.seat_overview_total(base).first()
+    s = rows.agg(F.sum("new_enrol"), F.sum("pauses_m1"), F.sum("net_additions"), F.sum("total_rev")).first()
+    assert (tot.new_enrol, tot.pauses_m1, tot.net_additions) == tuple(s)[:3]
+    assert abs(tot.total_rev - s[3]) < 1e-6
+    share = ov.share_overview(base).count()
+    assert share + rows.count() == base.count()
+
+
+def test_enrolment_rows_equal_activity_events(wh_mid):
+    # the report's new_enrol counts enrolment events, one per enrolment row here
+    rep = tenant_month_report(wh_mid, PAST)
+    assert rep.agg(F.sum("new_enrol")).first()[0] <= 196
+
+
+def test_graduation_rate(wh_mid):
+    g = enr.graduation_summary(wh_mid)
+    assert g.where((F.col("grad_rate_pct") < 0) | (F.col("grad_rate_pct") > 100)).count() == 0
