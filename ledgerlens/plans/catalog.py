@@ -339,7 +339,8 @@ def _snapshot_read(wh):
 
 def _snapshot_refresh(wh):
     store = snap.SnapshotStore(wh.spark, snap.default_root(wh.spark) + "/" + wh.tag)
-    return snap.refresh(store, snap.month_tasks(wh, PAST), SNAPSHOT_NOW).select("key", "status")
+    return snap.refresh(store, snap.month_tasks(wh, PAST, store=store, now=SNAPSHOT_NOW), SNAPSHOT_NOW).select(
+        "key", "status")
 
 
 ENTRIES.update({

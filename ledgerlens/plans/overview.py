@@ -24,13 +24,15 @@ SEAT, SHARE = "SEAT_BASED", "REVENUE_SHARE"
 RPL_ADMISSION_FEE = 200
 
 
-def overview_base(wh: Warehouse, p: Period, rpl_admissions_in_revenue: bool = False) -> DataFrame:
+def overview_base(wh: Warehouse, p: Period, rpl_admissions_in_revenue: bool = False,
+                  report: DataFrame | None = None) -> DataFrame:
     """Per verified tenant: R01 + projection, fee, label, R02 extras, R06-R10 columns.
 
     ``rpl_admissions_in_revenue`` mirrors quirk Q1: the pages pass 0 RPL
-    admissions into the revenue formula; set True to price them.
+    admissions into the revenue formula; set True to price them. ``report``
+    is a stored R01 to build on (see ``streaming.snapshots``).
     """
-    rep = tenant_month_report(wh, p)
+    rep = report if report is not None else tenant_month_report(wh, p)
     proj = dims.projections(wh).where(F.col("month") == p.projection_key).select("name", "projected")
     fee = dims.fees(wh).select("name", F.col("fee").alias("course_fee"))
     extras = enrolment_extras(wh, p)

@@ -26,17 +26,23 @@ def _marker_path(root: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    """Marker check through Spark itself, so it works for any file system and session type."""
+    try:
+        spark.read.text(path).limit(1).collect()
+        return True
+    except Exception:  # noqa: BLE001 - missing marker
+        return False
 
 
 def _touch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.create(hpath, True).close()
+    spark.range(1).selectExpr("'bound' AS value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _session_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        return str(id(spark))
 
 
 def warehouse_root(spark: SparkSession, sf_dir: str) -> str:
@@ -46,7 +52,7 @@ def warehouse_root(spark: SparkSession, sf_dir: str) -> str:
 
 def bound_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The operational tables of ``sf_dir``, derived once per session and read back."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (_session_id(spark), sf_dir.rstrip("/"))
     if key in _BOUND:
         return _BOUND[key]
     root = warehouse_root(spark, sf_dir)

@@ -142,7 +142,8 @@ def refresh(store: SnapshotStore, tasks: dict[str, Task], now: datetime, force:
     return spark.createDataFrame(results, "key string, status string, rows bigint, error string")
 
 
-def month_tasks(wh, p, now_is_current: bool | None = None) -> dict[str, Task]:
+def month_tasks(wh, p, now_is_current: bool | None = None, store: SnapshotStore | None = None,
+                now: datetime | None = None) -> dict[str, Task]:
     """The refresh registry of one month (keys carry the period, TTLs follow the source rules)."""
     from ..operators import activity as act
     from ..operators import enrolment as enr
@@ -170,4 +171,39 @@ def month_tasks(wh, p, now_is_current: bool | None = None) -> dict[str, Task]:
         f"seat_expected_revenue_{tag}": Task(TTL_DAILY, lambda: prc.seat_expected_revenue(wh, p)),
         f"expected_share_revenue_{tag}": Task(TTL_DAILY, lambda: rsh.expected_share_revenue(wh, p)),
         f"rpl_admissions_{tag}": Task(TTL_DAILY, lambda: enr.rpl_admissions(wh, p)),
+        month_report_key(p): Task(TTL_LIVE if current else TTL_DAILY, lambda: _month_report(wh, p)),
+        overview_key(p): Task(TTL_LIVE if current else TTL_DAILY, lambda: _overview(wh, p, store, now)),
     }
+
+
+def overview_key(p) -> str:
+    return f"overview_base_{p.first.year}_{p.first.month:02d}_{p.today_day}"
+
+
+def _overview(wh, p, store: SnapshotStore | None, now: datetime | None):
+    from ..plans.overview import overview_base
+
+    report = stored_month_report(store, wh, p, now) if store is not None and now is not None else None
+    return overview_base(wh, p, report=report)
+
+
+def stored_overview(store: SnapshotStore, wh, p, now: datetime) -> DataFrame:
+    """The per-tenant page base (R01 + extras + R06-R10) as the pages read it."""
+    ttl = TTL_LIVE if p.is_current else TTL_DAILY
+    return store.read(overview_key(p), ttl, now, lambda: _overview(wh, p, store, now))
+
+
+def month_report_key(p) -> str:
+    return f"tenant_month_report_{p.first.year}_{p.first.month:02d}_{p.today_day}"
+
+
+def _month_report(wh, p):
+    from ..plans.month_report import tenant_month_report
+
+    return tenant_month_report(wh, p)
+
+
+def stored_month_report(store: SnapshotStore, wh, p, now: datetime) -> DataFrame:
+    """R01 as the pages read it: the stored result when fresh, else computed and stored."""
+    ttl = TTL_LIVE if p.is_current else TTL_DAILY
+    return store.read(month_report_key(p), ttl, now, lambda: _month_report(wh, p))
