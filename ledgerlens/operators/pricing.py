@@ -68,19 +68,6 @@ def seat_fee_per_degree(wh: Warehouse, priced: DataFrame | None = None, ps: Data
     )
 
 
-def seat_revenue_from_counts(counts: DataFrame, fees: DataFrame) -> DataFrame:
-    """M06 from per-(tenant, degree) billable counts: SUM(fee) over enrolments = SUM(n x fee)."""
-    return (
-        counts.join(fees, ["college_id", "degree_id"], "left")
-        .groupBy("college_id")
-        .agg(F.sum(F.when(F.col("seat_billable") > 0, F.col("seat_billable") * F.col("seat_fee")))
-             .alias("seat_exp_rev"),
-             F.sum("seat_billable").alias("_n"))
-        .where(F.col("_n") > 0)
-        .drop("_n")
-    )
-
-
 def seat_expected_revenue(wh: Warehouse, p: Period) -> DataFrame:
     """M06b (current) / M06c (past): sum of seat fees over active enrolments since phase start."""
     from .enrolment import active_filter

@@ -20,7 +20,7 @@ from ..operators.activity import month_report_activity
 from ..operators.enrolment import (enrolment_pass, exemption_counts, featured_course_counts, rpl_admissions,
                                    verified_tenants)
 from ..operators.leads import lead_counts, lead_workload
-from ..operators.pricing import seat_revenue_from_counts, view_or_build
+from ..operators.pricing import view_or_build
 from ..operators.revenue_share import expected_share_revenue
 from ..sources import dims
 from ..sources.warehouse import Warehouse
@@ -39,10 +39,15 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
     # Shared inputs: one bounded activity scan (M02, M03, M14), one enrolment
     # pass (M04/5, M06, M08, M10), materialised phase / price views.
     ps = view_or_build(wh, "phase_start")
-    enrol = enrolment_pass(wh, p, ps)
+    # One consumer of the enrolment pass: a second consumer using other
+    # columns would be pruned differently and re-scan the fact table.
+    enrol = enrolment_pass(wh, p, ps).join(view_or_build(wh, "seat_fee_per_degree"),
+                                           ["college_id", "degree_id"], "left")
     per_tenant = enrol.groupBy("college_id").agg(
         *[F.sum(c).cast("bigint").alias(c)
-          for c in ("active_base", "st_converted_this_month", "pba_count", "archived_30d")])
+          for c in ("active_base", "st_converted_this_month", "pba_count", "archived_30d")],
+        F.sum(F.when(F.col("seat_billable") > 0, F.col("seat_billable") * F.col("seat_fee"))).alias("seat_exp_rev"),
+    )
     tenants = verified_tenants(wh).select(F.col("id").alias("college_id"), "name", "revenue_model")
 
     parts = [
@@ -53,7 +58,6 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
         featured_course_counts(wh, p, featured),
         view_or_build(wh, "pricing_config").withColumn("phase_start", F.to_date("phase_start")),
         expected_share_revenue(wh, p, fees=view_or_build(wh, "degree_fee_pivot")),
-        seat_revenue_from_counts(enrol, view_or_build(wh, "seat_fee_per_degree")),
     ]
     df = tenants
     for part in parts:
