@@ -19,9 +19,48 @@ def day(ts: Column | str) -> Column:
     return F.to_date(F.col(ts) if isinstance(ts, str) else ts)
 
 
+def midnight(d: date) -> Column:
+    """Start of day ``d`` as a zone-free timestamp literal."""
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
+def _next_day(d: date) -> date:
+    return date.fromordinal(d.toordinal() + 1)
+
+
+def _c(ts: Column | str) -> Column:
+    return F.col(ts) if isinstance(ts, str) else ts
+
+
+def day_on_or_after(ts: Column | str, d: date) -> Column:
+    """``DATE(ts) >= d`` as ``ts >= d 00:00`` - a range the parquet scan can use."""
+    return _c(ts) >= midnight(d)
+
+
+def day_before(ts: Column | str, d: date) -> Column:
+    """``DATE(ts) < d`` as ``ts < d 00:00``."""
+    return _c(ts) < midnight(d)
+
+
+def day_on_or_before(ts: Column | str, d: date) -> Column:
+    """``DATE(ts) <= d`` as ``ts < (d + 1) 00:00``."""
+    return _c(ts) < midnight(_next_day(d))
+
+
+def day_after(ts: Column | str, d: date) -> Column:
+    """``DATE(ts) > d`` as ``ts >= (d + 1) 00:00``."""
+    return _c(ts) >= midnight(_next_day(d))
+
+
 def on_or_between(ts: Column | str, lo: date, hi: date) -> Column:
-    """``DATE(ts) BETWEEN lo AND hi`` - Catalyst turns it into a pushed range."""
-    return day(ts).between(lit_date(lo), lit_date(hi))
+    """``DATE(ts) BETWEEN lo AND hi`` written as a half-open timestamp range.
+
+    Equivalent for zone-free timestamps (and for zoned ones in the UTC
+    session zone); unlike ``to_date(ts) BETWEEN``, the bounds are plain
+    column-vs-literal comparisons, so they reach the parquet scan as pushed
+    filters and prune row groups.
+    """
+    return day_on_or_after(ts, lo) & day_on_or_before(ts, hi)
 
 
 def active_on(d: date, created="created", delisted="delisted_timestamp",
@@ -31,11 +70,10 @@ def active_on(d: date, created="created", delisted="delisted_timestamp",
     Created by ``d``, not delisted by ``d``, and not inside a pause that had
     started by ``d`` and had not ended by ``d``.
     """
-    dd = lit_date(d)
-    in_pause = (F.col(pause_started).isNotNull() & (day(pause_started) <= dd)
-                & (F.col(pause_ended).isNull() | (day(pause_ended) > dd)))
-    return ((day(created) <= dd)
-            & (F.col(delisted).isNull() | (day(delisted) > dd))
+    in_pause = (F.col(pause_started).isNotNull() & day_on_or_before(pause_started, d)
+                & (F.col(pause_ended).isNull() | day_after(pause_ended, d)))
+    return (day_on_or_before(created, d)
+            & (F.col(delisted).isNull() | day_after(delisted, d))
             & ~in_pause)
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import active_on, count_if, day, is_true, on_or_between, safe_div, sqlround, unbounded_if_null
-from ..functions.periods import Period, lit_date
+from ..functions.exprs import (active_on, count_if, day, day_before, day_on_or_after, is_true, on_or_between,
+                               safe_div, sqlround, unbounded_if_null)
+from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .pricing import phase_start
 
@@ -113,7 +114,7 @@ def exemption_counts(wh: Warehouse, p: Period) -> DataFrame:
 def rpl_admissions(wh: Warehouse, p: Period) -> DataFrame:
     """Enrolments of the month with an RPL service row (counts service rows)."""
     ds = wh.table("degree_students").where(
-        (day("created") >= lit_date(p.first)) & (day("created") < lit_date(p.next_first))
+        day_on_or_after("created", p.first) & day_before("created", p.next_first)
     ).select(F.col("id").alias("degree_student_id"), "college_id")
     dss = wh.table("degree_student_services").where(F.col("rpl").isNotNull()).select("degree_student_id")
     return ds.join(dss, "degree_student_id").groupBy("college_id").agg(F.count(F.lit(1)).alias("rpl_admission"))

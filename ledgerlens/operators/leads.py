@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, day, is_false, is_true, on_or_between
-from ..functions.periods import Period, lit_date
+from ..functions.exprs import count_if, day, day_before, day_on_or_after, day_on_or_before, is_false, is_true, on_or_between
+from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .activity import ENROL
 
@@ -29,13 +29,13 @@ def _leads(wh: Warehouse) -> DataFrame:
 def lead_counts(wh: Warehouse, p: Period) -> DataFrame:
     """Leads created by the end of M-1 and leads created in the month, per tenant."""
     return _leads(wh).groupBy("college_id").agg(
-        count_if(day("created") <= lit_date(p.m1_last)).alias("st_till_last_month"),
+        count_if(day_on_or_before("created", p.m1_last)).alias("st_till_last_month"),
         count_if(on_or_between("created", p.first, p.last)).alias("st_new_this_month"),
     )
 
 
 def _workload_filter(p: Period):
-    return ((day("created") < lit_date(p.first)) & (F.col("workload_count") >= WORKLOAD_MINUTES)
+    return (day_before("created", p.first) & (F.col("workload_count") >= WORKLOAD_MINUTES)
             & (F.col("degree_count") == 0))
 
 
@@ -47,7 +47,7 @@ def lead_workload(wh: Warehouse, p: Period) -> DataFrame:
 
 def lead_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) -> DataFrame:
     """New leads per (tenant, month) since as_of - months."""
-    leads = _leads(wh).where(day("created") >= lit_date(p.trend_first(months)))
+    leads = _leads(wh).where(day_on_or_after("created", p.trend_first(months)))
     if college_id is not None:
         leads = leads.where(F.col("college_id") == F.lit(college_id))
     return (leads.groupBy("college_id", F.date_format(day("created"), "yyyy-MM").alias("month"))
@@ -61,7 +61,7 @@ def workload_total(wh: Warehouse, p: Period) -> DataFrame:
 
 
 def _month_range(col: str, p: Period):
-    return (day(col) >= lit_date(p.first)) & (day(col) < lit_date(p.next_first))
+    return day_on_or_after(col, p.first) & day_before(col, p.next_first)
 
 
 def conversion_age_bands(wh: Warehouse, p: Period) -> DataFrame:

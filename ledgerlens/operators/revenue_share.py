@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, day, distinct_from, on_or_between, sqlround, strict_greatest
-from ..functions.periods import Period, lit_date
+from ..functions.exprs import count_if, day_on_or_after, distinct_from, on_or_between, sqlround, strict_greatest
+from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .pricing import degree_fee_pivot
 
@@ -27,7 +27,7 @@ def _shareable_purchases(wh: Warehouse) -> DataFrame:
 def avg_share_per_degree_3m(wh: Warehouse, p: Period, fees: DataFrame | None = None) -> DataFrame:
     """Avg of max(rev_share, floor) per degree since the first of month - 2 (no upper bound)."""
     fees = fees if fees is not None else degree_fee_pivot(wh)
-    pur = _shareable_purchases(wh).where(day("created") >= lit_date(p.three_months_ago))
+    pur = _shareable_purchases(wh).where(day_on_or_after("created", p.three_months_ago))
     return (
         pur.select("college_id", "degree_id", "rev_share")
         .join(fees.select("college_id", "degree_id", "min_rev_share"), ["college_id", "degree_id"])

@@ -86,3 +86,12 @@ def test_enrolment_rows_equal_activity_events(wh_mid):
 def test_graduation_rate(wh_mid):
     g = enr.graduation_summary(wh_mid)
     assert g.where((F.col("grad_rate_pct") < 0) | (F.col("grad_rate_pct") > 100)).count() == 0
+
+
+def test_completion_rate_formulations_agree(wh_mid):
+    for p in (PAST, CURRENT):
+        a = {r.college_id: (round(r.completion_rate, 9), r.avg_full_month)
+             for r in act.completion_rates(wh_mid, p).collect()}
+        b = {r.college_id: (round(r.completion_rate, 9), r.avg_full_month)
+             for r in act.completion_rates_windowed(wh_mid, p).collect()}
+        assert a == b

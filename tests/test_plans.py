@@ -18,9 +18,18 @@ def _formatted(spark, df):
 
 def test_date_filter_reaches_the_scan(spark, wh_small):
     text = _formatted(spark, act.activity_counts_month(wh_small, PAST))
-    pushed = [line for line in text.splitlines() if "PushedFilters" in line]
-    assert any("created" in line for line in pushed)
-    assert any("kind" in line for line in pushed)
+    pushed = " ".join(line for line in text.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(created,2000-06-01T00:00)" in pushed
+    assert "LessThan(created,2000-07-01T00:00)" in pushed
+    assert "In(kind" in pushed
+
+
+def test_point_in_time_bound_reaches_the_scan(spark, wh_small):
+    from ledgerlens.operators.enrolment import active_base
+
+    text = _formatted(spark, active_base(wh_small, PAST))
+    pushed = " ".join(line for line in text.splitlines() if "PushedFilters" in line)
+    assert "LessThan(created,2000-07-01T00:00)" in pushed
 
 
 def test_scan_reads_only_needed_columns(spark, wh_small):
