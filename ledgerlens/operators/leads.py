@@ -70,18 +70,23 @@ def conversion_age_bands(wh: Warehouse, p: Period) -> DataFrame:
     Joins enrolment -> student (by user) -> lead; a user with several student
     or lead rows fans out, as in the source definition.
     """
-    ds = wh.table("degree_students").where(
-        is_true("has_activity_before_invitation") & _month_range("created", p)
-    ).select("user_id", F.col("created").alias("ds_created"))
+    # The enrolment side is reduced to (user, day, n) first: at most 31 rows per
+    # user in a month. Each lead row then meets its user's enrolment days and
+    # carries their multiplicity, so the joined-row count of the source
+    # definition is kept exactly without emitting enrolment x lead pairs.
+    ds_days = (wh.table("degree_students")
+               .where(is_true("has_activity_before_invitation") & _month_range("created", p))
+               .groupBy("user_id", day("created").alias("ds_day"))
+               .agg(F.count(F.lit(1)).alias("n_ds")))
     s = wh.table("students").select(F.col("id").alias("student_id"), "user_id")
-    st = wh.table("st_students").select("student_id", F.col("created").alias("st_created"))
-    age = F.datediff(day("ds_created"), day("st_created"))
+    st = wh.table("st_students").select("student_id", day("created").alias("st_day"))
+    age = F.datediff(F.col("ds_day"), F.col("st_day"))
     band = F.when(age < AGE_BANDS[0][1], AGE_BANDS[0][0])
     for label, upper in AGE_BANDS[1:]:
         band = band.when(age < upper, label)
     band = band.otherwise(AGE_BAND_LAST)
-    return (ds.join(s, "user_id").join(st, "student_id")
-            .groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("cnt")))
+    return (st.join(s, "student_id").join(ds_days, "user_id")
+            .groupBy(band.alias("band")).agg(F.sum("n_ds").cast("bigint").alias("cnt")))
 
 
 def admission_mix(wh: Warehouse, p: Period) -> DataFrame:
@@ -91,16 +96,20 @@ def admission_mix(wh: Warehouse, p: Period) -> DataFrame:
     counts in no bucket (Q6).
     """
     keys = ["user_id", "college_id", "degree_id"]
-    a = wh.table("activities").where((F.col("kind") == ENROL) & _month_range("created", p)).select(*keys)
+    # Enrol events of the month reduced to one row per key with their count:
+    # each enrolment row meets at most one such row and contributes that
+    # count, which equals the event x enrolment fan-out without building it.
+    a = (wh.table("activities").where((F.col("kind") == ENROL) & _month_range("created", p))
+         .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")))
     ds = wh.table("degree_students").select(*keys, "is_pba_converted", "rpl_exemption_request_id")
     pba = is_true("is_pba_converted")
     rpl = F.col("rpl_exemption_request_id").isNotNull() & is_false("is_pba_converted")
     std = is_false("is_pba_converted") & F.col("rpl_exemption_request_id").isNull()
 
     def flag_sum(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+        return F.sum(F.when(c, F.col("n_events")).otherwise(0)).cast("bigint")
 
-    return a.join(ds, keys).agg(flag_sum(pba).alias("pba"), flag_sum(rpl).alias("rpl"),
+    return ds.join(a, keys).agg(flag_sum(pba).alias("pba"), flag_sum(rpl).alias("rpl"),
                                 flag_sum(std).alias("standard"))
 
 

@@ -79,3 +79,20 @@ def test_several_monthly_invoices_give_several_rows(spark):
     assert [r.invoice_name for r in rows] == ["a", "b"]
     assert all(r.saas_fee == 10.0 and r.growth == 32.0 for r in rows)
     assert rows[0].total_cv == 42.0
+
+
+def test_hot_key_fan_out_is_counted_exactly(spark):
+    from ledgerlens.operators import leads as lds
+
+    start = datetime(2000, 6, 2, 9, 0, 0)
+    acts = [(1, 5, 50, "addDegreeStudent", start)] * 40 + [(2, 5, 50, "addDegreeStudent", start)] * 3
+    ds_rows = ([(i, 1, 5, 50, True, None) for i in range(10)] + [(100 + i, 1, 5, 50, False, 7) for i in range(8)]
+               + [(200 + i, 1, 5, 50, False, None) for i in range(12)] + [(300, 1, 5, 50, None, None)]
+               + [(400, 2, 5, 50, False, None)])
+    a = spark.createDataFrame(acts, "user_id bigint, college_id int, degree_id bigint, kind string, created timestamp_ntz")
+    ds = spark.createDataFrame(ds_rows, "id bigint, user_id bigint, college_id int, degree_id bigint, "
+                                        "is_pba_converted boolean, rpl_exemption_request_id bigint")
+    wh = Warehouse.from_tables(spark, {"activities": a, "degree_students": ds})
+    r = lds.admission_mix(wh, P).first()
+    # brute force over the event x enrolment pairs of each key
+    assert (r.pba, r.rpl, r.standard) == (40 * 10, 40 * 8, 40 * 12 + 3 * 1)
