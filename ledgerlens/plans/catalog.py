@@ -201,6 +201,14 @@ FROM (SELECT CAST(SUM(st_till_last_month) AS BIGINT) AS st_till, CAST(SUM(st_new
   CAST(SUM(st_converted_this_month) AS BIGINT) AS st_converted, CAST(SUM(new_enrol) AS BIGINT) AS enrolled
   FROM q_tenant_month_report) s""", sql_deps=("q_tenant_month_report",),
                          doubles=("conversion_pct", "enrol_of_converted_pct")),
+    "squad_lead_funnel": Entry(lambda wh: ov.squad_lead_funnel(wh, PAST), sql_final="""SELECT *,
+  CASE WHEN st_new > 0 THEN round_even(CAST(st_converted AS DOUBLE) / st_new * 100, 1) END AS conversion_pct,
+  CASE WHEN st_converted > 0 THEN round_even(CAST(enrolled AS DOUBLE) / st_converted * 100, 1) END AS enrol_of_converted_pct
+FROM (SELECT sq.squad, CAST(SUM(r.st_till_last_month) AS BIGINT) AS st_till, CAST(SUM(r.st_new_this_month) AS BIGINT) AS st_new,
+  CAST(SUM(r.st_converted_this_month) AS BIGINT) AS st_converted, CAST(SUM(r.new_enrol) AS BIGINT) AS enrolled
+  FROM q_tenant_month_report r JOIN squads sq ON sq.name = r.name GROUP BY sq.squad) s""",
+                               sql_deps=("q_tenant_month_report", "squads"),
+                               doubles=("conversion_pct", "enrol_of_converted_pct")),
     "period_delta": Entry(lambda wh: ov.period_delta(_base(wh)),
                           **_ob(("college_id", "new_enrol", "new_enrol_m1_mtd", "delta_m1", "delta_m1_pct",
                                  "delta_m1_dir", "new_enrol_y1_mtd", "delta_y1", "delta_y1_pct", "delta_y1_dir"),

@@ -127,6 +127,39 @@ def lead_funnel(report: DataFrame) -> DataFrame:
     )
 
 
+def restrict(report: DataFrame, members: DataFrame | None, col: str = "name") -> DataFrame:
+    """keep rows whose ``col`` is in ``members`` (a one-column DataFrame); None keeps all."""
+    if members is None:
+        return report
+    return report.join(members.select(F.col(members.columns[0]).alias(col)).distinct(), col, "left_semi")
+
+
+def squad_lead_funnel(wh: Warehouse, p: Period) -> DataFrame:
+    """R05 for every squad page at once: the funnel of each squad's tenants."""
+    rep = tenant_month_report(wh, p).join(dims.squads(wh), "name")
+    s = rep.groupBy("squad").agg(
+        F.sum("st_till_last_month").cast("bigint").alias("st_till"),
+        F.sum("st_new_this_month").cast("bigint").alias("st_new"),
+        F.sum("st_converted_this_month").cast("bigint").alias("st_converted"),
+        F.sum("new_enrol").cast("bigint").alias("enrolled"),
+    )
+    return s.select(
+        "*",
+        F.when(F.col("st_new") > 0,
+               pyround(F.col("st_converted") / F.col("st_new") * 100, 1)).alias("conversion_pct"),
+        F.when(F.col("st_converted") > 0,
+               pyround(F.col("enrolled") / F.col("st_converted") * 100, 1)).alias("enrol_of_converted_pct"),
+    )
+
+
+def tenant_detail(report: DataFrame, name: str) -> DataFrame:
+    """the report row of one tenant by name; a missing tenant is an error, not an empty page."""
+    row = report.where(F.col("name") == F.lit(name))
+    if row.limit(1).count() == 0:
+        raise LookupError(f"tenant {name!r} is not in the report")
+    return row
+
+
 # ---- R06-R11 as standalone per-tenant tables -------------------------------
 
 def period_delta(base: DataFrame) -> DataFrame:

@@ -95,3 +95,27 @@ def test_completion_rate_formulations_agree(wh_mid):
         b = {r.college_id: (round(r.completion_rate, 9), r.avg_full_month)
              for r in act.completion_rates_windowed(wh_mid, p).collect()}
         assert a == b
+
+
+def test_restrict_and_tenant_detail(wh_mid):
+    import pytest
+
+    from ledgerlens.sources import dims
+
+    rep = tenant_month_report(wh_mid, PAST)
+    assert ov.restrict(rep, None).count() == rep.count()
+    members = dims.squads(wh_mid).where(F.col("squad") == "AFRICA").select("name")
+    sub = ov.restrict(rep, members)
+    assert 0 < sub.count() < rep.count()
+    name = sub.first().name
+    assert ov.tenant_detail(rep, name).count() == 1
+    with pytest.raises(LookupError):
+        ov.tenant_detail(rep, "NO SUCH TENANT")
+
+
+def test_squad_funnels_add_up(wh_mid):
+    per_squad = ov.squad_lead_funnel(wh_mid, PAST)
+    rep = tenant_month_report(wh_mid, PAST)
+    squads_total = per_squad.agg(F.sum("enrolled")).first()[0]
+    in_squads = ov.restrict(rep, __import__("ledgerlens.sources.dims", fromlist=["x"]).squads(wh_mid).select("name"))
+    assert squads_total == in_squads.agg(F.sum("new_enrol")).first()[0]
