@@ -69,7 +69,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    # Local runs and tests only: one stable scratch folder per user, so bound
+    # test tables (keyed by data set and code version) are reused across runs.
+    local = os.path.join(tempfile.gettempdir(), f"ledgerlens-ckpt-{os.getuid()}")
+    os.makedirs(local, exist_ok=True)
     if sc is not None:
         sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

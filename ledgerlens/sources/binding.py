@@ -45,8 +45,20 @@ def _session_id(spark: SparkSession) -> str:
         return str(id(spark))
 
 
+def _code_version() -> str:
+    """Hash of the code that derives bound tables and views: a change re-binds."""
+    from ..operators import pricing
+    from . import warehouse
+
+    h = hashlib.sha1()
+    for mod in (warehouse, pricing):
+        with open(mod.__file__, "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def warehouse_root(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    tag = hashlib.sha1((sf_dir.rstrip("/") + "|" + _code_version()).encode()).hexdigest()[:12]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-warehouse/{tag}"
 
 
