@@ -53,7 +53,7 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="ledgerlens-bench")
 
     t0 = time.time()
-    wh = bound_warehouse(spark, sf_dir)
+    wh = bound_warehouse(spark, sf_dir, rebuild=True)
     bind_sec = time.time() - t0
 
     def run(key: str) -> int:
