@@ -58,6 +58,11 @@ def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
     ipo = wh.table("invoice_purchase_overrides").where(
         (F.col("service_kind") == "ENROLLMENT") & F.col("tuition_due").isNotNull() & (F.col("tuition_due") > 0)
     ).select("degree_student_id", "tuition_due")
+    # The overrides span all history; keep only those of this month's
+    # enrolments first. A semi join may broadcast its (small, measured) id
+    # side, so the large table is filtered map-side instead of being shuffled
+    # for the outer join below.
+    ipo = ipo.join(ds.select("degree_student_id"), "degree_student_id", "left_semi")
     return (
         ds.join(d, "degree_id", "left")
         .join(ipo, "degree_student_id", "left")
