@@ -34,11 +34,32 @@ class Entry:
     extra: dict = field(default_factory=dict)
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def column_kinds(schema: T.StructType) -> dict:
+    """Integer and boolean column names of a result schema."""
+    return {
+        "ints": tuple(f.name for f in schema.fields if isinstance(f.dataType, INTEGRAL)),
+        "bools": tuple(f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)),
+    }
+
+
 def normalise(df: DataFrame) -> DataFrame:
+    """Comparison form: doubles rounded, integers as DOUBLE, booleans and dates as text.
+
+    Integers and booleans are widened because a nullable integer or boolean
+    column has a different client-side representation in each engine; the
+    values themselves are unchanged (the integers here are far below 2^53).
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if isinstance(f.dataType, INTEGRAL):
+            c = c.cast("double")
+        elif isinstance(f.dataType, T.BooleanType):
+            c = c.cast("string")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = F.round(c.cast("double"), DIGITS)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
@@ -48,10 +69,12 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def wrap_sql(sql: str, doubles, dates, timestamps=()) -> str:
-    if not doubles and not dates and not timestamps:
+def wrap_sql(sql: str, doubles, dates, timestamps=(), ints=(), bools=()) -> str:
+    if not (doubles or dates or timestamps or ints or bools):
         return sql
     repl = [f"ROUND(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in doubles]
+    repl += [f"CAST({c} AS DOUBLE) AS {c}" for c in ints]
+    repl += [f"CAST({c} AS VARCHAR) AS {c}" for c in bools]
     repl += [f"strftime(CAST({c} AS DATE), '%Y-%m-%d') AS {c}" for c in dates]
     repl += [f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {c}" for c in timestamps]
     return f"SELECT * REPLACE ({', '.join(repl)}) FROM (\n{sql}\n) AS q"
@@ -66,7 +89,7 @@ def make_query(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def make_sql(entry: Entry) -> str | None:
+def make_sql(entry: Entry, key: str) -> str | None:
     if entry.sql_final is None:
         return None
     from .catalog import BILLING_START, PERIODS
@@ -76,4 +99,8 @@ def make_sql(entry: Entry) -> str | None:
     p = PERIODS[entry.period]
     reg = M.cte_registry(p, BILLING_START)
     reg.update(report_ctes(p))
-    return wrap_sql(M.build(entry.sql_final, entry.sql_deps, reg), entry.doubles, entry.dates, entry.timestamps)
+    from ..oracle.output_types import OUTPUT_TYPES
+
+    kinds = OUTPUT_TYPES.get(key, {"ints": (), "bools": ()})
+    return wrap_sql(M.build(entry.sql_final, entry.sql_deps, reg), entry.doubles, entry.dates, entry.timestamps,
+                    kinds["ints"], kinds["bools"])

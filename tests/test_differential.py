@@ -47,3 +47,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert len(df.collect()) > 0
     assert "college_id" in df.columns
+
+
+def test_output_type_map_is_in_sync(spark, wh_small):
+    from ledgerlens.oracle.output_types import OUTPUT_TYPES
+    from ledgerlens.plans.catalog import ENTRIES
+    from ledgerlens.plans.registry import column_kinds
+
+    for key, entry in ENTRIES.items():
+        assert OUTPUT_TYPES[key] == column_kinds(entry.spark_fn(wh_small).schema), key
