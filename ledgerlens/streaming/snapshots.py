@@ -13,7 +13,7 @@ clock inside the logic, so tests control ages exactly.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,8 @@ def default_root(spark: SparkSession) -> str:
 class SnapshotStore:
     spark: SparkSession
     root: str
+    # Results written in the current refresh run, not yet in the manifest.
+    pending: dict = field(default_factory=dict)
 
     @classmethod
     def for_session(cls, spark: SparkSession) -> "SnapshotStore":
@@ -53,15 +55,35 @@ class SnapshotStore:
 
     # ---- S07 ---------------------------------------------------------------
     def write(self, key: str, df: DataFrame, now: datetime) -> bool:
-        """Store ``df`` under ``key``; a failure to store is reported, not raised."""
+        """Store ``df`` under ``key`` and record it; a failure to store is reported, not raised."""
+        rows = self.write_data(key, df)
+        return rows is not None and self.record([(key, rows)], now)
+
+    def write_data(self, key: str, df: DataFrame) -> int | None:
+        """Write the result files only; returns the stored row count, or None on failure."""
         try:
             path = self.data_path(key)
             df.write.mode("overwrite").parquet(path)
-            rows = self.spark.read.parquet(path).count()
-            entry = self.spark.createDataFrame([(key, now, rows)], MANIFEST_SCHEMA)
-            entry.write.mode("append").parquet(self.manifest_path)
-            return True
+            return self.spark.read.parquet(path).count()
         except Exception:  # noqa: BLE001 - storing is best effort by design
+            return None
+
+    def record(self, entries: list[tuple[str, int]], now: datetime) -> bool:
+        """Append manifest rows for stored results (one small write for many keys).
+
+        Data is written before its manifest row: a crash in between leaves an
+        unrecorded result, which the next read simply recomputes.
+        """
+        if not entries:
+            return True
+        try:
+            rows = [(key, now, n) for key, n in entries]
+            self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1) \
+                .write.mode("append").parquet(self.manifest_path)
+            for key, _ in entries:
+                self.pending.pop(key, None)
+            return True
+        except Exception:  # noqa: BLE001
             return False
 
     def manifest(self) -> DataFrame:
@@ -86,7 +108,7 @@ class SnapshotStore:
              compute: Callable[[], DataFrame]) -> DataFrame:
         """Stored result if younger than ``max_age_hours``, else recompute, store and return it."""
         fresh = self.ages(now).where((F.col("key") == key) & (F.col("age_hours") < max_age_hours))
-        if fresh.limit(1).count() > 0:
+        if key in self.pending or fresh.limit(1).count() > 0:
             try:
                 df = self.spark.read.parquet(self.data_path(key))
                 df.schema  # noqa: B018 - touch the footer: a corrupt entry fails here
@@ -128,15 +150,24 @@ def refresh(store: SnapshotStore, tasks: dict[str, Task], now: datetime, force:
     """
     spark = store.spark
     ttl = spark.createDataFrame([(k, float(t.ttl_hours)) for k, t in tasks.items()], "key string, ttl_hours double")
-    todo = [r["key"] for r in stale_keys(ttl, store.ages(now), force).where("stale").select("key").collect()]
-    results = []
-    for key in sorted(todo):
+    stale = {r["key"] for r in stale_keys(ttl, store.ages(now), force).where("stale").select("key").collect()}
+    todo = [key for key in tasks if key in stale]          # declared order: inputs before users
+    results, stored = [], []
+    for key in todo:
         try:
-            ok = store.write(key, tasks[key].compute(), now)
-            rows = spark.read.parquet(store.data_path(key)).count() if ok else None
-            results.append((key, "ok" if ok else "not_stored", rows, None))
+            rows = store.write_data(key, tasks[key].compute())
+            if rows is None:
+                results.append((key, "not_stored", None, None))
+            else:
+                stored.append((key, rows))
+                store.pending[key] = now
+                results.append((key, "ok", rows, None))
         except Exception as exc:  # noqa: BLE001 - reported per key
             results.append((key, "failed", None, str(exc)[:500]))
+    recorded = store.record(stored, now)
+    store.pending.clear()
+    if not recorded:
+        results = [(k, "not_stored" if st == "ok" else st, n, e) for k, st, n, e in results]
     for key in sorted(set(tasks) - set(todo)):
         results.append((key, "fresh", None, None))
     return spark.createDataFrame(results, "key string, status string, rows bigint, error string")
