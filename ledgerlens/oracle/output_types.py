@@ -322,7 +322,6 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                       'price_id')},
  'table_binding_rpl_exemption_requests': {'bools': (),
                                           'ints': ('id', 'degree_student_id', 'approved_credits')},
- 'table_binding_services': {'bools': (), 'ints': ('id',)},
  'table_binding_st_students': {'bools': (), 'ints': ('id', 'student_id', 'workload_count', 'degree_count')},
  'table_binding_students': {'bools': (), 'ints': ('id', 'user_id', 'college_id')},
  'table_binding_subscription_phases': {'bools': (), 'ints': ('id', 'subscription_id')},

@@ -327,7 +327,9 @@ def _binding_entry(name: str) -> Entry:
 
 from ..sources.warehouse import OPERATIONAL_TABLES  # noqa: E402
 
-ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES})
+# The service-kind list is a fixed literal (it reads no given table), so it is
+# unit-tested rather than registered.
+ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES if n != "services"})
 
 
 # ---- 2.1 S07-S10 stored results --------------------------------------------

@@ -96,3 +96,9 @@ def test_hot_key_fan_out_is_counted_exactly(spark):
     r = lds.admission_mix(wh, P).first()
     # brute force over the event x enrolment pairs of each key
     assert (r.pba, r.rpl, r.standard) == (40 * 10, 40 * 8, 40 * 12 + 3 * 1)
+
+
+def test_service_kind_list(wh_small):
+    got = sorted((r.id, r.kind) for r in wh_small.table("services").collect())
+    assert got == [(0, "SEAT"), (1, "SEAT_OVERAGE"), (2, "AIRLOCK"), (3, "EXEMPTION"), (4, "IMPORT"), (5, "PBA"),
+                   (6, "RPL"), (7, "ENROLLMENT"), (8, "MIN_REV_SHARE")]
