@@ -117,11 +117,6 @@ def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def zero_fill(*names: str) -> dict:
-    """Q9: zero-fill only the named count columns."""
-    return {n: 0 for n in names}
-
-
 def pyround(c: Column, digits: int = 0) -> Column:
     """Python ``round`` (half to even)."""
     return F.bround(c, digits)
@@ -142,11 +137,6 @@ def reliable_rate(rate: Column) -> Column:
     return rate.isNotNull() & (rate >= F.lit(MIN_COMPLETION_RATE))
 
 
-def extrapolated(mtd: Column, rate: Column) -> Column:
-    """Month-end estimate: round(mtd / rate) when reliable, else mtd."""
-    return F.when(reliable_rate(rate), pyround(mtd / rate, 0).cast("bigint")).otherwise(mtd.cast("bigint"))
-
-
 def sum_known(*cols: Column) -> Column:
     """Sum of the known parts, NULL only when every part is unknown."""
     any_known = None

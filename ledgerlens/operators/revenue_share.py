@@ -74,7 +74,7 @@ def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
     )
 
 
-def share_branch(fee_pct, tuition, floor, deg_avg, tenant_avg):
+def share_branch(tuition, deg_avg, tenant_avg):
     """Which waterfall branch applies: 1..4."""
     return (F.when(deg_avg.isNotNull(), 1)
             .when(tuition.isNotNull(), 2)
@@ -108,8 +108,7 @@ def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False,
     if with_rows:
         return j.select(
             "degree_student_id", "college_id", "degree_id", value.alias("value"),
-            share_branch(F.col("enrollment_pct"), F.col("tuition_usd"), floor0,
-                         F.col("deg_avg"), F.col("tenant_avg")).alias("branch"))
+            share_branch(F.col("tuition_usd"), F.col("deg_avg"), F.col("tenant_avg")).alias("branch"))
     return j.groupBy("college_id").agg(
         sqlround(F.sum(value), 0).alias("exp_rev_usd"),
         count_if(floor_only).alias("est_from_min_rev"),

@@ -176,6 +176,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
  'revenue_overview': {'bools': ('has_invoice',), 'ints': ('college_id',)},
  'revenue_overview_total': {'bools': (), 'ints': ('tenants', 'with_invoice')},
  'rpl_admissions': {'bools': (), 'ints': ('college_id', 'rpl_admission')},
+ 'run_query': {'bools': (), 'ints': ('id',)},
  'seasonal_factor': {'bools': (), 'ints': ('college_id',)},
  'seat_eom_revenue': {'bools': (), 'ints': ()},
  'seat_expected_revenue_asof': {'bools': (), 'ints': ('college_id',)},

@@ -327,6 +327,13 @@ def _binding_entry(name: str) -> Entry:
 
 from ..sources.warehouse import OPERATIONAL_TABLES  # noqa: E402
 
+# S01 as the source exposes it: SQL text over the named tables.
+ENTRIES["run_query"] = Entry(
+    lambda wh: wh.run_query("SELECT id, name, revenue_model FROM orgs WHERE status = 'VERIFIED' "
+                            "ORDER BY revenue_model DESC, name"),
+    sql_final="SELECT id, name, revenue_model FROM orgs WHERE status = 'VERIFIED' ORDER BY revenue_model DESC, name",
+    sql_deps=("orgs",))
+
 # The service-kind list is a fixed literal (it reads no given table), so it is
 # unit-tested rather than registered.
 ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES if n != "services"})

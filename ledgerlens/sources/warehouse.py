@@ -134,10 +134,20 @@ class Warehouse:
             return self._bound[name]
         return getattr(self, name)
 
-    def bind_views(self, prefix: str = "") -> None:
-        """Register every operational table as a temp view (``spark.sql`` access)."""
+    def bind_views(self) -> None:
+        """Register every operational table as a temp view under its own name."""
         for name in OPERATIONAL_TABLES:
-            self.table(name).createOrReplaceTempView(prefix + name)
+            self.table(name).createOrReplaceTempView(name)
+
+    def run_query(self, sql: str) -> DataFrame:
+        """Read-only SQL over the named operational tables, as a DataFrame.
+
+        The views are (re)bound to this warehouse right before the statement is
+        analysed; the returned plan keeps referring to these tables even if
+        another warehouse binds the names later.
+        """
+        self.bind_views()
+        return self.spark.sql(sql)
 
     def _get(self, name: str, build) -> DataFrame:
         if name not in self._bound:
