@@ -264,4 +264,5 @@ def tenant_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) ->
             F.sum("n_pause").cast("bigint").alias("pauses"),
             F.sum("n_archive").cast("bigint").alias("archives"),
         )
+        .orderBy("college_id", "month")
     )

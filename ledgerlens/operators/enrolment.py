@@ -153,4 +153,5 @@ def graduation_trend(wh: Warehouse) -> DataFrame:
         ds.where(F.col("status") == "COMPLETED")
         .groupBy("college_id", F.date_format(day("created"), "yyyy-MM").alias("month"))
         .agg(F.count(F.lit(1)).alias("graduates"))
+        .orderBy("college_id", "month")
     )

@@ -51,7 +51,8 @@ def lead_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) -> D
     if college_id is not None:
         leads = leads.where(F.col("college_id") == F.lit(college_id))
     return (leads.groupBy("college_id", F.date_format(day("created"), "yyyy-MM").alias("month"))
-            .agg(F.count(F.lit(1)).alias("new_st")))
+            .agg(F.count(F.lit(1)).alias("new_st"))
+            .orderBy("college_id", "month"))
 
 
 def workload_total(wh: Warehouse, p: Period) -> DataFrame:
