@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .periods import MIN_COMPLETION_RATE, lit_date
+from .periods import MIN_COMPLETION_RATE
 
 
 def day(ts: Column | str) -> Column:

@@ -1,7 +1,6 @@
 """Side dimensions from their JSON forms, and binding real tables directly."""
 from datetime import date, datetime
 
-from pyspark.sql import functions as F
 
 from ledgerlens.functions.periods import Period
 from ledgerlens.operators import enrolment as enr
