@@ -17,7 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, day, day_on_or_after, day_on_or_before, on_or_between, safe_div, sqlround
+from ..functions.exprs import count_if, day, safe_div, sqlround
 from ..functions.periods import Period, add_months, lit_date
 from ..sources.warehouse import Warehouse
 
@@ -30,14 +30,9 @@ KINDS = (ENROL, PAUSE, ARCHIVE)
 
 def activity_daily(wh: Warehouse, lo: date | None = None, hi: date | None = None) -> DataFrame:
     """(college_id, d, n_enrol, n_pause, n_archive) for days in [lo, hi]."""
-    a = wh.table("activities")
-    cond = F.col("kind").isin(*KINDS)
-    if lo is not None:
-        cond = cond & day_on_or_after("created", lo)
-    if hi is not None:
-        cond = cond & day_on_or_before("created", hi)
+    a = wh.slice("activities", lo, hi)
     return (
-        a.where(cond)
+        a.where(F.col("kind").isin(*KINDS))
         .groupBy("college_id", day("created").alias("d"))
         .agg(
             count_if(F.col("kind") == ENROL).alias("n_enrol"),
@@ -93,12 +88,11 @@ def activity_monthly(wh: Warehouse, lo: date, hi: date, through_day: int) -> Dat
     ``n_enrol_mtd`` counts enrolments on or before day ``through_day`` of the
     month: the capped month-to-date count of M03 and the MTD count of M14.
     """
-    a = wh.table("activities")
+    a = wh.slice("activities", lo, hi)
     d = day("created")
-    cond = F.col("kind").isin(*KINDS) & on_or_between("created", lo, hi)
     enrol = F.col("kind") == ENROL
     return (
-        a.where(cond)
+        a.where(F.col("kind").isin(*KINDS))
         .groupBy("college_id", F.trunc(d, "MM").alias("mo"))
         .agg(
             count_if(enrol).alias("n_enrol"),

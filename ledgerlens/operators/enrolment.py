@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (active_on, count_if, day, day_before, day_on_or_after, is_true, on_or_between,
-                               safe_div, sqlround, unbounded_if_null)
+from ..functions.exprs import active_on, count_if, day, is_true, on_or_between, safe_div, sqlround, unbounded_if_null
 from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .pricing import phase_start
@@ -87,9 +86,9 @@ def conversion_admission_counts(wh: Warehouse, p: Period) -> DataFrame:
 
 def refund_window_archives(wh: Warehouse, p: Period) -> DataFrame:
     """Archived enrolments created in the 31 days ending on the month's last day."""
-    ds = wh.table("degree_students")
+    ds = wh.slice("degree_students", p.refund_window_first, p.last)
     return (
-        ds.where((F.col("status") == "ARCHIVED") & on_or_between("created", p.refund_window_first, p.last))
+        ds.where(F.col("status") == "ARCHIVED")
         .groupBy("college_id")
         .agg(F.count(F.lit(1)).alias("archived_30d"))
     )
@@ -97,8 +96,8 @@ def refund_window_archives(wh: Warehouse, p: Period) -> DataFrame:
 
 def exemption_counts(wh: Warehouse, p: Period) -> DataFrame:
     """Approved exemption requests processed in the month, split at 20 credits."""
-    r = wh.table("rpl_exemption_requests").where(
-        on_or_between("processed", p.first, p.last) & (F.col("status") == "APPROVED")
+    r = wh.slice("rpl_exemption_requests", p.first, p.last).where(
+        F.col("status") == "APPROVED"
     ).select("degree_student_id", "approved_credits")
     ds = wh.table("degree_students").select(F.col("id").alias("degree_student_id"), "college_id")
     return (
@@ -113,9 +112,8 @@ def exemption_counts(wh: Warehouse, p: Period) -> DataFrame:
 
 def rpl_admissions(wh: Warehouse, p: Period) -> DataFrame:
     """Enrolments of the month with an RPL service row (counts service rows)."""
-    ds = wh.table("degree_students").where(
-        day_on_or_after("created", p.first) & day_before("created", p.next_first)
-    ).select(F.col("id").alias("degree_student_id"), "college_id")
+    ds = wh.slice("degree_students", p.first, p.last).select(
+        F.col("id").alias("degree_student_id"), "college_id")
     dss = wh.table("degree_student_services").where(F.col("rpl").isNotNull()).select("degree_student_id")
     return ds.join(dss, "degree_student_id").groupBy("college_id").agg(F.count(F.lit(1)).alias("rpl_admission"))
 
@@ -127,7 +125,7 @@ def featured_course_counts(wh: Warehouse, p: Period, featured: DataFrame) -> Dat
     join, so the list is never collected to the driver.
     """
     courses = wh.table("courses").join(featured.select("name").distinct(), "name", "left_semi")
-    acs = wh.table("ams_course_students").where(on_or_between("created", p.first, p.last))
+    acs = wh.slice("ams_course_students", p.first, p.last)
     return (
         acs.join(courses.select(F.col("id").alias("course_id"), "college_id"), "course_id")
         .groupBy("college_id")

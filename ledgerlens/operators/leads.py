@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, day, day_before, day_on_or_after, day_on_or_before, is_false, is_true, on_or_between
+from datetime import date
+
+from ..functions.exprs import count_if, day, day_on_or_before, is_false, is_true, on_or_between
 from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .activity import ENROL
@@ -20,8 +22,9 @@ FUNNEL_COLUMNS = ("wlh_count", "age_0_6m", "age_6_12m", "age_12pm", "conv_total"
                   "adm_standard", "adm_pba", "adm_rpl", "enrol_total")
 
 
-def _leads(wh: Warehouse) -> DataFrame:
-    st = wh.table("st_students").select(F.col("student_id"), "created", "workload_count", "degree_count")
+def _leads(wh: Warehouse, lo: date | None = None, hi: date | None = None) -> DataFrame:
+    st = (wh.slice("st_students", lo, hi) if (lo or hi) else wh.table("st_students")).select(
+        F.col("student_id"), "created", "workload_count", "degree_count")
     s = wh.table("students").select(F.col("id").alias("student_id"), "college_id")
     return st.join(s, "student_id")
 
@@ -34,20 +37,23 @@ def lead_counts(wh: Warehouse, p: Period) -> DataFrame:
     )
 
 
-def _workload_filter(p: Period):
-    return (day_before("created", p.first) & (F.col("workload_count") >= WORKLOAD_MINUTES)
-            & (F.col("degree_count") == 0))
+def _workload_filter():
+    return (F.col("workload_count") >= WORKLOAD_MINUTES) & (F.col("degree_count") == 0)
+
+
+def _before(p: Period) -> date:
+    return date.fromordinal(p.first.toordinal() - 1)
 
 
 def lead_workload(wh: Warehouse, p: Period) -> DataFrame:
     """Unconverted leads created before the month with at least 25 h of work."""
-    return (_leads(wh).where(_workload_filter(p)).groupBy("college_id")
+    return (_leads(wh, hi=_before(p)).where(_workload_filter()).groupBy("college_id")
             .agg(F.count(F.lit(1)).alias("st_wlh_count")))
 
 
 def lead_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) -> DataFrame:
     """New leads per (tenant, month) since as_of - months."""
-    leads = _leads(wh).where(day_on_or_after("created", p.trend_first(months)))
+    leads = _leads(wh, lo=p.trend_first(months))
     if college_id is not None:
         leads = leads.where(F.col("college_id") == F.lit(college_id))
     return (leads.groupBy("college_id", F.date_format(day("created"), "yyyy-MM").alias("month"))
@@ -57,12 +63,8 @@ def lead_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) -> D
 
 def workload_total(wh: Warehouse, p: Period) -> DataFrame:
     """M13 over all leads, without the tenant join."""
-    st = wh.table("st_students")
-    return st.where(_workload_filter(p)).agg(F.count(F.lit(1)).alias("wlh_count"))
-
-
-def _month_range(col: str, p: Period):
-    return day_on_or_after(col, p.first) & day_before(col, p.next_first)
+    st = wh.slice("st_students", hi=_before(p))
+    return st.where(_workload_filter()).agg(F.count(F.lit(1)).alias("wlh_count"))
 
 
 def conversion_age_bands(wh: Warehouse, p: Period) -> DataFrame:
@@ -75,8 +77,8 @@ def conversion_age_bands(wh: Warehouse, p: Period) -> DataFrame:
     # user in a month. Each lead row then meets its user's enrolment days and
     # carries their multiplicity, so the joined-row count of the source
     # definition is kept exactly without emitting enrolment x lead pairs.
-    ds_days = (wh.table("degree_students")
-               .where(is_true("has_activity_before_invitation") & _month_range("created", p))
+    ds_days = (wh.slice("degree_students", p.first, p.last)
+               .where(is_true("has_activity_before_invitation"))
                .groupBy("user_id", day("created").alias("ds_day"))
                .agg(F.count(F.lit(1)).alias("n_ds")))
     s = wh.table("students").select(F.col("id").alias("student_id"), "user_id")
@@ -100,7 +102,7 @@ def admission_mix(wh: Warehouse, p: Period) -> DataFrame:
     # Enrol events of the month reduced to one row per key with their count:
     # each enrolment row meets at most one such row and contributes that
     # count, which equals the event x enrolment fan-out without building it.
-    a = (wh.table("activities").where((F.col("kind") == ENROL) & _month_range("created", p))
+    a = (wh.slice("activities", p.first, p.last).where(F.col("kind") == ENROL)
          .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")))
     ds = wh.table("degree_students").select(*keys, "is_pba_converted", "rpl_exemption_request_id")
     pba = is_true("is_pba_converted")

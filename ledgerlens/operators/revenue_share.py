@@ -13,21 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, day_on_or_after, distinct_from, on_or_between, sqlround, strict_greatest
+from ..functions.exprs import count_if, distinct_from, sqlround, strict_greatest
 from ..functions.periods import Period
 from ..sources.warehouse import Warehouse
 from .pricing import degree_fee_pivot
 
 
-def _shareable_purchases(wh: Warehouse) -> DataFrame:
-    p = wh.table("purchases")
+def _shareable_purchases(wh: Warehouse, lo=None) -> DataFrame:
+    p = wh.slice("purchases", lo) if lo is not None else wh.table("purchases")
     return p.where(distinct_from("category", "STUDYTRACK") & F.col("rev_share").isNotNull())
 
 
 def avg_share_per_degree_3m(wh: Warehouse, p: Period, fees: DataFrame | None = None) -> DataFrame:
     """Avg of max(rev_share, floor) per degree since the first of month - 2 (no upper bound)."""
     fees = fees if fees is not None else degree_fee_pivot(wh)
-    pur = _shareable_purchases(wh).where(day_on_or_after("created", p.three_months_ago))
+    pur = _shareable_purchases(wh, lo=p.three_months_ago)
     return (
         pur.select("college_id", "degree_id", "rev_share")
         .join(fees.select("college_id", "degree_id", "min_rev_share"), ["college_id", "degree_id"])
@@ -52,7 +52,7 @@ def avg_share_per_tenant(wh: Warehouse, fees: DataFrame | None = None) -> DataFr
 
 def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
     """M09e: enrolments of the month with their USD tuition (override, else USD list price)."""
-    ds = wh.table("degree_students").where(on_or_between("created", p.first, p.last)).select(
+    ds = wh.slice("degree_students", p.first, p.last).select(
         F.col("id").alias("degree_student_id"), "college_id", "degree_id")
     d = wh.table("degrees").select(F.col("id").alias("degree_id"), "currency", "tuition_cost")
     ipo = wh.table("invoice_purchase_overrides").where(

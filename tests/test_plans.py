@@ -63,3 +63,19 @@ def test_report_scans_activities_once(spark, wh_small):
 def test_report_has_no_cartesian_product(wh_small):
     plan = _plan(tenant_month_report(wh_small, PAST))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_month_partitions_are_pruned(spark, wh_small):
+    from ledgerlens.operators.enrolment import refund_window_archives
+
+    text = _formatted(spark, act.activity_counts_month(wh_small, PAST))
+    parts = " ".join(line for line in text.splitlines() if "PartitionFilters" in line)
+    assert "created_month" in parts and "2000-06-01" in parts
+    text = _formatted(spark, refund_window_archives(wh_small, PAST))
+    parts = " ".join(line for line in text.splitlines() if "PartitionFilters" in line)
+    assert "2000-05-01" in parts and "2000-06-01" in parts
+
+
+def test_public_schema_has_no_partition_column(wh_small):
+    for name in ("activities", "degree_students", "purchases"):
+        assert not any(c.endswith("_month") for c in wh_small.table(name).columns)
