@@ -129,7 +129,7 @@ def featured_course_counts(wh: Warehouse, p: Period, featured: DataFrame) -> Dat
     return (
         acs.join(courses.select(F.col("id").alias("course_id"), "college_id"), "course_id")
         .groupBy("college_id")
-        .agg(F.count(F.lit(1)).alias("oxford_sbs"))
+        .agg(F.count(F.lit(1)).alias("featured_enrolments"))
     )
 
 

@@ -53,7 +53,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                       'rpl_admission',
                                       'rpl_low',
                                       'rpl_high',
-                                      'oxford_sbs',
+                                      'featured_enrolments',
                                       'active_base',
                                       'pauses_m1',
                                       'archives_m1',
@@ -73,7 +73,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                             'rpl_admission',
                                             'rpl_low',
                                             'rpl_high',
-                                            'oxford_sbs',
+                                            'featured_enrolments',
                                             'active_base',
                                             'pauses_m1',
                                             'archives_m1',
@@ -100,7 +100,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                        'rpl_admission',
                                        'rpl_low',
                                        'rpl_high',
-                                       'oxford_sbs',
+                                       'featured_enrolments',
                                        'archived_30d',
                                        'net_revsh')},
  'enrolment_overview_share_total': {'bools': ('eom_met',),
@@ -118,7 +118,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                              'rpl_admission',
                                              'rpl_low',
                                              'rpl_high',
-                                             'oxford_sbs',
+                                             'featured_enrolments',
                                              'archived_30d',
                                              'net_revsh',
                                              'projected',
@@ -129,7 +129,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                   'ints': ('college_id', 'new_enrol', 'projected', 'eom_est', 'eom_pct_of_proj')},
  'exemption_counts': {'bools': (), 'ints': ('college_id', 'rpl_low', 'rpl_high')},
  'expected_share_revenue': {'bools': (), 'ints': ('college_id', 'est_from_min_rev')},
- 'featured_course_counts': {'bools': (), 'ints': ('college_id', 'oxford_sbs')},
+ 'featured_course_counts': {'bools': (), 'ints': ('college_id', 'featured_enrolments')},
  'funnel_extras': {'bools': (),
                    'ints': ('wlh_count',
                             'age_0_6m',
@@ -201,7 +201,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                             'rpl_low',
                             'rpl_high',
                             'pba_count',
-                            'oxford_sbs')},
+                            'featured_enrolments')},
  'seat_overview_total': {'bools': (),
                          'ints': ('active_base',
                                   'new_enrol',
@@ -219,7 +219,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                   'rpl_low',
                                   'rpl_high',
                                   'pba_count',
-                                  'oxford_sbs',
+                                  'featured_enrolments',
                                   'projected',
                                   'eom_variance',
                                   'delta_m1',
@@ -250,7 +250,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                              'rpl_low',
                              'rpl_high',
                              'pba_count',
-                             'oxford_sbs')},
+                             'featured_enrolments')},
  'share_overview_total': {'bools': (),
                           'ints': ('new_enrol',
                                    'new_enrol_m1',
@@ -266,7 +266,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                    'rpl_low',
                                    'rpl_high',
                                    'pba_count',
-                                   'oxford_sbs',
+                                   'featured_enrolments',
                                    'projected',
                                    'eom_variance',
                                    'delta_m1',
@@ -293,7 +293,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                            'st_new_this_month',
                            'rpl_low',
                            'rpl_high',
-                           'oxford_sbs',
+                           'featured_enrolments',
                            'est_from_min_rev',
                            'net_additions',
                            'net_revsh')},
@@ -354,7 +354,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                   'st_new_this_month',
                                   'rpl_low',
                                   'rpl_high',
-                                  'oxford_sbs',
+                                  'featured_enrolments',
                                   'est_from_min_rev',
                                   'net_additions',
                                   'net_revsh')},
@@ -377,7 +377,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                           'st_new_this_month',
                                           'rpl_low',
                                           'rpl_high',
-                                          'oxford_sbs',
+                                          'featured_enrolments',
                                           'est_from_min_rev',
                                           'net_additions',
                                           'net_revsh')},

@@ -39,7 +39,7 @@ def report_ctes(p: Period) -> dict[str, tuple[str, tuple[str, ...]]]:
   COALESCE(lc.st_till_last_month, 0) AS st_till_last_month, COALESCE(lc.st_new_this_month, 0) AS st_new_this_month,
   COALESCE(cc.st_converted_this_month, 0) AS st_converted_this_month, COALESCE(cc.pba_count, 0) AS pba_count,
   COALESCE(ex.rpl_low, 0) AS rpl_low, COALESCE(ex.rpl_high, 0) AS rpl_high,
-  COALESCE(fc.oxford_sbs, 0) AS oxford_sbs, COALESCE(rw.archived_30d, 0) AS archived_30d,
+  COALESCE(fc.featured_enrolments, 0) AS featured_enrolments, COALESCE(rw.archived_30d, 0) AS archived_30d,
   pc.phase_start, pc.seat_fee_min, pc.seat_fee_max, pc.seat_overage_fee, pc.airlock_fee, pc.exemption_fee,
   pc.import_fee, pc.pba_fee, pc.rpl_fee, pc.enrollment_pct, pc.min_rev_share,
   es.exp_rev_usd, es.est_from_min_rev, se.seat_exp_rev, cr.completion_rate, cr.avg_full_month,
@@ -86,7 +86,7 @@ LEFT JOIN short_names sn ON sn.name = r.name""",
   CASE WHEN exp_rev_usd > 0 THEN exp_rev_usd END AS share_rev,
   st_converted_this_month * airlock_fee AS lead_rev,
   rpl_low * airlock_fee + rpl_high * 2 * airlock_fee + pba_count * airlock_fee + 0 AS rpl_pba_rev,
-  CAST(oxford_sbs * course_fee AS DOUBLE) AS course_rev
+  CAST(featured_enrolments * course_fee AS DOUBLE) AS course_rev
 FROM q_ob0""", ("q_ob0",)),
         "q_ob2": (f"""SELECT *,
   {_delta('new_enrol', 'new_enrol_m1_mtd', 'delta_m1')},

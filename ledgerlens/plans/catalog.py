@@ -149,7 +149,7 @@ _SEAT_TOTAL_SUMS = [RS.sum_i("active_base"), RS.sum_i("new_enrol"), RS.sum_i("ne
                     RS.sum_money("course_rev"), RS.sum_money("total_rev"),
                     RS.sum_i("st_till_last_month"), RS.sum_i("st_new_this_month"),
                     RS.sum_i("st_converted_this_month"), RS.sum_i("rpl_low"), RS.sum_i("rpl_high"),
-                    RS.sum_i("pba_count"), RS.sum_i("oxford_sbs")]
+                    RS.sum_i("pba_count"), RS.sum_i("featured_enrolments")]
 _SHARE_TOTAL_SUMS = [RS.sum_i("new_enrol"), RS.sum_i("new_enrol_m1"), RS.sum_i("new_enrol_y1"),
                      RS.sum_i("new_enrol_m1_mtd"), RS.sum_i("new_enrol_y1_mtd"), RS.sum_i("eom_enrol"),
                      RS.sum_i("archived_30d"), RS.sum_i("net_revsh"),
@@ -157,13 +157,13 @@ _SHARE_TOTAL_SUMS = [RS.sum_i("new_enrol"), RS.sum_i("new_enrol_m1"), RS.sum_i("
                      RS.sum_money("course_rev"), RS.sum_money("total_rev"),
                      RS.sum_i("st_till_last_month"), RS.sum_i("st_new_this_month"),
                      RS.sum_i("st_converted_this_month"), RS.sum_i("rpl_low"), RS.sum_i("rpl_high"),
-                     RS.sum_i("pba_count"), RS.sum_i("oxford_sbs")]
+                     RS.sum_i("pba_count"), RS.sum_i("featured_enrolments")]
 _EOM_VAR = "CASE WHEN proj_sum <> 0 THEN eom_enrol - proj_sum END AS eom_variance,"
 _ENROL_TOTAL_SUMS = [RS.sum_i("new_enrol"), RS.sum_i("eom_enrol_fallback", "eom_est"), RS.sum_i("new_enrol_m1"),
                      RS.sum_i("new_enrol_m1_mtd"), RS.sum_i("new_enrol_y1"), RS.sum_i("new_enrol_y1_mtd"),
                      RS.sum_i("st_till_last_month"), RS.sum_i("st_wlh_count"), RS.sum_i("st_new_this_month"),
                      RS.sum_i("st_converted_this_month"), RS.sum_i("pba_count"), RS.sum_i("rpl_admission"),
-                     RS.sum_i("rpl_low"), RS.sum_i("rpl_high"), RS.sum_i("oxford_sbs")]
+                     RS.sum_i("rpl_low"), RS.sum_i("rpl_high"), RS.sum_i("featured_enrolments")]
 _ENROL_FINAL = ("CASE WHEN proj_sum <> 0 THEN eom_est >= proj_sum END AS eom_met, "
                 "CASE WHEN proj_sum <> 0 THEN CAST(round_even(eom_est / proj_sum * 100, 0) AS BIGINT) END "
                 "AS eom_pct_of_proj,")
@@ -171,7 +171,7 @@ _FLAG_SQL = " UNION ALL ".join(
     f"SELECT college_id, '{flag}' AS flag FROM q_tenant_month_report WHERE {cond}" for flag, cond in zip(
         ov.OPPORTUNITY_FLAGS,
         ("st_till_last_month > 0 AND st_converted_this_month = 0", "rpl_low = 0 AND rpl_high = 0", "pba_count = 0",
-         "oxford_sbs = 0 AND revenue_model = 'SEAT_BASED'", "new_enrol = 0")))
+         "featured_enrolments = 0 AND revenue_model = 'SEAT_BASED'", "new_enrol = 0")))
 _REV_OVERVIEW_SQL = ("SELECT t.id AS college_id, t.name, t.revenue_model, ib.invoice_name, "
                      "ib.invoice_name IS NOT NULL AS has_invoice, "
                      "CASE WHEN ib.invoice_name IS NOT NULL THEN ib.quarterly_status END AS quarterly_status, "

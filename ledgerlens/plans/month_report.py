@@ -29,7 +29,7 @@ COUNT_COLUMNS = (
     "new_enrol", "pauses", "archives",
     "new_enrol_m1", "pauses_m1", "archives_m1", "new_enrol_m1_mtd", "new_enrol_y1", "new_enrol_y1_mtd",
     "active_base", "st_till_last_month", "st_new_this_month", "st_converted_this_month", "pba_count",
-    "rpl_low", "rpl_high", "oxford_sbs", "archived_30d",
+    "rpl_low", "rpl_high", "featured_enrolments", "archived_30d",
 )
 
 

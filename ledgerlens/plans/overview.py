@@ -78,7 +78,7 @@ def overview_base(wh: Warehouse, p: Period, rpl_admissions_in_revenue: bool = Fa
         (F.col("st_converted_this_month") * airlock).alias("lead_rev"),
         (F.col("rpl_low") * airlock + F.col("rpl_high") * 2 * airlock + F.col("pba_count") * airlock
          + rpl_adm * RPL_ADMISSION_FEE).alias("rpl_pba_rev"),
-        (F.col("oxford_sbs") * F.col("course_fee")).cast("double").alias("course_rev"),
+        (F.col("featured_enrolments") * F.col("course_fee")).cast("double").alias("course_rev"),
     )
     expected = F.when(F.col("revenue_model") == SEAT, F.col("seat_rev")).otherwise(F.col("share_rev"))
     return df.withColumn("expected_rev", expected).withColumn(
@@ -206,7 +206,7 @@ SEAT_COLUMNS = ("college_id", "name", "label", "active_base", "projected", "new_
                 "delta_y1_dir", "variance", "variance_mtd_based", "pauses_m1", "archives_m1", "net_additions",
                 "seat_fee_min", "seat_fee_max", "seat_rev", "st_till_last_month", "st_new_this_month",
                 "st_converted_this_month", "lead_rev", "rpl_low", "rpl_high", "pba_count", "rpl_pba_rev",
-                "oxford_sbs", "course_rev", "total_rev")
+                "featured_enrolments", "course_rev", "total_rev")
 
 
 def seat_overview(base: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def seat_overview_total(base: DataFrame) -> DataFrame:
         _sum_money("seat_rev"), _sum_money("lead_rev"), _sum_money("rpl_pba_rev"), _sum_money("course_rev"),
         _sum_money("total_rev"),
         _sumi("st_till_last_month"), _sumi("st_new_this_month"), _sumi("st_converted_this_month"),
-        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("oxford_sbs"),
+        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("featured_enrolments"),
     )
     cur = F.col("new_enrol")
     return t.select(
@@ -272,7 +272,7 @@ SHARE_COLUMNS = ("college_id", "name", "label", "projected", "new_enrol", "new_e
                  "delta_m1", "delta_m1_pct", "delta_m1_dir", "delta_y1", "delta_y1_pct", "delta_y1_dir",
                  "variance", "variance_mtd_based", "archived_30d", "net_revsh", "enrollment_pct", "share_rev",
                  "share_rev_approximate", "st_till_last_month", "st_new_this_month", "st_converted_this_month",
-                 "lead_rev", "rpl_low", "rpl_high", "pba_count", "rpl_pba_rev", "oxford_sbs", "course_rev",
+                 "lead_rev", "rpl_low", "rpl_high", "pba_count", "rpl_pba_rev", "featured_enrolments", "course_rev",
                  "total_rev")
 
 
@@ -295,7 +295,7 @@ def share_overview_total(base: DataFrame) -> DataFrame:
         _sum_money("share_rev"), _sum_money("lead_rev"), _sum_money("rpl_pba_rev"), _sum_money("course_rev"),
         _sum_money("total_rev"),
         _sumi("st_till_last_month"), _sumi("st_new_this_month"), _sumi("st_converted_this_month"),
-        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("oxford_sbs"),
+        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("featured_enrolments"),
     )
     return t.select(
         "*", F.when(F.col("proj_sum") != 0, F.col("proj_sum")).alias("projected"),
@@ -354,7 +354,7 @@ def opportunity_flags(report: DataFrame, exploded: bool = True) -> DataFrame:
         (F.col("st_till_last_month") > 0) & (F.col("st_converted_this_month") == 0),
         (F.col("rpl_low") == 0) & (F.col("rpl_high") == 0),
         F.col("pba_count") == 0,
-        (F.col("oxford_sbs") == 0) & (F.col("revenue_model") == SEAT),
+        (F.col("featured_enrolments") == 0) & (F.col("revenue_model") == SEAT),
         F.col("new_enrol") == 0,
     ]
     flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in zip(conds, OPPORTUNITY_FLAGS)]))
@@ -370,7 +370,7 @@ ENROL_COMMON = ("college_id", "name", "label", "projected", "new_enrol", "eom_es
                 "eom_pct_of_proj", "new_enrol_m1", "delta_m1", "delta_m1_pct", "delta_m1_dir", "new_enrol_y1",
                 "delta_y1", "delta_y1_pct", "delta_y1_dir", "st_till_last_month", "st_wlh_count",
                 "st_new_this_month", "st_converted_this_month", "pba_count", "rpl_admission", "rpl_low",
-                "rpl_high", "oxford_sbs")
+                "rpl_high", "featured_enrolments")
 
 
 def enrolment_overview_seat(base: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def _enrol_total(rows: DataFrame, extra: list[Column]) -> DataFrame:
         _sumi("new_enrol_m1"), _sumi("new_enrol_m1_mtd"), _sumi("new_enrol_y1"), _sumi("new_enrol_y1_mtd"),
         _sumi("st_till_last_month"), _sumi("st_wlh_count"), _sumi("st_new_this_month"),
         _sumi("st_converted_this_month"), _sumi("pba_count"), _sumi("rpl_admission"), _sumi("rpl_low"),
-        _sumi("rpl_high"), _sumi("oxford_sbs"), *extra,
+        _sumi("rpl_high"), _sumi("featured_enrolments"), *extra,
     )
     proj = F.col("proj_sum")
     return t.select(

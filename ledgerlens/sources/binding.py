@@ -12,6 +12,7 @@ scan with pushed filters. The result is memoised per session and data set.
 from __future__ import annotations
 
 import hashlib
+import os
 import threading
 
 from pyspark.sql import SparkSession
@@ -48,14 +49,19 @@ def _session_id(spark: SparkSession) -> str:
 
 
 def _code_version() -> str:
-    """Hash of the code that derives bound tables and views: a change re-binds."""
-    from ..operators import pricing
-    from . import warehouse
+    """Hash of the Spark-side package code (not the oracle).
 
+    Bound tables, views and stored results live under a tag that includes
+    it, so results written by other code are never read back.
+    """
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
-    for mod in (warehouse, pricing):
-        with open(mod.__file__, "rb") as fh:
-            h.update(fh.read())
+    for root, dirs, files in sorted(os.walk(pkg)):
+        dirs[:] = sorted(d for d in dirs if d not in ("oracle", "__pycache__"))
+        for name in sorted(files):
+            if name.endswith(".py"):
+                with open(os.path.join(root, name), "rb") as fh:
+                    h.update(name.encode() + fh.read())
     return h.hexdigest()[:12]
 
 
