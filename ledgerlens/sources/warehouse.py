@@ -106,14 +106,15 @@ class Warehouse:
         whole months by partition and row groups inside them by statistics.
         """
         root = root.rstrip("/")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
         for name in OPERATIONAL_TABLES:       # dependency order
             df = self.table(name)
             path = f"{root}/{name}"
             if name in PARTITIONED:
                 ts = PARTITIONED[name]
                 (df.withColumn(month_column(name), F.trunc(F.col(ts), "MM"))
-                 .repartitionByRange(parts, F.col(ts))
+                 # no fixed count: AQE sizes the time ranges to the advisory
+                 # partition size, so files stay large at any scale
+                 .repartitionByRange(F.col(ts))
                  .sortWithinPartitions(ts)
                  .write.mode(mode).partitionBy(month_column(name)).parquet(path))
             else:
