@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, quality, toxicity, url_filter
+from . import bpe, exact_dedup, language, packing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -14,14 +15,26 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
@@ -31,6 +44,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op3_exact_dedup, op5_toxicity, op8_url_filter, op9_quality)
+    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op7_bpe, op8_url_filter, op9_quality)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
