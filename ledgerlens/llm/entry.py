@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, pii, quality, toxicity, url_filter
+from . import bpe, exact_dedup, language, near_dedup, packing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op7_bpe, op8_url_filter, op9_quality)
+    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op7_bpe, op8_url_filter, op9_quality, op10_near_dedup)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
