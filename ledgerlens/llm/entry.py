@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, near_dedup, packing, pii, quality, toxicity, url_filter
+from . import ann, bpe, exact_dedup, language, near_dedup, packing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY))
 
@@ -48,6 +52,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op7_bpe, op8_url_filter, op9_quality, op10_near_dedup)
+    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op6_nearest, op7_bpe, op8_url_filter, op9_quality, op10_near_dedup)
 }
 SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
