@@ -52,7 +52,7 @@ def monthly_invoice_purchases(wh: Warehouse, billing_started: date) -> DataFrame
         F.col("amount").alias("invoice_total"))
     p = wh.table("purchases").where(F.col("status") == "BILLABLE").select("invoice_id", "product_id", "price_id")
     prod = wh.table("products").select(F.col("id").alias("product_id"), "service_id")
-    svc = F.broadcast(wh.table("services").select(F.col("id").alias("service_id"), "kind"))
+    svc = wh.table("services").select(F.col("id").alias("service_id"), "kind")
     pr = wh.table("prices").select(F.col("id").alias("price_id"), "price")
     j = (p.join(inv, "invoice_id")
          .join(prod, "product_id", "left")

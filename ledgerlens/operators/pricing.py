@@ -8,7 +8,7 @@ table through a hash join whose build side AQE broadcasts once measured.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import day
@@ -34,24 +34,15 @@ def phase_start(wh: Warehouse) -> DataFrame:
 
 def latest_phase(wh: Warehouse) -> DataFrame:
     """The newest phase per tenant (ties on version broken by higher id, Q10)."""
-    w = Window.partitionBy("college_id").orderBy(F.col("version").desc(), F.col("phase_id").desc())
-    return (
-        _tenant_phases(wh).withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") == 1)
-        .select("college_id", "phase_id", F.col("version").alias("phase_start"))
-    )
-
-
-def priced(wh: Warehouse) -> DataFrame:
-    """Public handle on the price x product x service dimension (shared by a report)."""
-    return _priced(wh)
+    newest = _tenant_phases(wh).groupBy("college_id").agg(F.max(F.struct("version", "phase_id")).alias("top"))
+    return newest.select("college_id", F.col("top.phase_id").alias("phase_id"), F.col("top.version").alias("phase_start"))
 
 
 def _priced(wh: Warehouse) -> DataFrame:
     """prices x products x services: (phase_id, college_id, degree_id, kind, price)."""
     pr = wh.table("prices").select("phase_id", F.col("product_id"), "price")
     prd = wh.table("products").select(F.col("id").alias("product_id"), "college_id", "degree_id", "service_id")
-    svc = F.broadcast(wh.table("services").select(F.col("id").alias("service_id"), "kind"))
+    svc = wh.table("services").select(F.col("id").alias("service_id"), "kind")
     return pr.join(prd, "product_id").join(svc, "service_id").select(
         "phase_id", "college_id", "degree_id", "kind", "price")
 
@@ -85,11 +76,11 @@ def seat_expected_revenue(wh: Warehouse, p: Period) -> DataFrame:
 
 
 def degree_fee_pivot(wh: Warehouse, priced: DataFrame | None = None, lp: DataFrame | None = None) -> DataFrame:
-    """enrollment_pct and min_rev_share per (tenant, degree) in the latest phase."""
-    lp = (lp if lp is not None else latest_phase(wh)).select("phase_id")
+    """enrollment_pct and min_rev_share per (tenant, degree) in the latest phase; the tenant is the phase's, whoever's product it prices."""
+    lp = (lp if lp is not None else latest_phase(wh)).select("college_id", "phase_id")
     priced = priced if priced is not None else _priced(wh)
     return (
-        priced.join(lp, "phase_id")
+        priced.drop("college_id").join(lp, "phase_id")
         .groupBy("college_id", "degree_id")
         .agg(
             F.max(F.when(F.col("kind") == "ENROLLMENT", F.col("price"))).alias("enrollment_pct"),
@@ -100,9 +91,9 @@ def degree_fee_pivot(wh: Warehouse, priced: DataFrame | None = None, lp: DataFra
 
 def pricing_config(wh: Warehouse, priced: DataFrame | None = None, lp: DataFrame | None = None) -> DataFrame:
     """The fee configuration of each tenant's latest phase (positive prices only)."""
-    lp = (lp if lp is not None else latest_phase(wh)).select("phase_id", "phase_start")
+    lp = (lp if lp is not None else latest_phase(wh)).select("college_id", "phase_id", "phase_start")
     priced = priced if priced is not None else _priced(wh)
-    cur = priced.where(F.col("price") > 0).join(lp, "phase_id")
+    cur = priced.drop("college_id").where(F.col("price") > 0).join(lp, "phase_id")
 
     def kind_max(kind: str):
         return F.max(F.when(F.col("kind") == kind, F.col("price")))

@@ -272,7 +272,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                    'delta_m1',
                                    'delta_y1')},
  'snapshot_read': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
- 'snapshot_refresh': {'bools': (), 'ints': ()},
+ 'snapshot_refresh': {'bools': (), 'ints': ('rows',)},
  'squad_lead_funnel': {'bools': (), 'ints': ('st_till', 'st_new', 'st_converted', 'enrolled')},
  'squad_report': {'bools': (),
                   'ints': ('college_id',

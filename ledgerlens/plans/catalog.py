@@ -56,8 +56,8 @@ ENTRIES: dict[str, Entry] = {
                                          **_q("conversion_admission_counts")),
     "latest_phase": Entry(lambda wh: prc.latest_phase(wh).withColumn("phase_start", F.to_date("phase_start")),
                           sql_final="SELECT college_id, phase_id, CAST(phase_start AS DATE) AS phase_start "
-                                    "FROM latest_phases WHERE rn = 1",
-                          sql_deps=("latest_phases",), dates=("phase_start",)),
+                                    "FROM newest_phase",
+                          sql_deps=("newest_phase",), dates=("phase_start",)),
     "degree_fee_pivot": Entry(lambda wh: prc.degree_fee_pivot(wh),
                               **_q("degree_fee_pivot", doubles=("enrollment_pct", "min_rev_share"))),
     "avg_share_per_degree_3m": Entry(lambda wh: rsh.avg_share_per_degree_3m(wh, PAST),
@@ -340,6 +340,7 @@ ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TAB
 
 
 # ---- 2.1 S07-S10 stored results --------------------------------------------
+import uuid  # noqa: E402
 from datetime import datetime  # noqa: E402
 
 from ..streaming import snapshots as snap  # noqa: E402
@@ -348,19 +349,32 @@ from ..streaming import snapshots as snap  # noqa: E402
 SNAPSHOT_NOW = datetime(2000, 7, 15, 12, 0, 0)
 
 
+def _new_store(wh):
+    """A store of its own for each call: what a query returns doesn't depend on what ran before."""
+    return snap.SnapshotStore(wh.spark, f"{snap.default_root(wh.spark)}/{uuid.uuid4().hex}")
+
+
 def _snapshot_read(wh):
-    store = snap.SnapshotStore(wh.spark, snap.default_root(wh.spark) + "/" + wh.tag)
+    """The metric is computed, stored, and read back from the store within its time to live."""
+    store, metric = _new_store(wh), "activity_counts_month_2000_06"
+    store.read(metric, snap.TTL_LIVE, SNAPSHOT_NOW, lambda: act.activity_counts_month(wh, PAST))
     return store.read("activity_counts_month_2000_06", snap.TTL_LIVE, SNAPSHOT_NOW,
                       lambda: act.activity_counts_month(wh, PAST))
 
 
 def _snapshot_refresh(wh):
-    store = snap.SnapshotStore(wh.spark, snap.default_root(wh.spark) + "/" + wh.tag)
+    store = _new_store(wh)
     return snap.refresh(store, snap.month_tasks(wh, PAST, store=store, now=SNAPSHOT_NOW), SNAPSHOT_NOW).select(
-        "key", "status")
+        "key", "status", "rows")
+
+
+# A refresh's report by SQL: every key of the month, stored, with its metric's number of rows.
+_REFRESH_COUNTS = {m.key(PAST): f"q_{m.name}" for m in snap.stored_metrics()} | {
+    snap.month_report_key(PAST): "q_tenant_month_report", snap.overview_key(PAST): "q_overview_base"}
+_REFRESH_SQL = "\nUNION ALL ".join(f"SELECT '{k}' AS key, 'ok' AS status, (SELECT COUNT(*) FROM {t}) AS rows" for k, t in sorted(_REFRESH_COUNTS.items()))
 
 
 ENTRIES.update({
     "snapshot_read": Entry(_snapshot_read, **_q("activity_counts_month")),
-    "snapshot_refresh": Entry(_snapshot_refresh),
+    "snapshot_refresh": Entry(_snapshot_refresh, sql_final=_REFRESH_SQL, sql_deps=tuple(sorted(set(_REFRESH_COUNTS.values())))),
 })

@@ -10,6 +10,7 @@ scanned once for the whole report.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -33,8 +34,26 @@ COUNT_COLUMNS = (
 )
 
 
-def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = None) -> DataFrame:
-    """One row per verified tenant with every metric of the month."""
+# The stored metrics that make up the report.
+STORED_PARTS = (
+    "activity_counts_month", "activity_counts_prior", "completion_rates", "active_base", "conversion_admission_counts",
+    "refund_window_archives", "seat_expected_revenue", "lead_counts", "exemption_counts", "featured_course_counts",
+    "pricing_config", "expected_share_revenue",
+)
+
+
+def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = None,
+                        stored: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """One row per verified tenant with every metric of the month.
+
+    ``stored`` gives a metric's stored result by name; with it the report joins
+    those results and reads no fact table.
+    """
+    if stored is not None:
+        parts = [stored(name) for name in STORED_PARTS]
+        at = STORED_PARTS.index("pricing_config")
+        parts[at] = parts[at].withColumn("phase_start", F.to_date("phase_start"))
+        return _joined(stored("verified_tenants"), parts)
     featured = featured if featured is not None else dims.featured_courses(wh)
     # Shared inputs: one bounded activity scan (M02, M03, M14), one enrolment
     # pass (M04/5, M06, M08, M10), materialised phase / price views.
@@ -48,8 +67,6 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
           for c in ("active_base", "st_converted_this_month", "pba_count", "archived_30d")],
         F.sum(F.when(F.col("seat_billable") > 0, F.col("seat_billable") * F.col("seat_fee"))).alias("seat_exp_rev"),
     )
-    tenants = verified_tenants(wh).select(F.col("id").alias("college_id"), "name", "revenue_model")
-
     parts = [
         month_report_activity(wh, p),
         per_tenant,
@@ -59,7 +76,11 @@ def tenant_month_report(wh: Warehouse, p: Period, featured: DataFrame | None = N
         view_or_build(wh, "pricing_config").withColumn("phase_start", F.to_date("phase_start")),
         expected_share_revenue(wh, p, fees=view_or_build(wh, "degree_fee_pivot")),
     ]
-    df = tenants
+    return _joined(verified_tenants(wh), parts)
+
+
+def _joined(tenants: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    df = tenants.select(F.col("id").alias("college_id"), "name", "revenue_model")
     for part in parts:
         df = df.join(part, "college_id", "left")
     df = df.fillna(0, subset=list(COUNT_COLUMNS))

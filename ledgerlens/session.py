@@ -69,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is not None and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     # Local runs and tests only: one stable scratch folder per user, so bound
     # test tables (keyed by data set and code version) are reused across runs.
     local = os.path.join(tempfile.gettempdir(), f"ledgerlens-ckpt-{os.getuid()}")

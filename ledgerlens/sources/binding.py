@@ -15,7 +15,9 @@ import hashlib
 import os
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .warehouse import Warehouse
@@ -33,8 +35,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path).limit(1).collect()
         return True
-    except Exception:  # noqa: BLE001 - missing marker
-        return False
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
 
 
 def _touch(spark: SparkSession, path: str) -> None:
@@ -57,7 +61,7 @@ def _code_version() -> str:
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
     for root, dirs, files in sorted(os.walk(pkg)):
-        dirs[:] = sorted(d for d in dirs if d not in ("oracle", "__pycache__"))
+        dirs[:] = sorted(d for d in dirs if d not in ("oracle", "llm", "__pycache__"))
         for name in sorted(files):
             if name.endswith(".py"):
                 with open(os.path.join(root, name), "rb") as fh:
@@ -65,8 +69,20 @@ def _code_version() -> str:
     return h.hexdigest()[:12]
 
 
+BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of the input files' paths, sizes and times, listed by Spark (any file system); their contents are not read."""
+    files = (spark.read.format("binaryFile").load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in BASE_TABLES])
+             .select("path", "length", "modificationTime"))
+    state = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.max("modificationTime").cast("string").alias("last"),
+                      F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string").alias("hash")).first()
+    return "|".join(map(str, state))
+
+
 def warehouse_root(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.sha1((sf_dir.rstrip("/") + "|" + _code_version()).encode()).hexdigest()[:12]
+    tag = hashlib.sha1("|".join((sf_dir.rstrip("/"), _code_version(), input_version(spark, sf_dir))).encode()).hexdigest()[:12]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-warehouse/{tag}"
 
 
@@ -81,10 +97,10 @@ def bound_warehouse(spark: SparkSession, sf_dir: str, rebuild: bool = False) ->
 
 
 def _bind(spark: SparkSession, sf_dir: str, rebuild: bool) -> Warehouse:
-    key = (_session_id(spark), sf_dir.rstrip("/"))
+    root = warehouse_root(spark, sf_dir)
+    key = (_session_id(spark), root)
     if key in _BOUND and not rebuild:
         return _BOUND[key]
-    root = warehouse_root(spark, sf_dir)
     if rebuild or not _exists(spark, _marker_path(root)):
         Warehouse.from_testdata(spark, sf_dir).write(root)
         _touch(spark, _marker_path(root))

@@ -1,9 +1,10 @@
 """Side dimensions: S02 projections, S03 fees, S04 squads, S05 short names, S06 featured courses.
 
 In an operational deployment these are small, hand-maintained maps (a JSON
-file, a config table). ``from_json_doc`` turns the nested JSON form into
-rows on the executors; ``from_testdata`` derives each dimension from the
-test tables by the FIXTURES.md recipes.
+file, a config table), bound to the warehouse by name: as tables, or through
+``bind_maps`` in their JSON forms, which are turned into rows on the executors.
+Where none is bound, each is derived from the test tables by the FIXTURES.md
+recipes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .warehouse import Warehouse
 
 def projections(wh: Warehouse) -> DataFrame:
     """S02 (test binding): (name, month, projected)."""
+    if wh.side("projections") is not None:
+        return wh.side("projections")
     n = wh.base("nation")
     return n.where(F.col("n_nationkey") % 6 != 5).select(
         F.col("n_name").alias("name"), F.lit("2000-06").alias("month"),
@@ -37,6 +40,8 @@ def projections_from_json(docs: DataFrame, col: str = "doc") -> DataFrame:
 
 def fees(wh: Warehouse) -> DataFrame:
     """(name, fee) - fee per featured-course enrolment."""
+    if wh.side("fees") is not None:
+        return wh.side("fees")
     n = wh.base("nation")
     return n.where(F.col("n_nationkey") % 5 == 0).select(
         F.col("n_name").alias("name"), (400 + 50 * (F.col("n_nationkey") % 4)).alias("fee"))
@@ -45,13 +50,15 @@ def fees(wh: Warehouse) -> DataFrame:
 def fees_from_map(docs: DataFrame, col: str = "doc") -> DataFrame:
     """S03 from a JSON map tenant -> fee."""
     pairs = docs.select(F.explode(F.from_json(F.col(col), "map<string,string>")).alias("name", "raw"))
-    # Non-numeric entries (comments) become NULL and drop out (F22 lenient conversion).
-    return (pairs.select("name", F.expr("try_cast(raw AS INT)").alias("fee"))
-            .where(F.col("fee").isNotNull()))
+    # F22, lenient conversion: fractions stay; what is no number (comments, NaN) drops out.
+    return (pairs.select("name", F.expr("try_cast(raw AS DOUBLE)").alias("fee"))
+            .where(F.col("fee").isNotNull() & ~F.isnan("fee")))
 
 
 def squads(wh: Warehouse) -> DataFrame:
     """(squad, name)."""
+    if wh.side("squads") is not None:
+        return wh.side("squads")
     r = wh.base("region").select("r_regionkey", "r_name")
     n = wh.base("nation").select("n_nationkey", "n_name", "n_regionkey")
     return (n.where(F.col("n_nationkey") % 8 != 3)
@@ -68,6 +75,8 @@ def squads_from_map(docs: DataFrame, col: str = "doc") -> DataFrame:
 
 def short_names(wh: Warehouse) -> DataFrame:
     """S05 raw map: (name, short_name) for the tenants that have one."""
+    if wh.side("short_names") is not None:
+        return wh.side("short_names")
     n = wh.base("nation")
     return n.where(F.col("n_nationkey") % 4 != 0).select(
         F.col("n_name").alias("name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("short_name"))
@@ -83,6 +92,22 @@ def with_label(df: DataFrame, shorts: DataFrame, name_col: str = "name") -> Data
 
 def featured_courses(wh: Warehouse) -> DataFrame:
     """The featured course names."""
+    if wh.side("featured_courses") is not None:
+        return wh.side("featured_courses")
     p = wh.base("part")
     return p.where(F.col("p_name").like("blue%")).select(F.col("p_name").alias("name")).distinct()
 
+
+
+def short_names_from_map(docs: DataFrame, col: str = "doc") -> DataFrame:
+    """S05 from a JSON map tenant -> short name."""
+    return docs.select(F.explode(F.from_json(F.col(col), "map<string,string>")).alias("name", "short_name"))
+
+
+def bind_maps(wh: Warehouse, projections: DataFrame, fees: DataFrame, squads: DataFrame, short_names: DataFrame,
+              featured: DataFrame) -> Warehouse:
+    """Bind the side dimensions from JSON documents (column ``doc``) and a table of featured course names (``name``)."""
+    wh.bind_sides(
+        projections=projections_from_json(projections), fees=fees_from_map(fees), squads=squads_from_map(squads),
+        short_names=short_names_from_map(short_names), featured_courses=featured.select("name").distinct())
+    return wh

@@ -60,6 +60,10 @@ def _int_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+# Side dimensions that a warehouse may bind by name.
+SIDE_TABLES = ("projections", "fees", "squads", "short_names", "featured_courses")
+
+
 def _unbound(name: str) -> DataFrame:
     raise KeyError(f"table {name!r} is not bound")
 
@@ -72,6 +76,7 @@ class Warehouse:
         self._loader = loader
         self._bound: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
+        self._sides: dict[str, DataFrame] = {}     # S02-S06 by name
         self.tag = "default"       # names this data set in shared folders
 
     # ---- construction -------------------------------------------------
@@ -86,11 +91,23 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> "Warehouse":
-        """Bind operational tables directly; missing names fall back to nothing."""
+        """Bind operational tables, and side dimensions (S02-S06) among them, directly by name; a table that is missing raises ``KeyError``."""
         wh = cls(spark, _unbound)
-        wh._bound.update(tables)
+        wh._bound.update({k: t for k, t in tables.items() if k not in SIDE_TABLES})
+        wh.bind_sides(**{k: t for k, t in tables.items() if k in SIDE_TABLES})
         return wh
 
+    def bind_sides(self, **tables: DataFrame) -> None:
+        """Bind side dimensions by name (``SIDE_TABLES``)."""
+        for name, df in tables.items():
+            if name not in SIDE_TABLES:
+                raise KeyError(f"{name!r} is no side dimension")
+            self._sides[name] = df
+
+    def side(self, name: str) -> DataFrame | None:
+        """A side dimension bound by name, if there is one."""
+        return self._sides.get(name)
+
     @classmethod
     def from_parquet_dir(cls, spark: SparkSession, root: str) -> "Warehouse":
         """Bind every operational table to ``{root}/{table}`` parquet folders."""
@@ -112,9 +129,9 @@ class Warehouse:
             if name in PARTITIONED:
                 ts = PARTITIONED[name]
                 (df.withColumn(month_column(name), F.trunc(F.col(ts), "MM"))
-                 # no fixed count: AQE sizes the time ranges to the advisory
-                 # partition size, so files stay large at any scale
-                 .repartitionByRange(F.col(ts))
+                 # no fixed count: AQE coalesces ranges up to the advisory size;
+                 # the row's hash splits a day (or an instant) that holds a large share of all rows
+                 .repartitionByRange(F.col(ts), F.xxhash64(*df.columns))
                  .sortWithinPartitions(ts)
                  .write.mode(mode).partitionBy(month_column(name)).parquet(path))
             else:

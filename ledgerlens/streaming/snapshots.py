@@ -2,9 +2,9 @@
 
 The reference has no streams; freshness comes from a batch job that
 recomputes stale metric results on a schedule and from pages that read
-stored results. Here a result is a parquet folder under a snapshot root in
-the session's shared checkpoint folder, and an append-only manifest
-records (key, refreshed_at, row_count) per write. Reads go through the
+stored results. Here each write of a result is a new parquet folder under a
+snapshot root in the session's shared checkpoint folder, and an append-only
+manifest records (key, refreshed_at, row_count, path) per write. Reads go through the
 manifest: a result younger than its TTL is read back, anything else is
 recomputed and stored. Time is passed in (``now``), never read from the
 clock inside the logic, so tests control ages exactly.
@@ -12,16 +12,19 @@ clock inside the logic, so tests control ages exactly.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-MANIFEST_SCHEMA = "key string, refreshed_at timestamp_ntz, row_count bigint"
+MANIFEST_SCHEMA = "key string, refreshed_at timestamp_ntz, row_count bigint, path string, written bigint"
 
 # Time-to-live rules in hours.
 TTL_LIVE = 1.0          # current-month activity, current active base
@@ -40,14 +43,23 @@ class SnapshotStore:
     root: str
     # Results written in the current refresh run, not yet in the manifest.
     pending: dict = field(default_factory=dict)
+    last_error: str | None = None
 
     @classmethod
     def for_session(cls, spark: SparkSession) -> "SnapshotStore":
         return cls(spark, default_root(spark))
 
     # ---- paths -----------------------------------------------------------
-    def data_path(self, key: str) -> str:
-        return f"{self.root.rstrip('/')}/data/{key}"
+    def new_path(self, key: str) -> str:
+        """A folder that no result was written to before: a write never touches what readers may be using."""
+        return f"{self.root.rstrip('/')}/data/{key}/{uuid.uuid4().hex}"
+
+    def data_path(self, key: str) -> str | None:
+        """Folder of the newest recorded result of ``key``."""
+        if key in self.pending:
+            return self.pending[key].path
+        row = self.manifest().where(F.col("key") == key).first()
+        return row["path"] if row else None
 
     @property
     def manifest_path(self) -> str:
@@ -56,44 +68,43 @@ class SnapshotStore:
     # ---- S07 ---------------------------------------------------------------
     def write(self, key: str, df: DataFrame, now: datetime) -> bool:
         """Store ``df`` under ``key`` and record it; a failure to store is reported, not raised."""
-        rows = self.write_data(key, df)
-        return rows is not None and self.record([(key, rows)], now)
-
-    def write_data(self, key: str, df: DataFrame) -> int | None:
-        """Write the result files only; returns the stored row count, or None on failure."""
         try:
-            path = self.data_path(key)
-            df.write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path).count()
-        except Exception:  # noqa: BLE001 - storing is best effort by design
-            return None
+            self.record([self.write_data(key, df)], now)
+            return True
+        except Exception as exc:  # noqa: BLE001 - storing is best effort here; `refresh` reports errors in full
+            self.last_error = str(exc)
+            return False
+
+    def write_data(self, key: str, df: DataFrame) -> "Stored":
+        """Write the result files to a new folder, counting rows on the way. Errors of the query or the folder are raised.
+
+        The result replaces the former one when ``record`` names it: until
+        then, and if anything fails, the former one stays as it is.
+        """
+        seen, path = Observation(), self.new_path(key)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return Stored(key, path, seen.get["n"])
 
-    def record(self, entries: list[tuple[str, int]], now: datetime) -> bool:
+    def record(self, entries: "list[Stored]", now: datetime) -> None:
         """Append manifest rows for stored results (one small write for many keys).
 
         Data is written before its manifest row: a crash in between leaves an
         unrecorded result, which the next read simply recomputes.
         """
-        if not entries:
-            return True
-        try:
-            rows = [(key, now, n) for key, n in entries]
-            self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1) \
-                .write.mode("append").parquet(self.manifest_path)
-            for key, _ in entries:
-                self.pending.pop(key, None)
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+        if entries:
+            rows = [(e.key, now, e.rows, e.path, time.time_ns()) for e in entries]     # `written` orders writes of one `now`
+            self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(self.manifest_path)
+        for e in entries:
+            self.pending.pop(e.key, None)
 
     def manifest(self) -> DataFrame:
-        """Latest write per key: (key, refreshed_at, row_count)."""
+        """Latest write per key: (key, refreshed_at, row_count, path)."""
         try:
             m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except Exception:  # noqa: BLE001 - no manifest yet
-            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        latest = m.groupBy("key").agg(F.max("refreshed_at").alias("refreshed_at"))
-        return m.join(latest, ["key", "refreshed_at"]).dropDuplicates(["key"])
+        except AnalysisException:      # no manifest yet
+            m = self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        newest = F.max(F.struct("refreshed_at", "written", "row_count", "path")).alias("top")
+        return m.groupBy("key").agg(newest).select("key", "top.refreshed_at", "top.row_count", "top.path")
 
     def ages(self, now: datetime) -> DataFrame:
         """(key, age_hours) of every stored result."""
@@ -109,17 +120,36 @@ class SnapshotStore:
         """Stored result if younger than ``max_age_hours``, else recompute, store and return it."""
         fresh = self.ages(now).where((F.col("key") == key) & (F.col("age_hours") < max_age_hours))
         if key in self.pending or fresh.limit(1).count() > 0:
-            try:
-                df = self.spark.read.parquet(self.data_path(key))
-                df.schema  # noqa: B018 - touch the footer: a corrupt entry fails here
+            df = self._intact(key)
+            if df is not None:
                 return df
-            except Exception:  # noqa: BLE001 - corrupt entry: fall through and recompute
-                pass
         result = compute()
         if self.write(key, result, now):
             return self.spark.read.parquet(self.data_path(key))
         return result
 
+    def _intact(self, key: str) -> DataFrame | None:
+        """The stored result, if every one of its files can be read and holds all recorded rows."""
+        if key in self.pending:
+            return self.spark.read.parquet(self.pending[key].path)
+        row = self.manifest().where(F.col("key") == key).first()
+        try:
+            seen = Observation()
+            df = self.spark.read.parquet(row["path"])
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+            return df if seen.get["n"] == row["row_count"] else None
+        except Exception:  # noqa: BLE001 - whatever the damage: recompute
+            return None
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A result that was written: its folder and row count."""
+
+    key: str
+    path: str
+    rows: int
+
 
 # ---- S09 -------------------------------------------------------------------
 
@@ -155,27 +185,60 @@ def refresh(store: SnapshotStore, tasks: dict[str, Task], now: datetime, force:
     results, stored = [], []
     for key in todo:
         try:
-            rows = store.write_data(key, tasks[key].compute())
-            if rows is None:
-                results.append((key, "not_stored", None, None))
-            else:
-                stored.append((key, rows))
-                store.pending[key] = now
-                results.append((key, "ok", rows, None))
-        except Exception as exc:  # noqa: BLE001 - reported per key
-            results.append((key, "failed", None, str(exc)[:500]))
-    recorded = store.record(stored, now)
+            done = store.write_data(key, tasks[key].compute())
+        except Exception as exc:  # noqa: BLE001 - reported per key, in full
+            results.append((key, "failed", None, str(exc)))
+            continue
+        stored.append(done)
+        store.pending[key] = done
+        results.append((key, "ok", done.rows, None))
+    try:
+        store.record(stored, now)
+    except Exception as exc:  # noqa: BLE001 - nothing of this run counts as stored
+        results = [(k, "not_stored" if st == "ok" else st, n, e or str(exc)) for k, st, n, e in results]
     store.pending.clear()
-    if not recorded:
-        results = [(k, "not_stored" if st == "ok" else st, n, e) for k, st, n, e in results]
     for key in sorted(set(tasks) - set(todo)):
         results.append((key, "fresh", None, None))
     return spark.createDataFrame(results, "key string, status string, rows bigint, error string")
 
 
+def failures(report: DataFrame) -> list[str]:
+    """Messages of a refresh run's failures (a job's exit code is 1 if there are any)."""
+    bad = report.where(F.col("status").isin("failed", "not_stored")).orderBy("key").collect()
+    return [f"{r['key']}: {r['status']}: {r['error']}" for r in bad]
+
+
 def month_tasks(wh, p, now_is_current: bool | None = None, store: SnapshotStore | None = None,
                 now: datetime | None = None) -> dict[str, Task]:
     """The refresh registry of one month (keys carry the period, TTLs follow the source rules)."""
+    current = p.is_current if now_is_current is None else now_is_current
+    tasks = {m.key(p): Task(m.ttl_hours(current), lambda m=m: m.compute(wh, p)) for m in stored_metrics()}
+    daily = TTL_LIVE if current else TTL_DAILY
+    tasks[month_report_key(p)] = Task(daily, lambda: _month_report(wh, p, store, now))
+    tasks[overview_key(p)] = Task(daily, lambda: _overview(wh, p, store, now))
+    return tasks
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A stored metric: how long it keeps, and what of the period its key carries ('', 'month' or 'day')."""
+
+    name: str
+    compute: Callable
+    ttl: float
+    scope: str = "month"
+    live: bool = False          # a current month keeps for an hour only
+
+    def key(self, p) -> str:
+        month = f"_{p.first.year}_{p.first.month:02d}"
+        return self.name + {"": "", "month": month, "day": f"{month}_{p.today_day}"}[self.scope]
+
+    def ttl_hours(self, current: bool) -> float:
+        return TTL_LIVE if self.live and current else self.ttl
+
+
+def stored_metrics() -> list[Metric]:
+    """The registry of one month, by how fast the metrics age."""
     from ..operators import activity as act
     from ..operators import enrolment as enr
     from ..operators import leads as lds
@@ -183,28 +246,23 @@ def month_tasks(wh, p, now_is_current: bool | None = None, store: SnapshotStore
     from ..operators import revenue_share as rsh
     from ..sources import dims
 
-    tag = f"{p.first.year}_{p.first.month:02d}"
-    current = p.is_current if now_is_current is None else now_is_current
-    return {
-        f"activity_counts_month_{tag}": Task(TTL_LIVE, lambda: act.activity_counts_month(wh, p)),
-        f"active_base_{tag}": Task(TTL_LIVE if current else TTL_FROZEN, lambda: enr.active_base(wh, p)),
-        "verified_tenants": Task(TTL_WEEKLY, lambda: enr.verified_tenants(wh)),
-        "pricing_config": Task(TTL_WEEKLY, lambda: prc.pricing_config(wh)),
-        f"activity_counts_prior_{tag}_{p.today_day}": Task(TTL_FROZEN, lambda: act.activity_counts_prior(wh, p)),
-        f"lead_workload_{tag}": Task(TTL_FROZEN, lambda: lds.lead_workload(wh, p)),
-        f"completion_rates_{tag}_{p.today_day}": Task(TTL_DAILY, lambda: act.completion_rates(wh, p)),
-        f"lead_counts_{tag}": Task(TTL_DAILY, lambda: lds.lead_counts(wh, p)),
-        f"conversion_admission_counts_{tag}": Task(TTL_DAILY, lambda: enr.conversion_admission_counts(wh, p)),
-        f"exemption_counts_{tag}": Task(TTL_DAILY, lambda: enr.exemption_counts(wh, p)),
-        f"featured_course_counts_{tag}": Task(
-            TTL_DAILY, lambda: enr.featured_course_counts(wh, p, dims.featured_courses(wh))),
-        f"refund_window_archives_{tag}": Task(TTL_DAILY, lambda: enr.refund_window_archives(wh, p)),
-        f"seat_expected_revenue_{tag}": Task(TTL_DAILY, lambda: prc.seat_expected_revenue(wh, p)),
-        f"expected_share_revenue_{tag}": Task(TTL_DAILY, lambda: rsh.expected_share_revenue(wh, p)),
-        f"rpl_admissions_{tag}": Task(TTL_DAILY, lambda: enr.rpl_admissions(wh, p)),
-        month_report_key(p): Task(TTL_LIVE if current else TTL_DAILY, lambda: _month_report(wh, p)),
-        overview_key(p): Task(TTL_LIVE if current else TTL_DAILY, lambda: _overview(wh, p, store, now)),
-    }
+    return [
+        Metric("activity_counts_month", act.activity_counts_month, TTL_LIVE),
+        Metric("completion_rates", act.completion_rates, TTL_DAILY, "day"),
+        Metric("conversion_admission_counts", enr.conversion_admission_counts, TTL_DAILY),
+        Metric("exemption_counts", enr.exemption_counts, TTL_DAILY),
+        Metric("expected_share_revenue", rsh.expected_share_revenue, TTL_DAILY),
+        Metric("featured_course_counts", lambda wh, p: enr.featured_course_counts(wh, p, dims.featured_courses(wh)), TTL_DAILY),
+        Metric("lead_counts", lds.lead_counts, TTL_DAILY),
+        Metric("refund_window_archives", enr.refund_window_archives, TTL_DAILY),
+        Metric("rpl_admissions", enr.rpl_admissions, TTL_DAILY),
+        Metric("seat_expected_revenue", prc.seat_expected_revenue, TTL_DAILY),
+        Metric("pricing_config", lambda wh, p: prc.pricing_config(wh), TTL_WEEKLY, ""),
+        Metric("verified_tenants", lambda wh, p: enr.verified_tenants(wh), TTL_WEEKLY, ""),
+        Metric("active_base", enr.active_base, TTL_FROZEN, "month", live=True),
+        Metric("activity_counts_prior", act.activity_counts_prior, TTL_FROZEN, "day"),
+        Metric("lead_workload", lds.lead_workload, TTL_FROZEN),
+    ]
 
 
 def overview_key(p) -> str:
@@ -228,13 +286,22 @@ def month_report_key(p) -> str:
     return f"tenant_month_report_{p.first.year}_{p.first.month:02d}_{p.today_day}"
 
 
-def _month_report(wh, p):
+def _month_report(wh, p, store: SnapshotStore | None = None, now: datetime | None = None):
+    """R01; with a store, from the stored metrics, each recomputed only where it is missing, too old or damaged."""
     from ..plans.month_report import tenant_month_report
 
-    return tenant_month_report(wh, p)
+    if store is None or now is None:
+        return tenant_month_report(wh, p)
+    metrics = {m.name: m for m in stored_metrics()}
+
+    def stored(name: str) -> DataFrame:
+        m = metrics[name]
+        return store.read(m.key(p), m.ttl_hours(p.is_current), now, lambda: m.compute(wh, p))
+
+    return tenant_month_report(wh, p, stored=stored)
 
 
 def stored_month_report(store: SnapshotStore, wh, p, now: datetime) -> DataFrame:
     """R01 as the pages read it: the stored result when fresh, else computed and stored."""
     ttl = TTL_LIVE if p.is_current else TTL_DAILY
-    return store.read(month_report_key(p), ttl, now, lambda: _month_report(wh, p))
+    return store.read(month_report_key(p), ttl, now, lambda: _month_report(wh, p, store, now))

@@ -30,7 +30,7 @@ def duck():
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = set(QUERIES) - set(SQL)
-    assert rows_only == {"snapshot_refresh"}
+    assert not rows_only
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

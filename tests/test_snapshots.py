@@ -39,8 +39,26 @@ def test_corrupt_entry_is_recomputed(spark):
             with open(os.path.join(path, name), "wb") as fh:
                 fh.write(b"not parquet")
     got = store.read("k", 24.0, NOW, lambda: spark.range(7))
-    assert got.count() in (3, 7)   # footer damage is found at read or at recompute
-    assert store.read("k2", 24.0, NOW, lambda: spark.range(7)).count() == 7
+    assert got.count() == 7
+
+
+def test_one_damaged_file_of_several_is_recomputed(spark):
+    store = _store(spark)
+    store.write("k", spark.range(100).repartition(4), NOW)
+    path = store.data_path("k")
+    victim = sorted(n for n in os.listdir(path) if n.endswith(".parquet"))[-1]
+    with open(os.path.join(path, victim), "r+b") as fh:
+        fh.seek(4)
+        fh.write(b"\xff" * 24)
+    assert store.read("k", 24.0, NOW, lambda: spark.range(7)).count() == 7
+
+
+def test_a_failed_write_keeps_the_old_result(spark):
+    store = _store(spark)
+    assert store.write("k", spark.range(3), NOW)
+    bad = spark.range(1).select(F.raise_error(F.lit("boom")).alias("id"))
+    assert not store.write("k", bad, NOW + timedelta(hours=1)) and "boom" in store.last_error
+    assert store.read("k", 24.0, NOW + timedelta(hours=2), lambda: spark.range(9)).count() == 3
 
 
 def test_failure_to_store_is_not_fatal(spark):
@@ -63,9 +81,11 @@ def test_refresh_reports_each_key(spark):
     store = _store(spark)
     tasks = {"ok": snap.Task(24.0, lambda: spark.range(4)),
              "bad": snap.Task(24.0, lambda: spark.range(1).select(F.raise_error(F.lit("boom")).alias("x")))}
-    res = {r.key: (r.status, r.rows) for r in snap.refresh(store, tasks, NOW).collect()}
+    report = snap.refresh(store, tasks, NOW)
+    assert len(snap.failures(report)) == 1 and "boom" in snap.failures(report)[0]
+    res = {r.key: (r.status, r.rows) for r in report.collect()}
     assert res["ok"] == ("ok", 4)
-    assert res["bad"][0] in ("failed", "not_stored")
+    assert res["bad"][0] == "failed"
     again = {r.key: r.status for r in snap.refresh(store, tasks, NOW + timedelta(hours=1)).collect()}
     assert again["ok"] == "fresh"
 
