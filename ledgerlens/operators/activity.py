@@ -52,7 +52,11 @@ def _sum_if(cond, col: str):
 
 def activity_counts_month(wh: Warehouse, p: Period, daily: DataFrame | None = None) -> DataFrame:
     """new_enrol, pauses, archives per tenant in the selected month."""
-    daily = daily if daily is not None else activity_daily(wh, p.first, p.last)
+    if daily is None:        # alone: one aggregation by tenant
+        a = wh.slice("activities", p.first, p.last).where(F.col("kind").isin(*KINDS))
+        return a.groupBy("college_id").agg(
+            count_if(F.col("kind") == ENROL).alias("new_enrol"), count_if(F.col("kind") == PAUSE).alias("pauses"),
+            count_if(F.col("kind") == ARCHIVE).alias("archives"))
     return (
         daily.where(_between(p.first, p.last))
         .groupBy("college_id")
@@ -66,7 +70,10 @@ def activity_counts_month(wh: Warehouse, p: Period, daily: DataFrame | None = No
 
 def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = None) -> DataFrame:
     """Full and capped M-1 / Y-1 counts from one bounded scan [y1_first, m1_last]."""
-    daily = daily if daily is not None else activity_daily(wh, p.y1_first, p.m1_last)
+    if daily is None:        # alone: one aggregation by tenant, each event its own day
+        a = wh.slice("activities", p.y1_first, p.m1_last).where(F.col("kind").isin(*KINDS))
+        daily = a.select("college_id", day("created").alias("d"), *[
+            (F.col("kind") == k).cast("bigint").alias(n) for k, n in ((ENROL, "n_enrol"), (PAUSE, "n_pause"), (ARCHIVE, "n_archive"))])
     m1 = _between(p.m1_first, p.m1_last)
     return (
         daily.where(_between(p.y1_first, p.m1_last))

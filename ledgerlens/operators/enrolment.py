@@ -36,25 +36,28 @@ def active_filter(p: Period):
 
 
 def active_base(wh: Warehouse, p: Period) -> DataFrame:
-    """M04 (current month) / M05 (past month): active enrolments since the latest phase start."""
-    ds = wh.table("degree_students")
+    """M04 (current month) / M05 (past month): active enrolments since the latest phase start.
+
+    The phase rule looks at days, so enrolments are first counted by (tenant,
+    day): what meets the phases is a row a day, not the fact table.
+    """
+    days = (wh.table("degree_students").where(active_filter(p))
+            .groupBy("college_id", day("created").alias("created_day")).agg(F.count(F.lit(1)).alias("n")))
     ps = phase_start(wh).select("college_id", "phase_date")
     return (
-        ds.where(active_filter(p))
-        .join(ps, "college_id", "left")
-        .where(unbounded_if_null(day("phase_date"), day("created")))
+        days.join(ps, "college_id", "left")
+        .where(unbounded_if_null(day("phase_date"), F.col("created_day")))
         .groupBy("college_id")
-        .agg(F.count(F.lit(1)).alias("active_base"))
+        .agg(F.sum("n").cast("bigint").alias("active_base"))
     )
 
 
 def enrolment_pass(wh: Warehouse, p: Period, ps: DataFrame | None = None) -> DataFrame:
     """One scan of ``degree_students`` feeding M04/M05, M06, M08 and M10.
 
-    Enrolments meet the per-tenant phase start (one row per tenant, a
-    broadcast-sized build side) and are reduced to per-(tenant, degree)
-    counts by a map-side partial aggregate, so a hot tenant costs no more
-    shuffle than a cold one.
+    Enrolments are reduced to counts by (tenant, degree, created day) by a
+    map-side partial aggregate, and only these meet the phase start, so a hot
+    tenant costs no more shuffle than a cold one.
     """
     ps = (ps if ps is not None else phase_start(wh)).select("college_id", "phase_date")
     ds = wh.table("degree_students").select(
@@ -62,16 +65,24 @@ def enrolment_pass(wh: Warehouse, p: Period, ps: DataFrame | None = None) -> Dat
         "has_activity_before_invitation", "is_pba_converted")
     active = active_filter(p)
     in_month = on_or_between("created", p.first, p.last)
-    has_phase = F.col("phase_date").isNotNull()
-    since_phase = day("created") >= day("phase_date")
-    return ds.join(ps, "college_id", "left").groupBy("college_id", "degree_id").agg(
-        count_if(active & (~has_phase | since_phase)).alias("active_base"),
-        count_if(active & has_phase & since_phase).alias("seat_billable"),
+    days = ds.groupBy("college_id", "degree_id", day("created").alias("created_day")).agg(
+        count_if(active).alias("active"),
         count_if(in_month & is_true("has_activity_before_invitation")).alias("st_converted_this_month"),
         count_if(is_true("is_pba_converted") & in_month).alias("pba_count"),
         count_if((F.col("status") == "ARCHIVED") & on_or_between("created", p.refund_window_first, p.last))
         .alias("archived_30d"),
     )
+    has_phase = F.col("phase_date").isNotNull()
+    since_phase = F.col("created_day") >= day("phase_date")
+
+    def total(counts):
+        return F.coalesce(F.sum(counts), F.lit(0)).cast("bigint")
+
+    return days.join(ps, "college_id", "left").groupBy("college_id", "degree_id").agg(
+        total(F.when(~has_phase | since_phase, F.col("active"))).alias("active_base"),
+        total(F.when(has_phase & since_phase, F.col("active"))).alias("seat_billable"),
+        *[total(F.col(c)).alias(c) for c in ("st_converted_this_month", "pba_count", "archived_30d")],
+    )
 
 
 def conversion_admission_counts(wh: Warehouse, p: Period) -> DataFrame:

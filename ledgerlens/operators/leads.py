@@ -88,7 +88,8 @@ def conversion_age_bands(wh: Warehouse, p: Period) -> DataFrame:
     for label, upper in AGE_BANDS[1:]:
         band = band.when(age < upper, label)
     band = band.otherwise(AGE_BAND_LAST)
-    return (st.join(s, "student_id").join(ds_days, "user_id")
+    # From the month's users outwards: their students, then those students' leads.
+    return (s.join(ds_days, "user_id").join(st, "student_id")
             .groupBy(band.alias("band")).agg(F.sum("n_ds").cast("bigint").alias("cnt")))
 
 

@@ -2,8 +2,8 @@
 
 Phases, prices, products and services are dimensions (a handful of rows
 per tenant). Joins among them are small; the only fact touched here is
-``degree_students`` in M06b/c, which meets the per-(tenant, degree) fee
-table through a hash join whose build side AQE broadcasts once measured.
+``degree_students`` in M06b/c, reduced to counts by (tenant, degree, day)
+before it meets the phases and fees.
 """
 
 from __future__ import annotations
@@ -64,14 +64,15 @@ def seat_expected_revenue(wh: Warehouse, p: Period) -> DataFrame:
     from .enrolment import active_filter
 
     ps = phase_start(wh).select("college_id", "phase_date")
-    ds = wh.table("degree_students").where(active_filter(p)).select("college_id", "degree_id", "created")
+    days = (wh.table("degree_students").where(active_filter(p))
+            .groupBy("college_id", "degree_id", day("created").alias("created_day")).agg(F.count(F.lit(1)).alias("n")))
     fees = seat_fee_per_degree(wh)
     return (
-        ds.join(ps, "college_id")
-        .where(day("created") >= day("phase_date"))
+        days.join(ps, "college_id")
+        .where(F.col("created_day") >= day("phase_date"))
         .join(fees, ["college_id", "degree_id"], "left")
         .groupBy("college_id")
-        .agg(F.sum("seat_fee").alias("seat_exp_rev"))
+        .agg(F.sum(F.col("n") * F.col("seat_fee")).alias("seat_exp_rev"))
     )
 
 
