@@ -262,7 +262,7 @@ def seat_eom_revenue(base: DataFrame) -> DataFrame:
                       (ab + extra) * (F.col("seat_rev") / ab)).otherwise(F.coalesce(F.col("seat_rev"), F.lit(0.0)))
     eom_rev = (eom_seat + F.coalesce(F.col("lead_rev"), F.lit(0.0)) + F.coalesce(F.col("rpl_pba_rev"), F.lit(0.0))
                + F.coalesce(F.col("course_rev"), F.lit(0.0)))
-    t = seat.agg(F.sum(eom_rev).alias("eom_rev"), F.coalesce(F.sum("total_rev"), F.lit(0.0)).alias("total_rev"))
+    t = seat.agg(F.coalesce(F.sum(eom_rev), F.lit(0.0)).alias("eom_rev"), F.coalesce(F.sum("total_rev"), F.lit(0.0)).alias("total_rev"))
     return t.withColumn("eom_delta", F.col("eom_rev") - F.col("total_rev"))
 
 
