@@ -15,13 +15,16 @@ coordinate stay empty, the limit doubles.
 
 *Joining.* Texts with equal word sequences are one node. Nodes that agree in
 all ``ROWS`` coordinates of one of ``BANDS`` bands fall in a bucket; each node is
-compared, by its whole multiset, with its buckets' smallest node, and links of at
-least ``SIMILARITY`` give components. Pairs of one bucket that still lie in
-different components are compared too, unless the triangle inequality of the
-Jaccard distance rules them out: with d the distance to the bucket's smallest
-node, a pair can be linked only if their d differ by at most 1 - SIMILARITY. So
-a bucket of near copies costs one comparison a node, and no link is lost that
-shares a bucket: a pair at 0.8 misses all with probability (1 - 0.8^5)^25, 1 in 20,000.
+compared, by its whole multiset, with the bucket's leader: the node whose buckets
+are the largest together, in a family of copies the one nearest to all others.
+Links of at least ``SIMILARITY`` give components. Nodes of buckets that still hold several
+components are left open. They are gathered in families (nodes joined by open
+buckets), families are cut into chunks of about ``CHUNK`` cells, and two chunks at a
+time meet in one task, which finds the links between components by products of
+occurrence matrices. So a bucket of near copies costs about one comparison a node;
+a family whose texts are just too unlike, which no leader can settle, costs
+comparisons by the pair but no row for any of them. No link is lost that shares
+a bucket: a pair at 0.8 misses all with probability (1 - 0.8^5)^25, 1 in 20,000.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+CHUNK = 1 << 18                  # cells in a chunk, about: some hundred texts
+COLUMNS = 4096                   # cells that a task multiplies at a time
 K = BANDS * ROWS
 DARTS = K * (np.log(K) + 3.0)
 GAP, SPOT, NAME = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -152,15 +157,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     classes = stored(worded.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), f"{root}/classes")
     nodes = worded.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     banded = stored(nodes.select("uid", F.explode("bands").alias("band")), f"{root}/bands")
-    buckets = banded.groupBy("band").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(banded.join(buckets, "band"), f"{root}/members")
-    first = _verified(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), nodes, f"{root}/verified-1")
-    links = first.where(F.col("sim") >= SIMILARITY)
-    labels = components(links, f"{root}/components-1")
-    second = _verified(_open_pairs(members, first, labels), nodes, f"{root}/verified-2")
-    more = second.where(F.col("sim") >= SIMILARITY)
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), f"{root}/components-2")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(banded.join(sizes, "band"), f"{root}/shared")
+    members = stored(shared.select("band", "uid").join(shared.groupBy("uid").agg(F.sum("n").alias("weight")), "uid"), f"{root}/members")
+    # Only nodes that share a bucket are ever compared: their multisets are set apart once.
+    compared = stored(nodes.select("uid", "cells").join(members.select("uid").distinct(), "uid", "left_semi"), f"{root}/compared")
+    labels = _linked(members, compared, root)
     labelled = stored(classes.join(labels.withColumnRenamed("label", "root"), "node", "left")
                       .select("k1", "k2", F.coalesce("root", "node").alias("root"), "first_id", "copies"), f"{root}/labelled")
     groups = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("group_size"))
@@ -170,17 +172,88 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return by_key.unionByName(alone).select("doc_id", "class_id", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
 
 
-def _open_pairs(members: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the triangle inequality leaves open."""
-    known = first.select(F.col("a").alias("leader"), F.col("b").alias("uid"), (1 - F.col("sim")).alias("d"))
-    placed = (members.join(known, ["leader", "uid"], "left").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-              .select("band", "uid", "leader", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("label", "uid").alias("label")))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2").select("band")
-    left = placed.where("uid <> leader").join(mixed, "band", "left_semi")
-    x = left.select("band", F.col("uid").alias("a"), F.col("d").alias("da"), F.col("label").alias("la"))
-    y = left.select("band", F.col("uid").alias("b"), F.col("d").alias("db"), F.col("label").alias("lb"))
-    near = F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY + 1e-9
-    return x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+def _leaders(members: DataFrame) -> DataFrame:
+    """(band, leader): of each bucket the node with the largest weight, of equal ones the smallest."""
+    top = F.max(F.struct("weight", (-F.col("uid")).alias("uid"))).alias("top")
+    return members.groupBy("band").agg(top).select("band", (-F.col("top.uid")).alias("leader"))
+
+
+def _linked(members: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
+    """(node, label) of all linked nodes."""
+    led = members.join(_leaders(members), "band")
+    star = stored(led.where("uid <> leader").select("band", "uid", "leader"), f"{root}/star")
+    first = _verified(star.select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), nodes, f"{root}/verified-0")
+    links = first.where(F.col("sim") >= SIMILARITY)
+    labels = components(links, f"{root}/components-0")
+    placed = members.select("band", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", F.coalesce("label", "uid").alias("label"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    left = stored(placed.join(mixed, "band", "left_semi"), f"{root}/open")
+    if not left.limit(1).count():
+        return labels
+    more = _between(left, nodes, root)
+    if not more.limit(1).count():
+        return labels
+    return components(links.select("a", "b").unionByName(more), f"{root}/components-1")
+
+
+def _between(left: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
+    """Links (a, b) between the open nodes' components, within families."""
+    lowest = left.groupBy("band").agg(F.min("uid").alias("a"))
+    family = components(left.join(lowest, "band").select("a", F.col("uid").alias("b")), f"{root}/families")
+    own = left.select("uid", "label").distinct().join(family.select(F.col("node").alias("uid"), F.col("label").alias("family")), "uid")
+    own = stored(own.join(nodes, "uid"), f"{root}/own")
+    chunks = own.groupBy("family").agg(F.ceil(F.sum(F.size("cells")) / CHUNK).cast("int").alias("chunks"))
+    dealt = own.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = met.groupBy("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(
+        F.collect_list(F.struct("uid", "label", "chunk", "cells")).alias("texts"))
+    return stored(groups.select("i", "j", "texts").mapInArrow(_meet, "a long, b long"), f"{root}/between")
+
+
+def _meet(chunks):
+    for b in batches(chunks, 16):
+        found_a, found_b = [], []
+        for i, j, texts in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("texts")):
+            texts = texts.values
+            chunk, uid, label = (np.asarray(texts.field(c)) for c in ("chunk", "uid", "label"))
+            cells = [np.unique(np.asarray(c.values)) for c in texts.field("cells")]
+            x, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            near = _alike(cells, x, y)
+            near &= label[x][:, None] != label[y][None, :]
+            if i == j:
+                near &= uid[x][:, None] < uid[y][None, :]
+            at_x, at_y = np.nonzero(near)
+            found_a.append(uid[x[at_x]])
+            found_b.append(uid[y[at_y]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (found_a, found_b)], names=["a", "b"])
+
+
+def _alike(cells: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of ``x`` and ``y`` reach the similarity: common cells by products of occurrence matrices."""
+    owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    cell = np.concatenate(cells)
+    order = np.argsort(cell, kind="stable")
+    owner, cell = owner[order], cell[order]
+    new = np.concatenate(([True], cell[1:] != cell[:-1]))
+    place = np.cumsum(new) - 1
+    several = np.bincount(place)[place] > 1                 # a cell of one text is common to none
+    owner, place = owner[several], place[several]
+    place = np.cumsum(np.concatenate(([False], place[1:] != place[:-1]))) if len(place) else place
+    common = np.zeros((len(x), len(y)), np.float32)
+    row = np.full(len(cells), -1)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        lo, hi = np.searchsorted(place, [at, at + COLUMNS])
+        sides = []
+        for side in (x, y):
+            row[:] = -1
+            row[side] = np.arange(len(side))
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            r = row[owner[lo:hi]]
+            m[r[r >= 0], place[lo:hi][r >= 0] - at] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    size = np.array([len(c) for c in cells], np.float32)
+    return common >= SIMILARITY * (size[x][:, None] + size[y][None, :] - common) - 1e-3
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
