@@ -185,7 +185,7 @@ def _linked(members: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     first = _verified(star.select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), nodes, f"{root}/verified-0")
     links = first.where(F.col("sim") >= SIMILARITY)
     labels = components(links, f"{root}/components-0")
-    placed = members.select("band", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", F.coalesce("label", "uid").alias("label"))
+    placed = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", "weight", F.coalesce("label", "uid").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     left = stored(placed.join(mixed, "band", "left_semi"), f"{root}/open")
     if not left.limit(1).count():
@@ -198,8 +198,9 @@ def _linked(members: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
 
 def _between(left: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     """Links (a, b) between the open nodes' components, within families."""
-    lowest = left.groupBy("band").agg(F.min("uid").alias("a"))
-    family = components(left.join(lowest, "band").select("a", F.col("uid").alias("b")), f"{root}/families")
+    # a family's buckets mostly share their leader, which keeps the edges few
+    joined = left.join(_leaders(left), "band").where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b"))
+    family = components(joined, f"{root}/families")
     own = left.select("uid", "label").distinct().join(family.select(F.col("node").alias("uid"), F.col("label").alias("family")), "uid")
     own = stored(own.join(nodes, "uid"), f"{root}/own")
     chunks = own.groupBy("family").agg(F.ceil(F.sum(F.size("cells")) / CHUNK).cast("int").alias("chunks"))
