@@ -37,6 +37,14 @@ def test_recall_against_brute_force(spark):
     assert _recall(spark, list(range(2500)), vecs) >= 0.9
 
 
+def test_nodes_alone_in_their_leaves_have_neighbours_and_are_found(spark):
+    rng = np.random.default_rng(5)
+    cone = rng.standard_normal(16) + 0.02 * rng.standard_normal((1500, 16))
+    vecs = np.concatenate([cone, 3 * rng.standard_normal((60, 16))]).astype(np.float32).astype(np.float64)
+    ids = [7 * i + 1 if i < 1500 else 20 * i for i in range(len(vecs))]          # every outlier is a query
+    assert _recall(spark, ids, vecs) >= 0.9
+
+
 def test_copies_ties_and_unsound_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(4).astype(np.float32).tolist()
