@@ -45,6 +45,28 @@ def test_nodes_alone_in_their_leaves_have_neighbours_and_are_found(spark):
     assert _recall(spark, ids, vecs) >= 0.9
 
 
+def test_search_goes_on_while_better_nodes_are_unexpanded(spark, tmp_path):
+    ids = list(range(36))                                # each node leads to the next three, better ones, alone
+    vecs = np.array([[1.0, i] for i in ids], "<f4")
+    graph = spark.createDataFrame([(i, [j for j in range(i + 1, i + 4) if j < 36], [1.0]) for i in ids], ann.LIST)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), bytearray()) for i, v in zip(ids, vecs)], ann.NODE)
+    found = ann.search(graph, nodes, spark.createDataFrame([(0,)], "id long"), len(ids), 4, str(tmp_path / "s")).collect()
+    assert len(found) == 1 and sorted(found[0]["nbr"]) == ids
+
+
+def test_descent_goes_on_while_neighbours_change(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 48)))], "id long, embedding array<float>")
+    nodes = frame.mapInArrow(ann._encode(4), ann.NODE).cache()
+    graph = {r["id"]: r["nbr"] for r in ann.build_graph(nodes, 3000, str(tmp_path / "g")).collect()}
+    codes = sorted(nodes.collect())
+    x = ann._decode([r["code"] for r in codes])
+    sim = x @ x.T
+    np.fill_diagonal(sim, -np.inf)
+    hit = [len(set(graph[i]) & set(np.argsort(-sim[i])[:20])) / 20 for i in range(3000)]
+    assert np.mean(hit) >= 0.99
+
+
 def test_copies_ties_and_unsound_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(4).astype(np.float32).tolist()
