@@ -31,6 +31,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Lengths of the countries' account numbers.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,10 +112,17 @@ def phones(text: str):
 
 
 def ibans(text: str):
-    for m in IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield m.span()
+    """The match may hold words after the number, or begin before it: at each start the spans that end at a token's end are
+    tried, that of the country's length first, then the longest; there are at most ten, of bounded length."""
+    m = IBAN.search(text)
+    while m:
+        found, length = m.group(), IBAN_LENGTH.get(m.group()[:2])
+        ends = [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] == " ")]
+        plains = {end: found[:end].replace(" ", "") for end in ends}
+        end = next((e for e in sorted(ends, key=lambda e: (len(plains[e]) != length, -e)) if 15 <= len(plains[e]) <= 34 and mod97(plains[e])), None)
+        if end:
+            yield m.start(), m.start() + end
+        m = IBAN.search(text, m.start() + (end or 1))
 
 
 def ssns(text: str):

@@ -137,6 +137,16 @@ def test_base_spans_equal_the_plain_patterns():
         assert [(s, pii.KINDS.index(k), e) for s, e, k, _ in pii.find(t) if k in pii.BASE_KINDS] == _base_spans(t), t
 
 
+@pytest.mark.parametrize("number", ["BE68 5390 0754 7034", "BE68539007547034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947",
+                                    "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", ["", " EUR", " EUR 100", " BIC", " BANK", " 100", " 1000 EUR", " 2024 BANK 12345", " DE89 3704 0044 0532 0130 00", ", x"])
+def test_account_numbers_before_capital_and_digit_tokens(number, after):
+    for before in ("", "IBAN ", "AB12 CDEF GHIJ "):
+        text = before + number + after
+        assert [text[s:e] for s, e in pii.ibans(text)] == [number] + ([after[1:]] if after.startswith(" DE") else [])
+        assert number not in pii.redact(text, pii.find(text))
+
+
 def test_added_kinds_need_their_checksum_or_word():
     assert [k for *_, k, _ in pii.find("IBAN DE89 3704 0044 0532 0130 00.")] == ["iban"]
     assert pii.find("DE88 3704 0044 0532 0130 00") == []
