@@ -19,12 +19,20 @@ compared, by its whole multiset, with the bucket's leader: the node whose bucket
 are the largest together, in a family of copies the one nearest to all others.
 Links of at least ``SIMILARITY`` give components. Nodes of buckets that still hold several
 components are left open. They are gathered in families (nodes joined by open
-buckets), families are cut into chunks of about ``CHUNK`` cells, and two chunks at a
-time meet in one task, which finds the links between components by products of
-occurrence matrices. So a bucket of near copies costs about one comparison a node;
-a family whose texts are just too unlike, which no leader can settle, costs
-comparisons by the pair but no row for any of them. No link is lost that shares
-a bucket: a pair at 0.8 misses all with probability (1 - 0.8^5)^25, 1 in 20,000.
+buckets). A family of one chunk (about ``CHUNK`` cells and ``TEXTS`` texts) is compared
+in one task by products of occurrence matrices, ``TILE`` rows at a time.
+
+*Large families.* Two texts that reach the similarity share a cell among the rarest
+fifth of either's cells, in any fixed order. Cells are ordered by counters that they
+share by hash, which are never below the true count. A text whose rarest fifth has
+only cells of at most ``HOT`` texts is compared with the texts that share one of them,
+at most ``HOT`` a cell. Texts that have commoner cells there are compared with each
+other, too: cut into chunks, two at a time in one task. So a bucket of near copies
+costs about one comparison a node; a family whose texts are just too unlike costs
+at most ``HOT`` a cell where their differences are rare, and comparisons by the pair,
+but no row for any of them, where they are made of common cells alone. No link is lost
+that shares a bucket: a pair at 0.8 misses all with probability (1 - 0.8^5)^25, 1 in
+20,000.
 """
 
 from __future__ import annotations
@@ -42,10 +50,15 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-CHUNK = 1 << 18                  # cells in a chunk, about: some hundred texts
+CHUNK = 1 << 18                  # cells in a chunk, about
+TEXTS = 4096                     # texts in a chunk, about
+TILE = 1024                      # texts of a chunk that a task compares with the other chunk at a time
+HOT = 64                         # texts that share a rare cell, at most
+SLOTS = 1 << 21                  # counters of cells
 COLUMNS = 4096                   # cells that a task multiplies at a time
 K = BANDS * ROWS
 DARTS = K * (np.log(K) + 3.0)
+RARE = "family long, uid long, label long, size int, hot boolean, keys array<int>"
 GAP, SPOT, NAME = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -203,12 +216,83 @@ def _between(left: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     family = components(joined, f"{root}/families")
     own = left.select("uid", "label").distinct().join(family.select(F.col("node").alias("uid"), F.col("label").alias("family")), "uid")
     own = stored(own.join(nodes, "uid"), f"{root}/own")
-    chunks = own.groupBy("family").agg(F.ceil(F.sum(F.size("cells")) / CHUNK).cast("int").alias("chunks"))
-    dealt = own.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+    sizes = own.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("cells")) / CHUNK), F.ceil(F.count("*") / TEXTS)).cast("int").alias("chunks"))
+    sized = stored(own.join(sizes, "family"), f"{root}/sized")
+    large = sized.where("chunks > 1")
+    if not large.limit(1).count():
+        return _met(sized, f"{root}/between")
+    table = large.sparkSession.sparkContext.broadcast(_counts(large))
+    rare = stored(large.select("family", "uid", "label", "cells").mapInArrow(_rarest(table), RARE), f"{root}/rare")
+    pairs = (rare.select("family", F.struct("uid", "label", "size", "hot").alias("text"), F.explode("keys").alias("key"))
+             .groupBy("family", "key").agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1).select("texts"))
+    found = _verified(stored(pairs.mapInArrow(_pairs, "a long, b long").distinct(), f"{root}/pairs"), nodes, f"{root}/verified-1")
+    table.unpersist()
+    hot = own.join(rare.where("hot").select("uid"), "uid", "left_semi")
+    again = hot.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("cells")) / CHUNK), F.ceil(F.count("*") / TEXTS)).cast("int").alias("chunks"))
+    met = _met(sized.where("chunks = 1").unionByName(hot.join(again, "family").select(*sized.columns)), f"{root}/between")
+    return met.unionByName(found.where(F.col("sim") >= SIMILARITY).select("a", "b"))
+
+
+def _met(sized: DataFrame, path: str) -> DataFrame:
+    """Links (a, b) between components of the texts of each family, all compared."""
+    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = met.groupBy("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(
         F.collect_list(F.struct("uid", "label", "chunk", "cells")).alias("texts"))
-    return stored(groups.select("i", "j", "texts").mapInArrow(_meet, "a long, b long"), f"{root}/between")
+    return stored(groups.select("i", "j", "texts").mapInArrow(_meet, "a long, b long"), path)
+
+
+def _counts(large: DataFrame) -> np.ndarray:
+    """For each counter in how many texts its cells are. At most SLOTS rows reach the driver."""
+    slots = large.select("cells").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.ones(SLOTS, np.int64)
+    out[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    return out
+
+
+def _slots(cells: np.ndarray) -> np.ndarray:
+    return cells.view(np.uint32) % np.uint32(SLOTS)
+
+
+def _count(chunks):
+    out = np.zeros(SLOTS, np.int64)
+    for b in batches(chunks):
+        for c in b.column("cells"):
+            np.add.at(out, _slots(np.unique(np.asarray(c.values))), 1)
+    at = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["slot", "n"])
+
+
+def _rarest(table):
+    """Of each text's rarest fifth of cells (and one more) those of at most HOT texts, and whether there are others."""
+    def run(chunks):
+        for b in batches(chunks):
+            sizes, hots, keys = [], [], []
+            for c in b.column("cells"):
+                cell = np.unique(np.asarray(c.values))
+                many = table.value[_slots(cell)]
+                first = np.lexsort((cell, many))[: len(cell) - (4 * len(cell) + 4) // 5 + 1]
+                sizes.append(len(cell))
+                hots.append(bool(many[first[-1]] > HOT))
+                keys.append(cell[first][many[first] <= HOT])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("family"), b.column("uid"), b.column("label"), pa.array(sizes, pa.int32()), pa.array(hots, pa.bool_()), pa.array(keys, pa.list_(pa.int32()))],
+                names=["family", "uid", "label", "size", "hot", "keys"])
+    return run
+
+
+def _pairs(chunks):
+    """Pairs (a, b) of texts with a rare cell in common, of different components, whose sizes allow the similarity; two hot ones meet elsewhere."""
+    for b in batches(chunks):
+        found_a, found_b = [], []
+        for texts in b.column("texts"):
+            uid, label, size, hot = (np.asarray(texts.values.field(c).to_numpy(zero_copy_only=False)) for c in ("uid", "label", "size", "hot"))
+            near = (5 * size[:, None].astype(np.int64) >= 4 * size[None, :]) & (5 * size[None, :].astype(np.int64) >= 4 * size[:, None])
+            near &= (uid[:, None] < uid[None, :]) & (label[:, None] != label[None, :]) & ~(hot[:, None] & hot[None, :])
+            x, y = np.nonzero(near)
+            found_a.append(uid[x])
+            found_b.append(uid[y])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (found_a, found_b)], names=["a", "b"])
 
 
 def _meet(chunks):
@@ -218,14 +302,15 @@ def _meet(chunks):
             texts = texts.values
             chunk, uid, label = (np.asarray(texts.field(c)) for c in ("chunk", "uid", "label"))
             cells = [np.unique(np.asarray(c.values)) for c in texts.field("cells")]
-            x, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            near = _alike(cells, x, y)
-            near &= label[x][:, None] != label[y][None, :]
-            if i == j:
-                near &= uid[x][:, None] < uid[y][None, :]
-            at_x, at_y = np.nonzero(near)
-            found_a.append(uid[x[at_x]])
-            found_b.append(uid[y[at_y]])
+            rows, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            for x in (rows[at : at + TILE] for at in range(0, len(rows), TILE)):
+                near = _alike(cells, x, y)
+                near &= label[x][:, None] != label[y][None, :]
+                if i == j:
+                    near &= uid[x][:, None] < uid[y][None, :]
+                at_x, at_y = np.nonzero(near)
+                found_a.append(uid[x[at_x]])
+                found_b.append(uid[y[at_y]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (found_a, found_b)], names=["a", "b"])
 
 

@@ -3,8 +3,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import exact_dedup as X
@@ -142,3 +144,35 @@ def test_components_of_paths_and_stars(spark, tmp_path):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 301), (301, 300)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 300: 300, 301: 300}
+
+
+def _templates(n):
+    """Sets of 16 cells: eleven of a template and five of their own, or of few choices; among them some that reach the similarity."""
+    rng = np.random.default_rng(8)
+    own = [np.concatenate([np.arange(11), 1000 + 5 * i + np.arange(5)]) for i in range(n)]
+    own += [np.append(own[7 * i][:15], 10**6 + i) for i in range(50)]                       # one cell changed: 15 / 17
+    own += [np.append(own[7 * i][:13], 2 * 10**6 + 3 * i + np.arange(3)) for i in range(50)]    # three: 13 / 19
+    own += [np.append(np.arange(11), 500 + rng.choice(12, 5, replace=False)) for _ in range(300)]     # common cells alone
+    return [np.sort(c).astype(np.int32) for c in own]
+
+
+def test_large_open_family_finds_the_pairs_of_all(spark, tmp_path):
+    own = _templates(5000)
+    nodes = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(own)], "uid long, cells array<int>")
+    left = spark.createDataFrame([(0, i, 1, i) for i in range(len(own))], "band long, uid long, weight long, label long")
+    got = {(min(r), max(r)) for r in map(tuple, N._between(left, nodes, str(tmp_path / "b")).collect())}
+    at = np.arange(len(own))
+    assert got == {(int(x), int(y)) for x, y in zip(*np.nonzero(N._alike(own, at, at))) if x < y} and len(got) >= 50
+
+
+def test_chunks_of_short_texts_are_compared_in_bounded_memory():
+    own = _templates(8000)
+    text = [{"uid": i, "label": i, "chunk": 0, "cells": c.tolist()} for i, c in enumerate(own)]
+    kind = pa.list_(pa.struct([("uid", pa.int64()), ("label", pa.int64()), ("chunk", pa.int32()), ("cells", pa.list_(pa.int32()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([text], kind)], names=["i", "j", "texts"])
+    del text
+    tracemalloc.start()
+    found = sum(b.num_rows for b in N._meet([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= 50 and peak < 500 << 20
