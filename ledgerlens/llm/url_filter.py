@@ -77,7 +77,12 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, links: DataFrame, root: str, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """(host, trust, distrust) after at most ``rounds`` rounds, or once no score moves by more than ``tolerance``."""
+    """(host, trust, distrust), none further than ``tolerance`` from the solution; an error if ``rounds`` rounds don't do.
+
+    A round shrinks the sum of what trust is short of, and the largest that
+    distrust is short of, by the damping at least, so the last move bounds the rest.
+    """
+    enough = tolerance * (1 - damping) / max(damping, 1e-9)
     seeds = stored(hosts.join(links.select(F.col("src").alias("host"), F.lit(True).alias("links")).distinct(), "host", "left")
                    .select("host", "allow", "block", F.coalesce("links", F.lit(False)).alias("links")), f"{root}/seeds")
     scores = seeds.select("host", F.col("allow").alias("trust"), F.col("block").alias("distrust"))
@@ -94,14 +99,14 @@ def propagate(hosts: DataFrame, links: DataFrame, root: str, damping: float, rou
             ((1 - damping) * F.col("block") + damping * F.when(F.col("links"), F.coalesce("reached", F.lit(0.0))).otherwise(F.col("distrust_0"))).alias("distrust"),
             "trust_0", "distrust_0")
         done = stored(after, f"{root}/round-{k}")
-        moved = done.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("trust_0")), F.abs(F.col("distrust") - F.col("distrust_0"))))).first()[0]
+        moved = done.agg(F.greatest(F.sum(F.abs(F.col("trust") - F.col("trust_0"))), F.max(F.abs(F.col("distrust") - F.col("distrust_0"))))).first()[0]
         scores = done.select("host", "trust", "distrust")
-        if moved is None or moved <= tolerance:
-            break
-    return scores
+        if moved is None or moved <= enough:
+            return scores
+    raise RuntimeError(f"scores still move by {moved} after {rounds} rounds")
 
 
-def url_filter(pages: DataFrame, rules=tuple(RULES), damping: float = 0.85, rounds: int = 20,
+def url_filter(pages: DataFrame, rules=tuple(RULES), damping: float = 0.85, rounds: int = 1000,
                tolerance: float = 1e-6, block_from: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 

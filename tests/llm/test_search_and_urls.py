@@ -151,6 +151,22 @@ def test_trust_and_distrust_equal_dense_iteration(spark):
         assert got[k] == want, host
 
 
+def test_propagation_ends_by_convergence(spark):
+    links = lambda other: " ".join([f'<a href="http://{other}/">'] * 99 + ['<a href="http://b.net/">'])
+    pages = [(0, "http://h0.org/", links("h1.org")), (1, "http://h1.org/", links("h0.org")), (2, "http://b.net/es/", "")]
+    w = np.array([[0, 0.99, 0.01], [0.99, 0, 0.01], [0, 0, 1]])
+    block = np.array([0.0, 0.0, 1.0])
+    d = np.linalg.solve(np.eye(3) - 0.85 * w, 0.15 * block)
+    after_20 = block
+    for _ in range(20):
+        after_20 = 0.15 * block + 0.85 * (w @ after_20)
+    assert after_20[0] < 0.053 < d[0]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["verdict"] for r in url_filter.url_filter(frame, [("block", "net", "/es/")], block_from=0.053).collect()} == {"block"}
+    with pytest.raises(RuntimeError):
+        url_filter.url_filter(frame, [("block", "net", "/es/")], rounds=3)
+
+
 def test_ten_operators_are_registered():
     import __spark_entry__ as E
 
