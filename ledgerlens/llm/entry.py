@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, fingerprints, language, near_dedup, packing, pii, quality, toxicity, url_filter, variants
+from . import ann, bpe, exact_dedup, fingerprints, language, near_dedup, packing, pii, prefix_trie, quality, toxicity, url_filter, variants
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,6 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op6_nearest, op7_bpe, op8_url_filter, op9_quality, op10_near_dedup, op12_variants, op13_fingerprints)
+    f.__name__: f for f in (op1_language, op2_packing, op3_exact_dedup, op4_pii, op5_toxicity, op6_nearest, op7_bpe, op8_url_filter, op9_quality, op10_near_dedup, op11_prefix_trie, op12_variants, op13_fingerprints)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op12_variants": variants.SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_variants": variants.SQL}
