@@ -3,51 +3,78 @@
 Per new enrolment of the month the estimate falls through four sources:
 P1 the degree's average actual share over the last three months, P2 the
 contract formula max(pct x USD tuition, floor), P3 the tenant's all-time
-average actual share, P4 the floor. Purchases are the only large input;
-they meet the per-(tenant, degree) fee table in a broadcast-sized hash
-join and are reduced by a partial aggregate before any shuffle.
+average actual share, P4 the floor. Purchases are the only large input. Both
+averages compare every purchase with a floor, so the floors have to reach the
+rows: a tenant's floors travel as one small row, copied to every salt, and the
+purchases are dealt by (tenant, salt), so a tenant with most of the rows is
+spread over ``SALTS`` tasks. One pass reduces them to mergeable sums and counts
+for each (tenant, degree) before anything else is joined.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, distinct_from, sqlround, strict_greatest
+from ..functions.exprs import count_if, distinct_from, midnight, sqlround, strict_greatest
 from ..functions.periods import Period
-from ..sources.warehouse import Warehouse
+from ..sources.warehouse import PARTITIONED, Warehouse
 from .pricing import degree_fee_pivot
 
 
-def _shareable_purchases(wh: Warehouse, lo=None) -> DataFrame:
-    p = wh.slice("purchases", lo) if lo is not None else wh.table("purchases")
-    return p.where(distinct_from("category", "STUDYTRACK") & F.col("rev_share").isNotNull())
+SALTS = 32
+
+
+def _tenant_floors(fees: DataFrame) -> DataFrame:
+    """One row per tenant: its lowest floor, and each degree's floor (0 where the degree has fees but no floor)."""
+    floor = F.coalesce(F.col("min_rev_share"), F.lit(0.0))
+    return fees.groupBy("college_id").agg(
+        F.min("min_rev_share").alias("tenant_floor"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("degree_id").alias("key"), floor.alias("value")))).alias("floors"))
+
+
+def share_sums(wh: Warehouse, since: date, fees: DataFrame | None = None, all_time: bool = True,
+               salts: int = SALTS) -> DataFrame:
+    """(college_id, degree_id, recent, n_recent, ever, n_ever): sums and counts of the purchases' shares, each at least at its floor.
+
+    ``recent``: purchases since ``since`` of degrees that have fees, at the
+    degree's floor; ``ever``: all purchases, at the tenant's lowest floor.
+    Sums and counts merge, so averages of any coarser key follow without a
+    second pass. Without ``all_time`` only the recent months are scanned.
+    """
+    fees = fees if fees is not None else degree_fee_pivot(wh)
+    rows = wh.table("purchases") if all_time else wh.slice("purchases", since)
+    rows = rows.where(distinct_from("category", "STUDYTRACK") & F.col("rev_share").isNotNull()).select(
+        "college_id", "degree_id", "rev_share", (F.col(PARTITIONED["purchases"]) >= midnight(since)).alias("is_recent"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    copies = _tenant_floors(fees).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    share, known = F.col("rev_share"), F.coalesce(F.map_contains_key("floors", F.col("degree_id")), F.lit(False))
+    recent = F.when(F.col("is_recent") & F.col("degree_id").isNotNull() & known, F.greatest(share, F.try_element_at("floors", F.col("degree_id"))))
+    ever = F.greatest(share, F.coalesce("tenant_floor", F.lit(0.0)))
+    return (rows.join(copies, ["college_id", "salt"], "left")
+            .groupBy("college_id", "degree_id")
+            .agg(F.sum(recent).alias("recent"), F.count(recent).alias("n_recent"), F.sum(ever).alias("ever"), F.count(ever).alias("n_ever")))
 
 
 def avg_share_per_degree_3m(wh: Warehouse, p: Period, fees: DataFrame | None = None) -> DataFrame:
     """Avg of max(rev_share, floor) per degree since the first of month - 2 (no upper bound)."""
-    fees = fees if fees is not None else degree_fee_pivot(wh)
-    pur = _shareable_purchases(wh, lo=p.three_months_ago)
-    return (
-        pur.select("college_id", "degree_id", "rev_share")
-        .join(fees.select("college_id", "degree_id", "min_rev_share"), ["college_id", "degree_id"])
-        .groupBy("college_id", "degree_id")
-        .agg(F.avg(F.greatest(F.col("rev_share"), F.coalesce(F.col("min_rev_share"), F.lit(0.0))))
-             .alias("avg_rev_share"))
-    )
+    sums = share_sums(wh, p.three_months_ago, fees, all_time=False)
+    return sums.where("n_recent > 0").select("college_id", "degree_id", (F.col("recent") / F.col("n_recent")).alias("avg_rev_share"))
 
 
 def avg_share_per_tenant(wh: Warehouse, fees: DataFrame | None = None) -> DataFrame:
     """M09d: all-time avg of max(rev_share, lowest floor of the tenant or 0)."""
-    fees = fees if fees is not None else degree_fee_pivot(wh)
-    floor = fees.groupBy("college_id").agg(F.min("min_rev_share").alias("tenant_floor"))
-    return (
-        _shareable_purchases(wh).select("college_id", "rev_share")
-        .join(floor, "college_id", "left")
-        .groupBy("college_id")
-        .agg(F.avg(F.greatest(F.col("rev_share"), F.coalesce(F.col("tenant_floor"), F.lit(0.0))))
-             .alias("avg_rev_share"))
-    )
+    sums = share_sums(wh, date.max, fees)
+    return sums.groupBy("college_id").agg((F.sum("ever") / F.sum("n_ever")).alias("avg_rev_share"))
+
+
+def tenant_shares(sums: DataFrame) -> DataFrame:
+    """M09c and M09d of one pass: per tenant its average and, as a map, its degrees' recent averages."""
+    recent = F.when(F.col("n_recent") > 0, F.struct(F.col("degree_id").alias("key"), (F.col("recent") / F.col("n_recent")).alias("value")))
+    return sums.groupBy("college_id").agg((F.sum("ever") / F.sum("n_ever")).alias("tenant_avg"),
+                                          F.map_from_entries(F.collect_list(recent)).alias("degree_avgs"))
 
 
 def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
@@ -91,11 +118,9 @@ def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False,
     """
     fees = fees if fees is not None else degree_fee_pivot(wh)
     ne = new_enrolment_tuition(wh, p)
-    ar = avg_share_per_degree_3m(wh, p, fees).withColumnRenamed("avg_rev_share", "deg_avg")
-    cr = avg_share_per_tenant(wh, fees).withColumnRenamed("avg_rev_share", "tenant_avg")
-    j = (ne.join(fees, ["college_id", "degree_id"], "left")
-         .join(ar, ["college_id", "degree_id"], "left")
-         .join(cr, "college_id", "left"))
+    shares = tenant_shares(share_sums(wh, p.three_months_ago, fees))
+    j = (ne.join(fees, ["college_id", "degree_id"], "left").join(shares, "college_id", "left")
+         .withColumn("deg_avg", F.when(F.col("degree_id").isNotNull(), F.try_element_at("degree_avgs", F.col("degree_id")))))
     floor0 = F.coalesce(F.col("min_rev_share"), F.lit(0.0))
     value = (
         F.when(F.col("deg_avg").isNotNull(), F.col("deg_avg"))
