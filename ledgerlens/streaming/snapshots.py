@@ -2,29 +2,39 @@
 
 The reference has no streams; freshness comes from a batch job that
 recomputes stale metric results on a schedule and from pages that read
-stored results. Here each write of a result is a new parquet folder under a
-snapshot root in the session's shared checkpoint folder, and an append-only
-manifest records (key, refreshed_at, row_count, path) per write. Reads go through the
-manifest: a result younger than its TTL is read back, anything else is
-recomputed and stored. Time is passed in (``now``), never read from the
-clock inside the logic, so tests control ages exactly.
+stored results. Here each write of a result is a new parquet folder under
+``data/metric=<name>/month=<yyyy-mm>`` in the session's shared checkpoint
+folder, and a manifest records each write with the list of its files. Reads go
+through the manifest: a result younger than its TTL, whose folder still lists
+exactly the recorded files, is read back; anything else is recomputed and
+stored. Replaced folders are removed once no reader can still be on them, and
+the manifest is compacted, so a store's size doesn't grow with the number of
+refreshes. Time is passed in (``now``), never read from the clock inside the
+logic, so tests control ages exactly.
 """
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-MANIFEST_SCHEMA = "key string, refreshed_at timestamp_ntz, row_count bigint, path string, written bigint"
+MANIFEST_SCHEMA = ("key string, refreshed_at timestamp_ntz, row_count bigint, path string, written bigint, "
+                   "files array<struct<name: string, length: bigint, modified: bigint, checksum: string>>")
+MANIFEST_FILES = 8      # more are compacted to one
+KEPT_HOURS = 2.0        # a replaced result stays so long for readers that are still on it
+AT_ONCE = 12            # stale results recomputed at a time
 
 # Time-to-live rules in hours.
 TTL_LIVE = 1.0          # current-month activity, current active base
@@ -37,6 +47,29 @@ def default_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-snapshots"
 
 
+class Files:
+    """The store's files, by the cluster's own file system: any that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.fs = self.hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def list(self, path: str) -> list[Row]:
+        """Result files of a folder by name; empty if there is no such folder."""
+        at, out = self.hadoop.Path(path), []
+        if not self.fs.exists(at):
+            return out
+        for f in self.fs.listStatus(at):
+            name = f.getPath().getName()
+            if f.isFile() and not name.startswith(("_", ".")):
+                sum_ = self.fs.getFileChecksum(f.getPath())         # none where the file system keeps none
+                out.append(Row(name=name, length=f.getLen(), modified=f.getModificationTime(), checksum=sum_.toString() if sum_ else None))
+        return sorted(out)
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self.hadoop.Path(path), True)
+
+
 @dataclass
 class SnapshotStore:
     spark: SparkSession
@@ -52,14 +85,14 @@ class SnapshotStore:
     # ---- paths -----------------------------------------------------------
     def new_path(self, key: str) -> str:
         """A folder that no result was written to before: a write never touches what readers may be using."""
-        return f"{self.root.rstrip('/')}/data/{key}/{uuid.uuid4().hex}"
+        month = re.fullmatch(r"(.+)_(\d{4})_(\d{2})((?:_\d+)?)", key)
+        where = f"metric={month[1]}/month={month[2]}-{month[3]}{month[4].replace('_', '-')}" if month else f"metric={key}/month=all"
+        return f"{self.root.rstrip('/')}/data/{where}/{uuid.uuid4().hex}"
 
     def data_path(self, key: str) -> str | None:
         """Folder of the newest recorded result of ``key``."""
-        if key in self.pending:
-            return self.pending[key].path
-        row = self.manifest().where(F.col("key") == key).first()
-        return row["path"] if row else None
+        found = self.latest(key)
+        return found.path if found else None
 
     @property
     def manifest_path(self) -> str:
@@ -83,7 +116,7 @@ class SnapshotStore:
         """
         seen, path = Observation(), self.new_path(key)
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        return Stored(key, path, seen.get["n"])
+        return Stored(key, path, seen.get["n"], tuple(Files(self.spark, path).list(path)))
 
     def record(self, entries: "list[Stored]", now: datetime) -> None:
         """Append manifest rows for stored results (one small write for many keys).
@@ -92,19 +125,55 @@ class SnapshotStore:
         unrecorded result, which the next read simply recomputes.
         """
         if entries:
-            rows = [(e.key, now, e.rows, e.path, time.time_ns()) for e in entries]     # `written` orders writes of one `now`
+            rows = [(e.key, now, e.rows, e.path, time.time_ns(), list(e.files)) for e in entries]     # `written` orders writes of one `now`
             self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(self.manifest_path)
         for e in entries:
             self.pending.pop(e.key, None)
+        if entries:
+            self.tidy(now)
 
-    def manifest(self) -> DataFrame:
-        """Latest write per key: (key, refreshed_at, row_count, path)."""
+    def tidy(self, now: datetime) -> None:
+        """Compact the manifest where it has many files, and remove results replaced more than ``KEPT_HOURS`` ago.
+
+        The compacted rows are appended before the files they come from are
+        removed: at every moment the manifest names each newest result. A
+        folder goes before its row, so that a run that is cut short tries again.
+        """
+        files = Files(self.spark, self.root)
+        old = files.list(self.manifest_path)
+        if len(old) <= MANIFEST_FILES:
+            return
+        rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(*(f"{self.manifest_path}/{f.name}" for f in old)).collect()
+        rows = list({r["path"]: r for r in rows}.values())       # one row a stored result: newest and kept ones, not all that ever were
+        by_key: dict[str, list[Row]] = {}
+        for r in sorted(rows, key=lambda r: (r["refreshed_at"], r["written"])):
+            by_key.setdefault(r["key"], []).append(r)
+        done = [r for own in by_key.values() for r, follower in zip(own, own[1:]) if follower["refreshed_at"] <= now - timedelta(hours=KEPT_HOURS)]
+        for r in done:
+            files.remove(r["path"])
+        gone = {r["path"] for r in done}
+        kept = [r for r in rows if r["path"] not in gone]
+        self.spark.createDataFrame(kept, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(self.manifest_path)
+        for f in old:
+            files.remove(f"{self.manifest_path}/{f.name}")
+
+    def _rows(self) -> DataFrame:
         try:
-            m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
         except AnalysisException:      # no manifest yet
-            m = self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        newest = F.max(F.struct("refreshed_at", "written", "row_count", "path")).alias("top")
-        return m.groupBy("key").agg(newest).select("key", "top.refreshed_at", "top.row_count", "top.path")
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+
+    def manifest(self) -> DataFrame:
+        """Latest write per key: (key, refreshed_at, row_count, path, files)."""
+        newest = F.max_by(F.struct("refreshed_at", "row_count", "path", "files"), F.struct("refreshed_at", "written")).alias("top")
+        return self._rows().groupBy("key").agg(newest).select("key", "top.*")
+
+    def latest(self, key: str) -> "Stored | None":
+        """The newest recorded result of ``key``; of this refresh run, if it has written one."""
+        if key in self.pending:
+            return self.pending[key]
+        row = self.manifest().where(F.col("key") == key).first()
+        return Stored(key, row["path"], row["row_count"], tuple(row["files"] or ()), row["refreshed_at"]) if row else None
 
     def ages(self, now: datetime) -> DataFrame:
         """(key, age_hours) of every stored result."""
@@ -117,10 +186,10 @@ class SnapshotStore:
     # ---- S08 ---------------------------------------------------------------
     def read(self, key: str, max_age_hours: float, now: datetime,
              compute: Callable[[], DataFrame]) -> DataFrame:
-        """Stored result if younger than ``max_age_hours``, else recompute, store and return it."""
-        fresh = self.ages(now).where((F.col("key") == key) & (F.col("age_hours") < max_age_hours))
-        if key in self.pending or fresh.limit(1).count() > 0:
-            df = self._intact(key)
+        """Stored result if younger than ``max_age_hours`` and whole, else recompute, store and return it."""
+        found = self.latest(key)
+        if found and (found.refreshed_at is None or now - found.refreshed_at < timedelta(hours=max_age_hours)):
+            df = self._intact(found)
             if df is not None:
                 return df
         result = compute()
@@ -128,27 +197,29 @@ class SnapshotStore:
             return self.spark.read.parquet(self.data_path(key))
         return result
 
-    def _intact(self, key: str) -> DataFrame | None:
-        """The stored result, if every one of its files can be read and holds all recorded rows."""
-        if key in self.pending:
-            return self.spark.read.parquet(self.pending[key].path)
-        row = self.manifest().where(F.col("key") == key).first()
+    def _intact(self, found: "Stored") -> DataFrame | None:
+        """The stored result, if its folder lists exactly the recorded files, unchanged: no row is read for that.
+
+        A file that is missing, extra, of another length, written again since,
+        or of another checksum where the file system keeps checksums, makes
+        the result count as damaged.
+        """
         try:
-            seen = Observation()
-            df = self.spark.read.parquet(row["path"])
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-            return df if seen.get["n"] == row["row_count"] else None
+            whole = found.files and tuple(map(tuple, Files(self.spark, found.path).list(found.path))) == tuple(map(tuple, found.files))
+            return self.spark.read.parquet(found.path) if whole else None
         except Exception:  # noqa: BLE001 - whatever the damage: recompute
             return None
 
 
 @dataclass(frozen=True)
 class Stored:
-    """A result that was written: its folder and row count."""
+    """A result that was written: its folder, row count and files; when, if that is recorded."""
 
     key: str
     path: str
     rows: int
+    files: tuple = ()
+    refreshed_at: datetime | None = None
 
 
 # ---- S09 -------------------------------------------------------------------
@@ -169,29 +240,55 @@ def stale_keys(ttl: DataFrame, ages: DataFrame, force: bool = False) -> DataFram
 class Task:
     ttl_hours: float
     compute: Callable[[], DataFrame]
+    after: tuple[str, ...] = ()         # keys whose results this one reads
+
 
+def levels(tasks: dict[str, Task], todo: list[str]) -> list[list[str]]:
+    """``todo`` in levels: each key after all keys of ``todo`` that it reads; those of one level don't depend on each other."""
+    left, out = list(todo), []
+    while left:
+        ready = [k for k in left if not set(tasks[k].after) & set(left)]
+        if not ready:
+            raise ValueError(f"results that read each other: {left}")
+        out.append(ready)
+        left = [k for k in left if k not in ready]
+    return out
 
-def refresh(store: SnapshotStore, tasks: dict[str, Task], now: datetime, force: bool = False) -> DataFrame:
+
+def refresh(store: SnapshotStore, tasks: dict[str, Task], now: datetime, force: bool = False,
+            at_once: int = AT_ONCE) -> DataFrame:
     """Recompute and store every stale task; returns (key, status, rows, error).
 
     The list of tasks is a small job list (one row per metric), so choosing
     the stale ones is a driver-side decision over that list; every metric
-    itself runs as a Spark job. A failing metric does not stop the others.
+    itself runs as a Spark job. Results that don't read each other are computed
+    ``at_once``, each in a scheduler pool of its own, so one slow metric leaves no
+    executor idle. A failing metric does not stop the others; what reads it
+    computes it again for itself.
     """
     spark = store.spark
     ttl = spark.createDataFrame([(k, float(t.ttl_hours)) for k, t in tasks.items()], "key string, ttl_hours double")
     stale = {r["key"] for r in stale_keys(ttl, store.ages(now), force).where("stale").select("key").collect()}
-    todo = [key for key in tasks if key in stale]          # declared order: inputs before users
+    todo = [key for key in tasks if key in stale]
     results, stored = [], []
-    for key in todo:
+
+    def run(key: str):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", key)
         try:
-            done = store.write_data(key, tasks[key].compute())
+            return key, store.write_data(key, tasks[key].compute()), None
         except Exception as exc:  # noqa: BLE001 - reported per key, in full
-            results.append((key, "failed", None, str(exc)))
-            continue
-        stored.append(done)
-        store.pending[key] = done
-        results.append((key, "ok", done.rows, None))
+            return key, None, str(exc)
+
+    for level in levels(tasks, todo):
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(level)))) as pool:
+            ended = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), key) for key in level]]
+        for key, done, error in ended:
+            if done is None:
+                results.append((key, "failed", None, error))
+                continue
+            stored.append(done)
+            store.pending[key] = done
+            results.append((key, "ok", done.rows, None))
     try:
         store.record(stored, now)
     except Exception as exc:  # noqa: BLE001 - nothing of this run counts as stored
@@ -214,8 +311,8 @@ def month_tasks(wh, p, now_is_current: bool | None = None, store: SnapshotStore
     current = p.is_current if now_is_current is None else now_is_current
     tasks = {m.key(p): Task(m.ttl_hours(current), lambda m=m: m.compute(wh, p)) for m in stored_metrics()}
     daily = TTL_LIVE if current else TTL_DAILY
-    tasks[month_report_key(p)] = Task(daily, lambda: _month_report(wh, p, store, now))
-    tasks[overview_key(p)] = Task(daily, lambda: _overview(wh, p, store, now))
+    tasks[month_report_key(p)] = Task(daily, lambda: _month_report(wh, p, store, now), after=tuple(tasks))
+    tasks[overview_key(p)] = Task(daily, lambda: _overview(wh, p, store, now), after=(month_report_key(p),))
     return tasks
 
 

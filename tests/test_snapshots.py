@@ -1,8 +1,10 @@
 """S07-S10 with a controlled clock."""
 import os
 import tempfile
+import threading
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.streaming import snapshots as snap
@@ -108,3 +110,75 @@ def test_month_refresh_then_pages_from_store_match_fresh_pages(spark, wh_small):
     again = {r.key: r.status for r in snap.refresh(store, tasks, NOW + timedelta(hours=2)).collect()}
     assert again["verified_tenants"] == "fresh"
     assert again["activity_counts_month_2000_06"] == "ok"
+
+
+def test_independent_results_are_computed_at_once_and_readers_after_them(spark):
+    store, met, order = _store(spark), threading.Barrier(2, timeout=60), []
+
+    def meet(n):
+        met.wait()                  # comes back only if the other one is running, too
+        order.append(n)
+        return spark.range(n)
+
+    tasks = {"sum": snap.Task(24.0, lambda: order.append("sum") or store.read("a", 1.0, NOW, lambda: 1 / 0).unionByName(store.read("b", 1.0, NOW, lambda: 1 / 0)), after=("a", "b")),
+             "a": snap.Task(24.0, lambda: meet(3)), "b": snap.Task(24.0, lambda: meet(4))}
+    res = {r.key: (r.status, r.rows) for r in snap.refresh(store, tasks, NOW).collect()}
+    assert res == {"a": ("ok", 3), "b": ("ok", 4), "sum": ("ok", 7)} and order[-1] == "sum"
+
+
+def test_results_that_read_each_other_are_an_error():
+    tasks = {k: snap.Task(1.0, lambda: None, after=(other,)) for k, other in (("a", "b"), ("b", "a"))}
+    with pytest.raises(ValueError):
+        snap.levels(tasks, ["a", "b"])
+    assert snap.levels(tasks, ["a"]) == [["a"]]
+
+
+@pytest.mark.parametrize("harm", ["missing", "extra", "shorter", "same length"])
+def test_damage_is_seen_without_reading_rows(spark, harm):
+    store = _store(spark)
+    store.write("k", spark.range(100).repartition(4), NOW)
+    path = store.data_path("k")
+    victim = os.path.join(path, sorted(n for n in os.listdir(path) if n.endswith(".parquet"))[1])
+    assert store._intact(store.latest("k")) is not None
+    if harm == "missing":
+        os.remove(victim)
+    elif harm == "extra":
+        with open(victim, "rb") as src, open(os.path.join(path, "part-extra.parquet"), "wb") as dst:
+            dst.write(src.read())
+    else:
+        with open(victim, "r+b") as fh:
+            fh.write(b"\xff" * 4)
+            if harm == "shorter":
+                fh.truncate(20)
+    found = store.latest("k")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert store._intact(found) is None
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert store.read("k", 24.0, NOW, lambda: spark.range(7)).count() == 7
+
+
+def test_many_refreshes_leave_a_bounded_number_of_files(spark):
+    store, counts = _store(spark), []
+    for k in range(24):
+        at = NOW + timedelta(hours=3 * k)
+        assert store.write("metric_2000_06", spark.range(k + 1).coalesce(1), at)
+        folder = os.path.join(store.root, "data/metric=metric/month=2000-06")
+        counts.append((len(os.listdir(folder)), len([n for n in os.listdir(store.manifest_path) if n.endswith(".parquet")])))
+        assert store.read("metric_2000_06", 1.0, at, lambda: 1 / 0).count() == k + 1
+    assert max(c for c, _ in counts) <= 2 * snap.MANIFEST_FILES + 2 and max(m for _, m in counts) <= snap.MANIFEST_FILES + 1
+
+
+def test_a_replaced_result_stays_for_its_readers(spark):
+    store = _store(spark)
+    store.write("k", spark.range(5), NOW)
+    held = store.read("k", 24.0, NOW, lambda: 1 / 0)
+    for k in range(2 * snap.MANIFEST_FILES):
+        store.write("k", spark.range(9), NOW + timedelta(minutes=1))
+    assert held.count() == 5
+
+
+def test_layout_names_metric_and_month(spark):
+    store = _store(spark)
+    for key, where in (("active_base_2000_06", "metric=active_base/month=2000-06"), ("completion_rates_2000_06_30", "metric=completion_rates/month=2000-06-30"),
+                       ("pricing_config", "metric=pricing_config/month=all")):
+        assert f"/data/{where}/" in store.new_path(key)
