@@ -125,6 +125,54 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                              'eom_pct_of_proj',
                                              'delta_m1',
                                              'delta_y1')},
+ 'enrolment_page_seat': {'bools': ('eom_est_fallback', 'eom_met', 'is_total'),
+                         'ints': ('college_id',
+                                  'projected',
+                                  'new_enrol',
+                                  'eom_est',
+                                  'eom_pct_of_proj',
+                                  'new_enrol_m1',
+                                  'delta_m1',
+                                  'new_enrol_y1',
+                                  'delta_y1',
+                                  'st_till_last_month',
+                                  'st_wlh_count',
+                                  'st_new_this_month',
+                                  'st_converted_this_month',
+                                  'pba_count',
+                                  'rpl_admission',
+                                  'rpl_low',
+                                  'rpl_high',
+                                  'featured_enrolments',
+                                  'active_base',
+                                  'pauses_m1',
+                                  'archives_m1',
+                                  'net_additions',
+                                  'new_enrol_m1_mtd',
+                                  'new_enrol_y1_mtd')},
+ 'enrolment_page_share': {'bools': ('eom_est_fallback', 'eom_met', 'is_total'),
+                          'ints': ('college_id',
+                                   'projected',
+                                   'new_enrol',
+                                   'eom_est',
+                                   'eom_pct_of_proj',
+                                   'new_enrol_m1',
+                                   'delta_m1',
+                                   'new_enrol_y1',
+                                   'delta_y1',
+                                   'st_till_last_month',
+                                   'st_wlh_count',
+                                   'st_new_this_month',
+                                   'st_converted_this_month',
+                                   'pba_count',
+                                   'rpl_admission',
+                                   'rpl_low',
+                                   'rpl_high',
+                                   'featured_enrolments',
+                                   'archived_30d',
+                                   'net_revsh',
+                                   'new_enrol_m1_mtd',
+                                   'new_enrol_y1_mtd')},
  'eom_estimate': {'bools': ('eom_est_fallback', 'eom_met'),
                   'ints': ('college_id', 'new_enrol', 'projected', 'eom_est', 'eom_pct_of_proj')},
  'exemption_counts': {'bools': (), 'ints': ('college_id', 'rpl_low', 'rpl_high')},
@@ -175,6 +223,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
  'revenue_components': {'bools': (), 'ints': ('college_id',)},
  'revenue_overview': {'bools': ('has_invoice',), 'ints': ('college_id',)},
  'revenue_overview_total': {'bools': (), 'ints': ('tenants', 'with_invoice')},
+ 'revenue_page': {'bools': ('has_invoice', 'is_total'), 'ints': ('college_id', 'tenants', 'with_invoice')},
  'rpl_admissions': {'bools': (), 'ints': ('college_id', 'rpl_admission')},
  'run_query': {'bools': (), 'ints': ('id',)},
  'seasonal_factor': {'bools': (), 'ints': ('college_id',)},
@@ -203,13 +252,13 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                             'pba_count',
                             'featured_enrolments')},
  'seat_overview_total': {'bools': (),
-                         'ints': ('active_base',
-                                  'new_enrol',
+                         'ints': ('new_enrol',
                                   'new_enrol_m1',
                                   'new_enrol_y1',
                                   'new_enrol_m1_mtd',
                                   'new_enrol_y1_mtd',
                                   'eom_enrol',
+                                  'active_base',
                                   'pauses_m1',
                                   'archives_m1',
                                   'net_additions',
@@ -224,6 +273,30 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                   'eom_variance',
                                   'delta_m1',
                                   'delta_y1')},
+ 'seat_page': {'bools': ('variance_mtd_based', 'is_total'),
+               'ints': ('college_id',
+                        'active_base',
+                        'projected',
+                        'new_enrol',
+                        'new_enrol_m1',
+                        'new_enrol_y1',
+                        'delta_m1',
+                        'delta_y1',
+                        'variance',
+                        'pauses_m1',
+                        'archives_m1',
+                        'net_additions',
+                        'st_till_last_month',
+                        'st_new_this_month',
+                        'st_converted_this_month',
+                        'rpl_low',
+                        'rpl_high',
+                        'pba_count',
+                        'featured_enrolments',
+                        'new_enrol_m1_mtd',
+                        'new_enrol_y1_mtd',
+                        'eom_enrol',
+                        'eom_variance')},
  'section_kpis': {'bools': (),
                   'ints': ('tenants',
                            'new_enrol',
@@ -271,6 +344,28 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                    'eom_variance',
                                    'delta_m1',
                                    'delta_y1')},
+ 'share_page': {'bools': ('variance_mtd_based', 'share_rev_approximate', 'is_total'),
+                'ints': ('college_id',
+                         'projected',
+                         'new_enrol',
+                         'new_enrol_m1',
+                         'new_enrol_y1',
+                         'delta_m1',
+                         'delta_y1',
+                         'variance',
+                         'archived_30d',
+                         'net_revsh',
+                         'st_till_last_month',
+                         'st_new_this_month',
+                         'st_converted_this_month',
+                         'rpl_low',
+                         'rpl_high',
+                         'pba_count',
+                         'featured_enrolments',
+                         'new_enrol_m1_mtd',
+                         'new_enrol_y1_mtd',
+                         'eom_enrol',
+                         'eom_variance')},
  'snapshot_read': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
  'snapshot_refresh': {'bools': (), 'ints': ('rows',)},
  'squad_lead_funnel': {'bools': (), 'ints': ('st_till', 'st_new', 'st_converted', 'enrolled')},

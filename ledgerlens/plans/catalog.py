@@ -339,6 +339,26 @@ ENTRIES["run_query"] = Entry(
 ENTRIES.update({f"table_binding_{n}": _binding_entry(n) for n in OPERATIONAL_TABLES if n != "services"})
 
 
+def _page_entry(build, rows: str, total: str) -> Entry:
+    """A page's rows and TOTAL from one pass: by SQL the union of the two, each stated on its own."""
+    r, t = ENTRIES[rows], ENTRIES[total]
+    name = "" if rows == "revenue_overview" else "'TOTAL' AS name, "
+    sql = (f"SELECT *, FALSE AS is_total FROM (\n{r.sql_final}\n) r\nUNION ALL BY NAME\n"
+           f"SELECT {name}*, TRUE AS is_total FROM (\n{t.sql_final}\n) t")
+    if not name:
+        sql = f"SELECT * REPLACE (CASE WHEN is_total THEN 'TOTAL' ELSE name END AS name) FROM (\n{sql}\n) p"
+    return Entry(build, sql_final=sql, sql_deps=tuple(dict.fromkeys((*r.sql_deps, *t.sql_deps))), doubles=tuple(dict.fromkeys((*r.doubles, *t.doubles))))
+
+
+ENTRIES.update({
+    "seat_page": _page_entry(lambda wh: ov.seat_page(_base(wh)), "seat_overview", "seat_overview_total"),
+    "share_page": _page_entry(lambda wh: ov.share_page(_base(wh)), "share_overview", "share_overview_total"),
+    "enrolment_page_seat": _page_entry(lambda wh: ov.enrolment_page_seat(_base(wh)), "enrolment_overview_seat", "enrolment_overview_seat_total"),
+    "enrolment_page_share": _page_entry(lambda wh: ov.enrolment_page_share(_base(wh)), "enrolment_overview_share", "enrolment_overview_share_total"),
+    "revenue_page": _page_entry(lambda wh: ov.revenue_page(wh, BILLING_START), "revenue_overview", "revenue_overview_total"),
+})
+
+
 # ---- 2.1 S07-S10 stored results --------------------------------------------
 import uuid  # noqa: E402
 from datetime import datetime  # noqa: E402

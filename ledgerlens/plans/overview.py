@@ -199,6 +199,39 @@ def section_kpis(report: DataFrame) -> DataFrame:
     )
 
 
+# ---- A16: rows and TOTAL from one pass ---------------------------------------
+
+def rows_and_total(base: DataFrame, model: str, sums: list[Column]) -> DataFrame:
+    """(is_total, row, <sums>): every tenant of ``model`` and their TOTAL, by grouping sets over one pass of ``base``.
+
+    ``row`` is the tenant's row of ``base`` (null in the TOTAL), the sums are those
+    of the tenant or of all. A page without tenants still has its TOTAL: an
+    empty marker row stands in for the missing ones and is left out again.
+    """
+    tenants = base.where(F.col("revenue_model") == model)
+    marker = base.sparkSession.range(1).select(F.lit(True).alias("_marker"))
+    marked = tenants.withColumn("_marker", F.lit(False)).unionByName(marker, allowMissingColumns=True)
+    key = [F.col("college_id"), F.col("_marker")]
+    grouped = marked.select("*", F.struct(*base.columns).alias("row")).groupingSets([key, []], *key).agg(
+        (F.grouping("college_id") == 1).alias("is_total"), F.first("row").alias("_row"), *sums)
+    return grouped.where(F.col("is_total") | ~F.col("_marker")).withColumn("row", F.when(~F.col("is_total"), F.col("_row"))).drop("college_id", "_marker", "_row")
+
+
+def _page(base: DataFrame, model: str, sums: list[Column], total: list[Column], columns: tuple[str, ...],
+          order: list[Column]) -> DataFrame:
+    """The page as it is read: the tenants' rows in order, then TOTAL, with ``columns`` and what the TOTAL has besides."""
+    both = rows_and_total(base, model, sums).select("is_total", "row", F.struct(*total).alias("total"))
+    names = both.schema["total"].dataType.names
+    more = [c for c in names if c not in columns]
+
+    def cell(c: str) -> Column:
+        of_row = F.col(f"row.{c}") if c in columns else F.lit(None)
+        of_total = F.col(f"total.{c}") if c in names else F.lit("TOTAL") if c == "name" else F.lit(None)
+        return F.when(F.col("is_total"), of_total).otherwise(of_row).alias(c)
+
+    return both.select(*(cell(c) for c in [*columns, *more]), "is_total").orderBy("is_total", *order)
+
+
 # ---- R12-R14 seat-based page ----------------------------------------------
 
 SEAT_COLUMNS = ("college_id", "name", "label", "active_base", "projected", "new_enrol", "new_enrol_m1",
@@ -231,26 +264,42 @@ def _sum_money(c: str) -> Column:
     return nonzero_or_null(F.coalesce(F.sum(c), F.lit(0.0))).alias(c)
 
 
+_LEAD_SUMS = ("st_till_last_month", "st_new_this_month", "st_converted_this_month", "rpl_low", "rpl_high", "pba_count", "featured_enrolments")
+
+
+def _money_page_sums(counts: tuple[str, ...], expected: str) -> list[Column]:
+    """The sums of a money page's TOTAL."""
+    return [
+        F.coalesce(F.sum("projected"), F.lit(0)).cast("bigint").alias("proj_sum"),
+        *[_sumi(c) for c in ("new_enrol", "new_enrol_m1", "new_enrol_y1", "new_enrol_m1_mtd", "new_enrol_y1_mtd", "eom_enrol", *counts)],
+        *[_sum_money(c) for c in (expected, "lead_rev", "rpl_pba_rev", "course_rev", "total_rev")],
+        *[_sumi(c) for c in _LEAD_SUMS],
+    ]
+
+
+def _money_page_total(counts: tuple[str, ...], expected: str) -> list[Column]:
+    """The TOTAL's columns, from the sums: no projection, no variance where nothing is projected."""
+    proj = F.col("proj_sum")
+    return [
+        *[F.col(c) for c in ("new_enrol", "new_enrol_m1", "new_enrol_y1", "new_enrol_m1_mtd", "new_enrol_y1_mtd", "eom_enrol", *counts, expected,
+                             "lead_rev", "rpl_pba_rev", "course_rev", "total_rev", *_LEAD_SUMS)],
+        F.when(proj != 0, proj).alias("projected"),
+        F.when(proj != 0, F.col("eom_enrol") - proj).alias("eom_variance"),
+        *_delta_cols(F.col("new_enrol"), F.col("new_enrol_m1_mtd"), F.col("new_enrol_y1_mtd")),
+    ]
+
+
+SEAT_TOTAL = (("active_base", "pauses_m1", "archives_m1", "net_additions"), "seat_rev")
+
+
 def seat_overview_total(base: DataFrame) -> DataFrame:
     """The TOTAL row of the seat page (sums of per-row values)."""
-    seat = base.where(F.col("revenue_model") == SEAT)
-    t = seat.agg(
-        F.coalesce(F.sum("active_base"), F.lit(0)).cast("bigint").alias("active_base"),
-        F.coalesce(F.sum("projected"), F.lit(0)).cast("bigint").alias("proj_sum"),
-        _sumi("new_enrol"), _sumi("new_enrol_m1"), _sumi("new_enrol_y1"),
-        _sumi("new_enrol_m1_mtd"), _sumi("new_enrol_y1_mtd"), _sumi("eom_enrol"),
-        _sumi("pauses_m1"), _sumi("archives_m1"), _sumi("net_additions"),
-        _sum_money("seat_rev"), _sum_money("lead_rev"), _sum_money("rpl_pba_rev"), _sum_money("course_rev"),
-        _sum_money("total_rev"),
-        _sumi("st_till_last_month"), _sumi("st_new_this_month"), _sumi("st_converted_this_month"),
-        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("featured_enrolments"),
-    )
-    cur = F.col("new_enrol")
-    return t.select(
-        "*", F.when(F.col("proj_sum") != 0, F.col("proj_sum")).alias("projected"),
-        F.when(F.col("proj_sum") != 0, F.col("eom_enrol") - F.col("proj_sum")).alias("eom_variance"),
-        *_delta_cols(cur, F.col("new_enrol_m1_mtd"), F.col("new_enrol_y1_mtd")),
-    ).drop("proj_sum")
+    return rows_and_total(base, SEAT, _money_page_sums(*SEAT_TOTAL)).where("is_total").select(*_money_page_total(*SEAT_TOTAL))
+
+
+def seat_page(base: DataFrame) -> DataFrame:
+    """R12 and R13 from one pass: the seat page's rows in order and its TOTAL."""
+    return _page(base, SEAT, _money_page_sums(*SEAT_TOTAL), _money_page_total(*SEAT_TOTAL), SEAT_COLUMNS, _o3())
 
 
 def seat_eom_revenue(base: DataFrame) -> DataFrame:
@@ -276,32 +325,29 @@ SHARE_COLUMNS = ("college_id", "name", "label", "projected", "new_enrol", "new_e
                  "total_rev")
 
 
+def _with_approximate(base: DataFrame) -> DataFrame:
+    return base.withColumn("share_rev_approximate",
+                           F.when(F.col("share_rev").isNotNull(), F.coalesce(F.col("est_from_min_rev"), F.lit(0)) > 0))
+
+
 def share_overview(base: DataFrame) -> DataFrame:
     """Revenue-share tenants, ordered enrolments -> leads -> name."""
-    share = base.where(F.col("revenue_model") == SHARE).withColumn(
-        "share_rev_approximate",
-        F.when(F.col("share_rev").isNotNull(), F.coalesce(F.col("est_from_min_rev"), F.lit(0)) > 0))
+    share = _with_approximate(base).where(F.col("revenue_model") == SHARE)
     return _ranked(share, _o3(seat_sort_by_active=False)).select(*SHARE_COLUMNS)
 
 
+SHARE_TOTAL = (("archived_30d", "net_revsh"), "share_rev")
+
+
 def share_overview_total(base: DataFrame) -> DataFrame:
     """The TOTAL row of the revenue-share page."""
-    share = base.where(F.col("revenue_model") == SHARE)
-    t = share.agg(
-        F.coalesce(F.sum("projected"), F.lit(0)).cast("bigint").alias("proj_sum"),
-        _sumi("new_enrol"), _sumi("new_enrol_m1"), _sumi("new_enrol_y1"),
-        _sumi("new_enrol_m1_mtd"), _sumi("new_enrol_y1_mtd"), _sumi("eom_enrol"),
-        _sumi("archived_30d"), _sumi("net_revsh"),
-        _sum_money("share_rev"), _sum_money("lead_rev"), _sum_money("rpl_pba_rev"), _sum_money("course_rev"),
-        _sum_money("total_rev"),
-        _sumi("st_till_last_month"), _sumi("st_new_this_month"), _sumi("st_converted_this_month"),
-        _sumi("rpl_low"), _sumi("rpl_high"), _sumi("pba_count"), _sumi("featured_enrolments"),
-    )
-    return t.select(
-        "*", F.when(F.col("proj_sum") != 0, F.col("proj_sum")).alias("projected"),
-        F.when(F.col("proj_sum") != 0, F.col("eom_enrol") - F.col("proj_sum")).alias("eom_variance"),
-        *_delta_cols(F.col("new_enrol"), F.col("new_enrol_m1_mtd"), F.col("new_enrol_y1_mtd")),
-    ).drop("proj_sum")
+    return rows_and_total(base, SHARE, _money_page_sums(*SHARE_TOTAL)).where("is_total").select(*_money_page_total(*SHARE_TOTAL))
+
+
+def share_page(base: DataFrame) -> DataFrame:
+    """R15 and R16 from one pass: the revenue-share page's rows in order and its TOTAL."""
+    return _page(_with_approximate(base), SHARE, _money_page_sums(*SHARE_TOTAL), _money_page_total(*SHARE_TOTAL), SHARE_COLUMNS,
+                 _o3(seat_sort_by_active=False))
 
 
 def share_eom_revenue(base: DataFrame) -> DataFrame:
@@ -387,35 +433,48 @@ def enrolment_overview_share(base: DataFrame) -> DataFrame:
         *ENROL_COMMON, "archived_30d", "net_revsh")
 
 
-def _enrol_total(rows: DataFrame, extra: list[Column]) -> DataFrame:
-    t = rows.agg(
-        F.coalesce(F.sum("projected"), F.lit(0)).cast("bigint").alias("proj_sum"),
-        _sumi("new_enrol"), _sumi("eom_enrol_fallback", "eom_est"),
-        _sumi("new_enrol_m1"), _sumi("new_enrol_m1_mtd"), _sumi("new_enrol_y1"), _sumi("new_enrol_y1_mtd"),
-        _sumi("st_till_last_month"), _sumi("st_wlh_count"), _sumi("st_new_this_month"),
-        _sumi("st_converted_this_month"), _sumi("pba_count"), _sumi("rpl_admission"), _sumi("rpl_low"),
-        _sumi("rpl_high"), _sumi("featured_enrolments"), *extra,
-    )
+_ENROL_SUMS = ("new_enrol_m1", "new_enrol_m1_mtd", "new_enrol_y1", "new_enrol_y1_mtd", "st_till_last_month", "st_wlh_count", "st_new_this_month",
+               "st_converted_this_month", "pba_count", "rpl_admission", "rpl_low", "rpl_high", "featured_enrolments")
+
+
+def _enrol_sums(counts: tuple[str, ...]) -> list[Column]:
+    return [F.coalesce(F.sum("projected"), F.lit(0)).cast("bigint").alias("proj_sum"), _sumi("new_enrol"), _sumi("eom_enrol_fallback", "eom_est"),
+            *[_sumi(c) for c in (*_ENROL_SUMS, *counts)]]
+
+
+def _enrol_total(counts: tuple[str, ...]) -> list[Column]:
+    """The TOTAL's columns of an enrolment page; the estimate falls back to the average full month (Q8)."""
     proj = F.col("proj_sum")
-    return t.select(
-        "*", F.when(proj != 0, proj).alias("projected"),
+    return [
+        *[F.col(c) for c in ("new_enrol", "eom_est", *_ENROL_SUMS, *counts)],
+        F.when(proj != 0, proj).alias("projected"),
         F.when(proj != 0, F.col("eom_est") >= proj).alias("eom_met"),
         F.when(proj != 0, pyround(F.col("eom_est") / proj * 100, 0).cast("bigint")).alias("eom_pct_of_proj"),
         *_delta_cols(F.col("new_enrol"), F.col("new_enrol_m1_mtd"), F.col("new_enrol_y1_mtd")),
-    ).drop("proj_sum")
+    ]
+
+
+ENROL_SEAT, ENROL_SHARE = ("active_base", "pauses_m1", "archives_m1", "net_additions"), ("archived_30d", "net_revsh")
 
 
 def enrolment_overview_seat_total(base: DataFrame) -> DataFrame:
-    """TOTAL row; the estimate falls back to the average full month (Q8)."""
-    seat = base.where(F.col("revenue_model") == SEAT)
-    return _enrol_total(seat, [_sumi("active_base"), _sumi("pauses_m1"), _sumi("archives_m1"),
-                               _sumi("net_additions")])
+    """R25."""
+    return rows_and_total(base, SEAT, _enrol_sums(ENROL_SEAT)).where("is_total").select(*_enrol_total(ENROL_SEAT))
 
 
 def enrolment_overview_share_total(base: DataFrame) -> DataFrame:
     """R27."""
-    share = base.where(F.col("revenue_model") == SHARE)
-    return _enrol_total(share, [_sumi("archived_30d"), _sumi("net_revsh")])
+    return rows_and_total(base, SHARE, _enrol_sums(ENROL_SHARE)).where("is_total").select(*_enrol_total(ENROL_SHARE))
+
+
+def enrolment_page_seat(base: DataFrame) -> DataFrame:
+    """R24 and R25 from one pass."""
+    return _page(base, SEAT, _enrol_sums(ENROL_SEAT), _enrol_total(ENROL_SEAT), ENROL_COMMON + ENROL_SEAT, _o3(with_new_leads=False))
+
+
+def enrolment_page_share(base: DataFrame) -> DataFrame:
+    """R26 and R27 from one pass."""
+    return _page(base, SHARE, _enrol_sums(ENROL_SHARE), _enrol_total(ENROL_SHARE), ENROL_COMMON + ENROL_SHARE, _o3(seat_sort_by_active=False))
 
 
 # ---- R28 display columns -------------------------------------------------------
@@ -465,3 +524,19 @@ def revenue_overview_total(rows: DataFrame) -> DataFrame:
         F.count("invoice_name").alias("with_invoice"),
         *[nonzero_or_null(F.coalesce(F.sum(h), F.lit(0.0))).alias(h) for h in HEADS],
     )
+
+
+def revenue_page(wh: Warehouse, billing_started) -> DataFrame:
+    """R22 and R23 from one pass over the invoices: each revenue model's rows, then its totals."""
+    rows = revenue_overview(wh, billing_started)
+    row = F.struct(*rows.columns)
+    both = rows.select("*", row.alias("row")).groupingSets([["revenue_model", "college_id"], ["revenue_model"]], "revenue_model", "college_id").agg(
+        (F.grouping("college_id") == 1).alias("is_total"), F.first("row").alias("row"), F.count(F.lit(1)).alias("tenants"), F.count("invoice_name").alias("with_invoice"),
+        *[nonzero_or_null(F.coalesce(F.sum(h), F.lit(0.0))).alias(f"sum_{h}") for h in HEADS])
+    total = F.col("is_total")
+    cells = [F.when(~total, F.col(f"row.{c}")).alias(c) for c in ("college_id", "invoice_name", "has_invoice", "quarterly_status", "invoice_status")]
+    return both.select(
+        "revenue_model", F.when(total, F.lit("TOTAL")).otherwise(F.col("row.name")).alias("name"), *cells,
+        *[F.when(total, F.col(f"sum_{h}")).otherwise(F.col(f"row.{h}")).alias(h) for h in HEADS],
+        F.when(total, F.col("tenants")).alias("tenants"), F.when(total, F.col("with_invoice")).alias("with_invoice"), "is_total",
+    ).orderBy("revenue_model", "is_total", "name")

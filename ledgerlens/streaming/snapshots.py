@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,10 +157,10 @@ class SnapshotStore:
             files.remove(f"{self.manifest_path}/{f.name}")
 
     def _rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except AnalysisException:      # no manifest yet
+        # asked of the file system first: a read of a path that isn't there is an error in Spark's log, too
+        if not Files(self.spark, self.root).list(self.manifest_path):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
 
     def manifest(self) -> DataFrame:
         """Latest write per key: (key, refreshed_at, row_count, path, files)."""

@@ -1,0 +1,58 @@
+"""Rows and TOTAL from one pass (A16), and the entry point where its optional part can't be imported."""
+import os
+import re
+import subprocess
+import sys
+
+import pytest
+
+from ledgerlens.plans import overview as ov
+from ledgerlens.plans.catalog import BILLING_START, ENTRIES, PAST
+
+PAGES = [(ov.seat_page, ov.seat_overview, ov.seat_overview_total), (ov.share_page, ov.share_overview, ov.share_overview_total),
+         (ov.enrolment_page_seat, ov.enrolment_overview_seat, ov.enrolment_overview_seat_total),
+         (ov.enrolment_page_share, ov.enrolment_overview_share, ov.enrolment_overview_share_total)]
+
+
+@pytest.fixture(scope="module")
+def base(spark, wh_small, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("base"))
+    ov.overview_base(wh_small, PAST).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("page,rows,total", PAGES)
+def test_page_is_its_rows_in_order_and_its_total_last(base, page, rows, total):
+    got, top, all_ = page(base).collect(), rows(base), total(base)
+    assert [tuple(r[c] for c in top.columns) for r in got[:-1]] == [tuple(r) for r in top.collect()]
+    assert tuple(got[-1][c] for c in all_.columns) == tuple(all_.first()) and got[-1]["name"] == "TOTAL"
+    assert [r["is_total"] for r in got] == [False] * (len(got) - 1) + [True]
+
+
+@pytest.mark.parametrize("page,rows,total", PAGES)
+def test_a_page_without_tenants_has_a_total_of_nothing(base, page, rows, total):
+    none = base.where("false")
+    got = page(none).collect()
+    assert len(got) == 1 and got[0]["is_total"] and got[0]["new_enrol"] == 0 and got[0]["projected"] is None
+    assert total(none).count() == 1
+
+
+def _scans(df):
+    return sorted(re.findall(r"Scan parquet [^\n]*", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+def test_a_page_scans_no_more_than_its_base(wh_small, base):
+    once = len(_scans(ov.overview_base(wh_small, PAST)))
+    for page, *_ in PAGES:
+        assert len(_scans(page(ov.overview_base(wh_small, PAST)))) == once, page.__name__
+    assert len(_scans(ov.seat_page(base))) == 1
+    assert len(_scans(ov.revenue_page(wh_small, BILLING_START))) == len(_scans(ov.revenue_overview(wh_small, BILLING_START)))
+
+
+def test_the_rest_stands_where_the_optional_part_cannot_be_imported():
+    code = ("import sys; sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as E\nprint(len(E.queries()), len(E.oracle_sql()))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(ENTRIES))] * 2 and "public_tokenizers" in done.stderr
