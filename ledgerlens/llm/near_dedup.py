@@ -155,9 +155,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     and is a group of its own; texts of one to four words have one shingle;
     word sequences are compared without case and marks, so texts that differ
     in these alone are copies; a null doc_id sorts last and stays only in a
-    group without any other; of rows that repeat an id and text one stays, and
-    all carry the same ``kept``; an empty table gives no rows; other columns
-    than doc_id and text are not read.
+    group without any other; of a group's rows that share its smallest id but
+    not the text, that of the smallest text hash stays; of rows that repeat an
+    id and text one stays, and all carry the same ``kept``; an empty table gives
+    no rows; other columns than doc_id and text are not read. Cells are told
+    apart by 32 bits of their hash within a pair of texts.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -167,7 +169,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = stored(rows.select("doc_id", "text_hash", "text").mapInArrow(
         _features, f"doc_id {id_type}, text_hash long, uid long, k1 long, k2 long, bands array<bigint>, cells array<int>"), f"{root}/rows")
     worded = rows.where(F.size("bands") > 0)
-    classes = stored(worded.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), f"{root}/classes")
+    # the row that stays: the smallest id, a null one last; of rows that share it the smallest text hash
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = stored(worded.groupBy("k1", "k2").agg(F.min("uid").alias("node"), first.alias("first"), F.count("*").alias("copies")), f"{root}/classes")
     nodes = worded.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     banded = stored(nodes.select("uid", F.explode("bands").alias("band")), f"{root}/bands")
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -177,12 +181,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     compared = stored(nodes.select("uid", "cells").join(members.select("uid").distinct(), "uid", "left_semi"), f"{root}/compared")
     labels = _linked(members, compared, root)
     labelled = stored(classes.join(labels.withColumnRenamed("label", "root"), "node", "left")
-                      .select("k1", "k2", F.coalesce("root", "node").alias("root"), "first_id", "copies"), f"{root}/labelled")
-    groups = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("group_size"))
-    found = labelled.join(groups, "root").select("k1", "k2", "class_id", "group_size")
+                      .select("k1", "k2", F.coalesce("root", "node").alias("root"), "first", "copies"), f"{root}/labelled")
+    groups = labelled.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("group_size"))
+    found = labelled.select("k1", "k2", "root").join(groups, "root").select("k1", "k2", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("kept_hash"), "group_size")
     by_key = worded.select("doc_id", "text_hash", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
-    alone = rows.where(F.size("bands") == 0).select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("group_size"))
-    return by_key.unionByName(alone).select("doc_id", "class_id", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
+    alone = rows.where(F.size("bands") == 0).select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("text_hash").alias("kept_hash"),
+                                                       F.lit(1).cast("long").alias("group_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    return by_key.unionByName(alone).select("doc_id", "class_id", "group_size", kept.alias("kept"), "text_hash")
 
 
 def _leaders(members: DataFrame) -> DataFrame:

@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     ship(spark)
     rows = labelled(docs, labels, "quality", MODULUS, HELD_OUT, max_train_rows)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int"))
-    rows = stored(rows.mapInArrow(_featurise, "doc_id long, y double, shard int, bucket array<int>, value array<double>"), f"{scratch(spark, 'quality')}/rows")
+    kind = dict(rows.dtypes)["doc_id"]
+    rows = stored(rows.mapInArrow(_featurise, f"doc_id {kind}, y double, shard int, bucket array<int>, value array<double>"), f"{scratch(spark, 'quality')}/rows")
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((z, n))

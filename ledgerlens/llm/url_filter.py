@@ -77,10 +77,12 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, links: DataFrame, root: str, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """(host, trust, distrust), none further than ``tolerance`` from the solution; an error if ``rounds`` rounds don't do.
+    """(host, trust, distrust) within ``tolerance`` of the solution; an error if ``rounds`` rounds don't do.
 
     A round shrinks the sum of what trust is short of, and the largest that
-    distrust is short of, by the damping at least, so the last move bounds the rest.
+    distrust is short of, by the damping at least, so the last move bounds the
+    rest. Trust is a sum over all hosts, so its tolerance is a share of the seeds'
+    mass: with very many hosts the rounding of that sum alone exceeds a fixed one.
     """
     enough = tolerance * (1 - damping) / max(damping, 1e-9)
     seeds = stored(hosts.join(links.select(F.col("src").alias("host"), F.lit(True).alias("links")).distinct(), "host", "left")
@@ -97,9 +99,9 @@ def propagate(hosts: DataFrame, links: DataFrame, root: str, damping: float, rou
             "host",
             ((1 - damping) * F.col("allow") + damping * (F.coalesce("received", F.lit(0.0)) + own("trust_0"))).alias("trust"),
             ((1 - damping) * F.col("block") + damping * F.when(F.col("links"), F.coalesce("reached", F.lit(0.0))).otherwise(F.col("distrust_0"))).alias("distrust"),
-            "trust_0", "distrust_0")
+            "trust_0", "distrust_0", "allow")
         done = stored(after, f"{root}/round-{k}")
-        moved = done.agg(F.greatest(F.sum(F.abs(F.col("trust") - F.col("trust_0"))), F.max(F.abs(F.col("distrust") - F.col("distrust_0"))))).first()[0]
+        moved = done.agg(F.greatest(F.sum(F.abs(F.col("trust") - F.col("trust_0"))) / F.greatest(F.sum("allow"), F.lit(1.0)), F.max(F.abs(F.col("distrust") - F.col("distrust_0"))))).first()[0]
         scores = done.select("host", "trust", "distrust")
         if moved is None or moved <= enough:
             return scores
