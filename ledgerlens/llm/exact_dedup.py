@@ -3,33 +3,36 @@
 Texts are equal when their bytes are (null counts as empty). The index is
 built in these steps:
 
-1. *Chains.* ``groupBy(hash, digest, text)``: the aggregation's hash table
-   compares whole texts byte by byte, so two texts that collide in the hash
-   become two entries of one chain. The map-side combine reduces every group of
-   copies to a row a task before anything is shuffled, however hot it is.
-2. *Directory.* Keys are counted by the first bits of their hash. As long as a
-   bucket holds more than ``capacity`` keys it is split by its next bit and,
-   where that exceeds the directory's depth, the directory doubles. Only bucket
-   counts reach the driver, at most ``MAX_DIRECTORY`` of them: the capacity
-   grows with the number of keys to keep it so. Equal hashes can't be split by
-   bits; they stay in one bucket as a chain.
-3. *Index files.* Entries are range-partitioned by bucket: each task writes the
-   files of the buckets it owns.
-4. *Probe.* Every row is looked up by (bucket, hash, digest). Entries of at
-   least a thousandth of all rows - there are at most a thousand - are probed
-   by broadcast, so a hot text isn't sent to one task; the rest by a join.
+1. *Directory.* Rows are counted by the hash of their text, then keys by the
+   first bits of that hash. As long as a bucket holds more than ``capacity``
+   keys it is split by its next bit and, where that exceeds the directory's
+   depth, the directory doubles. Only bucket counts reach the driver, at most
+   ``MAX_DIRECTORY`` of them: the capacity grows with the number of keys to keep
+   it so. Equal hashes can't be split by bits; they stay in one bucket.
+2. *Owners.* Rows go with their bytes to the task that owns their range of
+   (bucket, hash). Hashes of at least 1/``COMBINE_SHARE`` of the rows - there are
+   at most ``COMBINE_SHARE`` - are first reduced to one row a task and text, so
+   that a hot text arrives as a handful of rows.
+3. *Chains.* An owner compares the texts under one hash byte by byte: each
+   different text becomes an entry of that hash's chain, with the largest id and
+   the number of its rows. The entries are written as the index files, a file
+   for each owner.
+4. *Probe.* Every row walks the chain of its (bucket, hash) to the entry with its
+   digest. Entries of at least a thousandth of all rows - there are at most a
+   thousand - are probed by broadcast, so a hot text isn't sent to one task; the
+   rest by a join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import pick, scratch, stored
 
 MAX_DIRECTORY = 1 << 14
 HEAVY_SHARE = 1000          # entries of at least 1/1000 of the rows are broadcast: at most 1000 exist
+COMBINE_SHARE = 1 << 17     # hashes of at least this share of the rows are combined before they travel
 FIRST_DEPTH = 10
 DEPTH_STEP = 4
 MAX_DEPTH = 48
@@ -48,36 +51,34 @@ def _prefix(depth: int):
     return F.shiftrightunsigned(F.col("h"), 64 - depth)
 
 
-def directory(chains: DataFrame, capacity: int) -> list[tuple[int, int]]:
-    """Leaf buckets as (prefix, depth), in key order, by splitting overfull buckets.
+def directory(keys: DataFrame, capacity: int) -> list[tuple[int, int]]:
+    """Leaf buckets as (prefix, depth), in key order, by splitting overfull buckets of the distinct hashes ``h``.
 
     Counts at the directory's depth come from one aggregation; only buckets
     that are still overfull at that depth are counted again, deeper.
     """
-    keys = chains.select("h").distinct()
     total = keys.count()
     capacity = max(capacity, -(-2 * total // MAX_DIRECTORY))
     leaves: list[tuple[int, int]] = []
-    depth, pending = FIRST_DEPTH, {0: 0}     # prefix -> depth of buckets to refine
+    top, depth, pending = 0, FIRST_DEPTH, [0]     # prefixes at depth ``top`` that are to be refined
     while pending:
-        inside = keys
-        if any(pending.values()):
-            at = next(iter(pending.values()))
-            inside = keys.where(_prefix(at).isin(list(pending)))
+        inside = keys.where(_prefix(top).isin(pending)) if top else keys
         counts = {r["p"]: r["n"] for r in inside.groupBy(_prefix(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-        left: dict[int, int] = {}
-        todo = list(pending.items())
+        held = {depth: counts}                    # keys below each prefix, from the deepest level upwards
+        for d in range(depth - 1, top - 1, -1):
+            held[d] = {}
+            for p, n in held[d + 1].items():
+                held[d][p >> 1] = held[d].get(p >> 1, 0) + n
+        todo, overfull = [(p, top) for p in pending], []
         while todo:
-            prefix, d = todo.pop()
-            low, high = prefix << (depth - d), (prefix + 1) << (depth - d)
-            n = counts.get(prefix, 0) if d == depth else sum(v for k, v in counts.items() if low <= k < high)
-            if n <= capacity or d >= MAX_DEPTH:
-                leaves.append((prefix, d))
+            p, d = todo.pop()
+            if held[d].get(p, 0) <= capacity or d >= MAX_DEPTH:
+                leaves.append((p, d))
             elif d == depth:
-                left[prefix] = d                       # overfull at full depth: the directory doubles
+                overfull.append(p)                # overfull at full depth: the directory doubles
             else:
-                todo += [(2 * prefix, d + 1), (2 * prefix + 1, d + 1)]
-        pending, depth = left, min(depth + DEPTH_STEP, MAX_DEPTH)
+                todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+        top, depth, pending = depth, min(depth + DEPTH_STEP, MAX_DEPTH), overfull
     return sorted(leaves, key=lambda x: x[0] << (MAX_DEPTH - x[1]))
 
 
@@ -94,6 +95,22 @@ def _with_bucket(df: DataFrame, leaves: list[tuple[int, int]], spark: SparkSessi
     return out
 
 
+def chains(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Index entries (bucket, h, digest, keep_id, group_size), in key order, from rows (bucket, h, digest, text, doc_id).
+
+    ``hot`` holds the hashes ``h`` whose rows are combined before they travel.
+    The exchange by ranges of (bucket, h) makes the owners; the aggregation
+    after it adds none of its own and compares whole texts.
+    """
+    hot = F.broadcast(hot)
+    keys = ["bucket", "h", "digest", "text"]
+    combined = rows.join(hot, "h", "left_semi").groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    single = rows.join(hot, "h", "left_anti").select(*keys, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    return (single.unionByName(combined).repartitionByRange("bucket", "h")
+            .groupBy(*keys).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+            .drop("text").sortWithinPartitions("bucket", "h", "digest"))
+
+
 def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, hash_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -106,20 +123,17 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, hash_bits: int = 64) -
     """
     spark = docs.sparkSession
     root = scratch(spark, "exact-dedup")
-    chains = stored(
-        _entries(docs, hash_bits).groupBy("h", "digest", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("text"),
-        f"{root}/chains")
-    leaves = directory(chains, capacity)
-    entries = stored(_with_bucket(_entries(docs, hash_bits).drop("text"), leaves, spark), f"{root}/entries")
-    chain = Window.partitionBy("bucket", "h").orderBy("digest")
-    index = stored(
-        _with_bucket(chains, leaves, spark).repartitionByRange("bucket", "h")
-        .withColumn("chain", F.row_number().over(chain)), f"{root}/index")
+    entries = stored(_entries(docs, hash_bits).drop("text"), f"{root}/entries")
+    rows = entries.count()
+    counts = stored(entries.groupBy("h").agg(F.count("*").alias("n")), f"{root}/counts")
+    leaves = directory(counts.select("h"), capacity)
+    hot = counts.where(F.col("n") >= max(2, -(-rows // COMBINE_SHARE))).select("h")
+    index = stored(chains(_with_bucket(_entries(docs, hash_bits), leaves, spark), hot), f"{root}/index")
+    entries = _with_bucket(entries, leaves, spark)
     # Single texts need no lookup of their group, but are probed like the rest: the index is the only authority.
-    heavy_from = max(2, -(-entries.count() // HEAVY_SHARE))
+    heavy_from = max(2, -(-rows // HEAVY_SHARE))
     heavy = F.broadcast(index.where(F.col("group_size") >= heavy_from).select("h", "digest", "keep_id", "group_size"))
-    light = index.where(F.col("group_size") < heavy_from).drop("chain")
+    light = index.where(F.col("group_size") < heavy_from)
     hot = entries.join(heavy, ["h", "digest"])
     cold = (entries.join(heavy.select("h", "digest"), ["h", "digest"], "left_anti")
             .join(light, ["bucket", "h", "digest"]))

@@ -44,6 +44,19 @@ def test_directory_splits_until_buckets_fit(spark):
     assert all(r["bucket"] is not None and r["count"] <= 50 for r in counted) and sum(r["count"] for r in counted) == 5000
 
 
+def test_owners_hold_key_ranges_and_compare_without_a_further_exchange(spark, odd):
+    """The aggregation by text adds no exchange to the one by ranges that makes the owners."""
+    rows = [(i, "hot" if i % 3 else f"text {i % 40}") for i in range(600)]
+    keyed = X._with_bucket(X._entries(odd(rows), 64), [(0, 0)], spark)
+    hot = keyed.where("text = 'hot'").select("h").distinct()
+    entries = X.chains(keyed, hot)
+    assert sorted((r["keep_id"], r["group_size"]) for r in entries.collect()) == sorted(
+        (max(i for i, u in rows if u == t), sum(u == t for _, u in rows)) for t in {t for _, t in rows})
+    plan = entries._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    above = plan[: plan.index("rangepartitioning(bucket")]
+    assert above.count("Exchange") == 1 and "text" in above
+
+
 def test_empty_tables(odd):
     assert X.exact_dedup(odd([])).count() == 0 and N.near_dedup(odd([])).count() == 0
     assert X.drop_copies(odd([])).count() == 0 and N.drop_near_copies(odd([])).count() == 0
