@@ -4,8 +4,11 @@ A text is lower-cased and reduced to its letters, with one blank for each run
 of anything else; its n-grams of 1 to 3 characters are hashed into ``DIM``
 buckets. Training counts n-grams by language over all training rows: tasks
 count into dense arrays and send one row for each (language, bucket) they saw.
-The matrix of log probabilities - ``DIM`` numbers a language - is broadcast;
-documents are scored in batches as sparse count vectors times that matrix.
+The matrix of log probabilities - ``DIM`` numbers a language - is broadcast in
+blocks of at most ``BLOCK`` languages; documents are scored in batches, as a
+sparse matrix of counts times a block. Where there are several blocks, a pass
+over the documents for each carries the best language so far and the sum of the
+likelihoods.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from .common import batches, pick, remainder, scratch, ship, stored
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-MAX_LANGUAGES = 400              # bounds the broadcast matrix to 400 x 32768 x 8 bytes; more languages raise an error
-FLUSH = 16                       # languages a task counts at a time
+BLOCK = 400                      # languages scored in one pass: bounds a broadcast to 400 x 32768 x 8 bytes
+FLUSH = 16                       # languages a task counts at a time, and that the driver fetches at a time
+CELLS = 1 << 21                  # numbers of a scoring batch; a single text may need more, at most DIM x BLOCK
 MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 DOCS = -1                        # the bucket under which a language's documents are counted
@@ -83,47 +87,83 @@ def _count(chunks):
     yield from flush()
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages in order, log priors, log probabilities by bucket and language) from all rows outside the held-out fold."""
+def train(docs: DataFrame, block: int = BLOCK):
+    """Yields models (languages in order, log priors, log probabilities by bucket and language) of ``block`` languages each.
+
+    They count all rows outside the held-out fold; without any such row there
+    is one model of no language.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = (pick(docs, doc_id="doc_id", text="text", lang="lang").where("lang IS NOT NULL AND text IS NOT NULL")
             .where(remainder(F.col("doc_id"), MODULUS) != HELD_OUT).select("text", "lang"))
     counted = stored(rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")),
                      f"{scratch(spark, 'language')}/counts")
-    by_lang = counted.where(F.col("bucket") == DOCS)
-    found = by_lang.count()
-    if found > MAX_LANGUAGES:
-        raise ValueError(f"{found} values of lang; the model holds at most {MAX_LANGUAGES}")
-    prior = {r["lang"]: r["n"] for r in by_lang.collect()}
-    langs = sorted(prior)
-    counts = np.zeros((DIM, len(langs)))
-    for k, lang in enumerate(langs):
-        one = counted.where((F.col("bucket") != DOCS) & (F.col("lang") == lang)).select("bucket", "n").toPandas()
-        counts[one["bucket"], k] = one["n"]
-    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * DIM))
-    priors = np.log(np.array([prior[x] for x in langs], float) / max(1, sum(prior.values())))
-    return langs, priors, logs
+    prior = {r["lang"]: r["n"] for r in counted.where(F.col("bucket") == DOCS).collect()}
+    total = max(1, sum(prior.values()))
+    for at in range(0, max(1, len(prior)), block):
+        langs = sorted(prior)[at : at + block]
+        counts = np.zeros((DIM, len(langs)))
+        for first in range(0, len(langs), FLUSH):
+            some = langs[first : first + FLUSH]
+            got = counted.where((F.col("bucket") != DOCS) & F.col("lang").isin(some)).toPandas()
+            counts[got["bucket"].to_numpy(int), got["lang"].map({x: first + k for k, x in enumerate(some)}).to_numpy(int)] = got["n"].to_numpy(float)
+        logs = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * DIM))
+        yield langs, np.log(np.array([prior[x] for x in langs], float) / total), logs
+
+
+def log_likelihoods(texts, priors: np.ndarray, logs: np.ndarray):
+    """Yields (places, log likelihoods by text and language) of the texts that have a letter.
+
+    The texts' counts are the rows of a sparse matrix, multiplied by ``logs`` a
+    batch of rows at a time.
+    """
+    places, buckets, counts, cells = [], [], [], 0
+
+    def product():
+        hit = np.concatenate(buckets)
+        starts = np.cumsum([0] + [len(x) for x in buckets[:-1]])
+        return places[:], priors + np.add.reduceat(np.concatenate(counts)[:, None] * logs[hit], starts, axis=0)
+
+    for place, text in enumerate(texts):
+        got = ngram_counts(text) if text else None
+        if got is None:
+            continue
+        hit = np.flatnonzero(got)
+        if places and cells + len(hit) * len(priors) > CELLS:
+            yield product()
+            places, buckets, counts, cells = [], [], [], 0
+        places.append(place)
+        buckets.append(hit)
+        counts.append(got[hit].astype(float))
+        cells += len(hit) * len(priors)
+    if places:
+        yield product()
 
 
 def _scorer(shared):
+    """Brings (lang_pred, top, total) up to a further block: the best language, its log likelihood, the sum of all relative to it."""
     def run(chunks):
         langs, priors, logs = shared.value
         for b in batches(chunks):
-            pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            for i, text in enumerate(b.column("text").to_pylist()):
-                counts = ngram_counts(text) if text and langs else None
-                if counts is None:
-                    continue
-                hit = np.flatnonzero(counts)
-                logp = priors + counts[hit] @ logs[hit]
-                best = int(np.argmax(logp))                 # of equal ones the first by name
-                pred[i], score[i] = langs[best], 1.0 / np.exp(logp - logp[best]).sum()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            pred = np.array(b.column("lang_pred").to_pylist(), object)
+            top, total = b.column("top").to_numpy().copy(), b.column("total").to_numpy().copy()
+            for places, logp in log_likelihoods(b.column("text").to_pylist(), priors, logs) if langs else ():
+                at = np.array(places)
+                best = logp.argmax(axis=1)                          # of equal ones the first by name
+                here = logp[np.arange(len(at)), best]
+                peak = np.maximum(top[at], here)
+                total[at] = total[at] * np.exp(top[at] - peak) + np.exp(logp - peak[:, None]).sum(axis=1)
+                better = here > top[at]
+                pred[at[better]] = np.array(langs, object)[best[better]]
+                top[at] = peak
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), b.column("text"), pa.array(pred, pa.string()), pa.array(top), pa.array(total)],
+                names=["doc_id", "held_out", "text", "lang_pred", "top", "total"])
     return run
 
 
-def language(docs: DataFrame) -> DataFrame:
+def language(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (the posterior probability of the predicted language).
 
     Defined results: ``und`` with score 0 for a null text, a text without a
@@ -132,8 +172,17 @@ def language(docs: DataFrame) -> DataFrame:
     rows are judged alike; an empty table gives no rows. A prediction reads
     the text alone.
     """
-    model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    root = scratch(spark, "language")
     rows = pick(docs, doc_id="doc_id", text="text").select(
-        "doc_id", F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_scorer(shared), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "text",
+        F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("total"))
+    before = None
+    for k, model in enumerate(train(docs, block)):
+        if before is not None:      # a block's broadcast can go before the next one's comes
+            rows = stored(rows, f"{root}/block-{k}")
+            before.unpersist()
+        before = spark.sparkContext.broadcast(model)
+        rows = rows.mapInArrow(_scorer(before), rows.schema)
+    score = F.when(F.col("total") > 0, 1.0 / F.col("total")).otherwise(0.0)
+    return rows.select("doc_id", "held_out", "lang_pred", score.alias("score"))
