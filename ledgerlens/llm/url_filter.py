@@ -34,7 +34,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-MAX_RULES = 1000
+INLINE_RULES = 1000         # up to so many rules are an expression; more are a table to join with
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -50,8 +50,6 @@ def _path(url):
 
 def _rule_columns(rules):
     """(rule, verdict) of the longest rule that fits; null where none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, host, path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
@@ -59,8 +57,34 @@ def _rule_columns(rules):
     return name, verdict
 
 
-def judged(pages: DataFrame, rules) -> DataFrame:
+def _joined_rules(base: DataFrame, rules) -> DataFrame:
+    """``base`` with (rule, verdict) of the longest rule that fits, by equality of host suffix and path prefix.
+
+    Places are reduced to distinct (host, path) first; each gives a row for every
+    suffix of its host that has rules, and prefix of its path of a length that
+    these rules have: never more than its own length allows.
+    """
+    spark = base.sparkSession
+    table = spark.createDataFrame([(n, *r) for n, r in enumerate(rules)], "n long, kind string, r_host string, r_path string")
+    # as in the expression, of equally long rules the later one wins
+    table = table.groupBy("r_host", "r_path").agg(F.max(F.struct("n", "kind")).alias("last")).select("r_host", "r_path", "last.n", "last.kind")
+    lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    places = base.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = (places.select("host", "path", F.explode(suffixes).alias("r_host")).join(lengths, "r_host")
+             .select("host", "path", "r_host", F.explode(prefixes).alias("r_path")))
+    longest = F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("size"), "n", "kind", F.concat("r_host", "r_path").alias("rule")))
+    won = tried.join(table, ["r_host", "r_path"]).groupBy("host", "path").agg(longest.alias("won"))
+    won = won.select("host", "path", F.col("won.rule").alias("rule"), F.col("won.kind").alias("verdict"))
+    return base.join(won, ["host", "path"], "left").select(*base.columns, "rule", "verdict")
+
+
+def judged(pages: DataFrame, rules, inline: int = INLINE_RULES) -> DataFrame:
     base = pick(pages, page_id="page_id", url="url", html="html").withColumns({"host": _host(F.col("url")), "path": _path(F.col("url"))})
+    if len(rules) > inline:
+        return _joined_rules(base, rules)
     rule, verdict = _rule_columns(rules)
     return base.withColumns({"rule": rule, "verdict": verdict})
 

@@ -104,3 +104,45 @@ def test_tolerance_is_a_share_of_the_seeds_mass(spark, tmp_path):
     links = spark.range(n).selectExpr("concat('h', id) AS src", f"concat('h', (id * 7 + 1) % {n}) AS dst", "1.0 AS w")
     scores = url_filter.propagate(hosts, links, str(tmp_path / "p"), 0.5, 60, 1e-6)
     assert scores.count() == n and scores.agg({"trust": "sum"}).first()[0] == pytest.approx(n * 1e6, rel=1e-4)
+
+
+@pytest.mark.parametrize("block", [1, 2])
+def test_languages_in_blocks_score_as_in_one(odd, block):
+    rows = [(10 * k + i, f"{w} {w[::-1]} {i}", f"l{k}") for k, w in enumerate(WORDS[:5]) for i in range(8)] + [(900, "alpha", None), (901, None, "l1"), (902, "12", "l2")]
+    rows += [(2000 + i, "same", f"t{i % 3}") for i in range(30)]                  # ties go to the first by name
+    one = {r["doc_id"]: r for r in language.language(odd(rows)).collect()}
+    got = language.language(odd(rows), block).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang_pred"] == one[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=1e-9)
+    assert one[901]["lang_pred"] == "und" == one[902]["lang_pred"] and language.language(odd([]), block).count() == 0
+
+
+def test_scoring_batches_do_not_change_likelihoods(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts, priors, logs = [" ".join(WORDS[:k]) for k in range(12)] + [None], rng.random(3), rng.random((language.DIM, 3))
+
+    def scored():
+        return {p: row for places, logp in language.log_likelihoods(texts, priors, logs) for p, row in zip(places, logp)}
+
+    whole = scored()
+    monkeypatch.setattr(language, "CELLS", 50)
+    parts = scored()
+    assert sorted(whole) == sorted(parts) == list(range(1, 12))
+    for p, row in parts.items():
+        assert row == pytest.approx(whole[p]) and row == pytest.approx(priors + language.ngram_counts(texts[p]) @ logs)
+
+
+def test_many_rules_are_joined_and_judge_as_the_expression(spark):
+    rng = np.random.default_rng(4)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "org", ""]
+    paths = ["/", "/en/", "/en/x", "/es/", ""]
+    rules = [(("allow", "block")[rng.integers(2)], hosts[rng.integers(6)], paths[rng.integers(5)]) for _ in range(18)]
+    rows = [(i, f"http://{('www.', '')[i % 2]}{hosts[rng.integers(7)]}{paths[rng.integers(5)]}{('', 'p', '?q')[i % 3]}", None) for i in range(150)]
+    rows += [(900, None, None), (901, "no host", None), (902, "http://", None), (902, "http://", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pick = lambda df: sorted(map(tuple, df.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
+    joined = pick(url_filter.judged(frame, rules, inline=0))
+    assert joined == pick(url_filter.judged(frame, rules)) and len(joined) == len(rows)
+    many = rules + [("block", f"h{i}.example", "/") for i in range(url_filter.INLINE_RULES)]
+    assert pick(url_filter.url_filter(frame, many)) == pick(url_filter.url_filter(frame, rules))
