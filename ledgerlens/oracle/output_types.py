@@ -178,6 +178,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
  'exemption_counts': {'bools': (), 'ints': ('college_id', 'rpl_low', 'rpl_high')},
  'expected_share_revenue': {'bools': (), 'ints': ('college_id', 'est_from_min_rev')},
  'featured_course_counts': {'bools': (), 'ints': ('college_id', 'featured_enrolments')},
+ 'fees_from_json': {'bools': (), 'ints': ()},
  'funnel_extras': {'bools': (),
                    'ints': ('wlh_count',
                             'age_0_6m',
@@ -369,6 +370,29 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
  'snapshot_read': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
  'snapshot_refresh': {'bools': (), 'ints': ('rows',)},
  'squad_lead_funnel': {'bools': (), 'ints': ('st_till', 'st_new', 'st_converted', 'enrolled')},
+ 'squad_members_report': {'bools': (),
+                          'ints': ('college_id',
+                                   'new_enrol',
+                                   'pauses',
+                                   'archives',
+                                   'new_enrol_m1',
+                                   'pauses_m1',
+                                   'archives_m1',
+                                   'new_enrol_m1_mtd',
+                                   'new_enrol_y1',
+                                   'new_enrol_y1_mtd',
+                                   'active_base',
+                                   'st_converted_this_month',
+                                   'pba_count',
+                                   'archived_30d',
+                                   'st_till_last_month',
+                                   'st_new_this_month',
+                                   'rpl_low',
+                                   'rpl_high',
+                                   'featured_enrolments',
+                                   'est_from_min_rev',
+                                   'net_additions',
+                                   'net_revsh')},
  'squad_report': {'bools': (),
                   'ints': ('college_id',
                            'new_enrol',
@@ -476,6 +500,29 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                           'est_from_min_rev',
                                           'net_additions',
                                           'net_revsh')},
+ 'tenant_page': {'bools': (),
+                 'ints': ('college_id',
+                          'new_enrol',
+                          'pauses',
+                          'archives',
+                          'new_enrol_m1',
+                          'pauses_m1',
+                          'archives_m1',
+                          'new_enrol_m1_mtd',
+                          'new_enrol_y1',
+                          'new_enrol_y1_mtd',
+                          'active_base',
+                          'st_converted_this_month',
+                          'pba_count',
+                          'archived_30d',
+                          'st_till_last_month',
+                          'st_new_this_month',
+                          'rpl_low',
+                          'rpl_high',
+                          'featured_enrolments',
+                          'est_from_min_rev',
+                          'net_additions',
+                          'net_revsh')},
  'tenant_trend': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
  'tenant_trend_net': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives', 'net')},
  'total_revenue': {'bools': (), 'ints': ('college_id',)},

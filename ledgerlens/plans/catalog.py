@@ -121,6 +121,15 @@ TMR_DOUBLES = ("seat_fee_min", "seat_fee_max", "seat_overage_fee", "airlock_fee"
                "completion_rate", "avg_full_month")
 MONEY = ("seat_rev", "share_rev", "lead_rev", "rpl_pba_rev", "course_rev", "expected_rev", "total_rev")
 PCTS = ("delta_m1_pct", "delta_y1_pct")
+PAGE_TENANT = "NATION_6"      # the tenant whose page ``tenant_page`` shows
+
+
+def _price_maps(wh):
+    """One JSON map a part, of prices as texts of which some are no number: what a hand-kept fee file looks like."""
+    part = wh.base("part")
+    raw = (F.when(F.col("p_partkey") % 4 == 0, F.lit("n/a")).when(F.col("p_partkey") % 4 == 1, F.lit("NaN"))
+           .otherwise(F.col("p_retailprice").cast("string")))
+    return part.select(F.to_json(F.create_map(F.col("p_partkey").cast("string"), raw)).alias("doc"))
 
 
 def _base(wh, p=PAST):
@@ -193,6 +202,12 @@ ENTRIES.update({
     "squad_report": Entry(lambda wh: ov.squad_report(wh, PAST),
                           sql_final="SELECT sq.squad, r.* FROM q_tenant_month_report r JOIN squads sq ON sq.name = r.name",
                           sql_deps=("q_tenant_month_report", "squads"), doubles=TMR_DOUBLES, dates=("phase_start",)),
+    "squad_members_report": Entry(lambda wh: ov.restrict(tenant_month_report(wh, PAST), dims.squads(wh).select("name")),
+                                  sql_final="SELECT * FROM q_tenant_month_report WHERE name IN (SELECT name FROM squads)",
+                                  sql_deps=("q_tenant_month_report", "squads"), doubles=TMR_DOUBLES, dates=("phase_start",)),
+    "tenant_page": Entry(lambda wh: ov.tenant_detail(tenant_month_report(wh, PAST), PAGE_TENANT),
+                         sql_final=f"SELECT * FROM q_tenant_month_report WHERE name = '{PAGE_TENANT}'",
+                         sql_deps=("q_tenant_month_report",), doubles=TMR_DOUBLES, dates=("phase_start",)),
     "lead_funnel": Entry(lambda wh: ov.lead_funnel(tenant_month_report(wh, PAST)),
                          sql_final="""SELECT *,
   CASE WHEN st_new > 0 THEN round_even(CAST(st_converted AS DOUBLE) / st_new * 100, 1) END AS conversion_pct,
@@ -301,6 +316,9 @@ FROM q_tenant_month_report""", sql_deps=("q_tenant_month_report",), doubles=("co
     "dim_projections": Entry(lambda wh: dims.projections(wh), sql_final="SELECT * FROM projections",
                              sql_deps=("projections",)),
     "dim_fees": Entry(lambda wh: dims.fees(wh), sql_final="SELECT * FROM fees", sql_deps=("fees",)),
+    "fees_from_json": Entry(lambda wh: dims.fees_from_map(_price_maps(wh)),
+                            sql_final="SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_retailprice AS DOUBLE) AS fee FROM part "
+                                      "WHERE p_partkey % 4 IN (2, 3) AND p_retailprice IS NOT NULL", doubles=("fee",)),
     "dim_squads": Entry(lambda wh: dims.squads(wh), sql_final="SELECT * FROM squads", sql_deps=("squads",)),
     "dim_short_names": Entry(lambda wh: dims.with_label(
         enr.verified_tenants(wh).select(F.col("id").alias("college_id"), "name"), dims.short_names(wh)),

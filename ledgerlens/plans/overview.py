@@ -153,11 +153,14 @@ def squad_lead_funnel(wh: Warehouse, p: Period) -> DataFrame:
 
 
 def tenant_detail(report: DataFrame, name: str) -> DataFrame:
-    """the report row of one tenant by name; a missing tenant is an error, not an empty page."""
-    row = report.where(F.col("name") == F.lit(name))
-    if row.limit(1).count() == 0:
-        raise LookupError(f"tenant {name!r} is not in the report")
-    return row
+    """the report row of one tenant by name; a missing tenant is an error when the page is read, not an empty page.
+
+    Building the page runs nothing: the picked rows, a handful at most, pass
+    through one global aggregate that raises where it finds none.
+    """
+    rows = report.where(F.col("name") == F.lit(name)).agg(F.collect_list(F.struct("*")).alias("rows"))
+    missing = F.raise_error(F.lit(f"tenant {name!r} is not in the report"))
+    return rows.select(F.inline(F.when(F.size("rows") == 0, missing).otherwise(F.col("rows"))))
 
 
 # ---- R06-R11 as standalone per-tenant tables -------------------------------

@@ -113,8 +113,15 @@ def test_restrict_and_tenant_detail(wh_mid):
     assert 0 < sub.count() < rep.count()
     name = sub.first().name
     assert ov.tenant_detail(rep, name).count() == 1
-    with pytest.raises(LookupError):
-        ov.tenant_detail(rep, "NO SUCH TENANT")
+    tracker, group = rep.sparkSession.sparkContext.statusTracker(), "tenant-page"
+    rep.sparkSession.sparkContext.setJobGroup(group, "building a page starts no job")
+    page, absent = ov.tenant_detail(rep, name), ov.tenant_detail(rep, "NO SUCH TENANT")
+    assert page.schema.names == rep.schema.names and not tracker.getJobIdsForGroup(group)
+    rep.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert page.collect() == rep.where(F.col("name") == name).collect()
+    for read in (absent.collect, absent.count, absent.select("new_enrol").collect):
+        with pytest.raises(Exception, match="NO SUCH TENANT"):
+            read()
 
 
 def test_squad_funnels_add_up(wh_mid):
