@@ -8,6 +8,11 @@ map-side, so what is shuffled is at most (tenants x days) rows however hot
 one tenant is. A report that needs several of these metrics builds the
 rollup once over the union of their ranges and passes it in, so the fact
 table is scanned once.
+
+M03, M14a, M14, M17 and the report's pass also take ``rollup``, an object whose
+``months(lo, hi)`` gives counts by tenant, month and day of the month
+(``streaming.rollup.ActivityRollup``): closed months are then read from stored
+rows, and only the open month's events are scanned.
 """
 
 from __future__ import annotations
@@ -68,8 +73,14 @@ def activity_counts_month(wh: Warehouse, p: Period, daily: DataFrame | None = No
     )
 
 
-def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = None) -> DataFrame:
+def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = None, rollup=None) -> DataFrame:
     """Full and capped M-1 / Y-1 counts from one bounded scan [y1_first, m1_last]."""
+    if rollup is not None:
+        monthly = activity_monthly(wh, p.y1_first, p.m1_last, p.today_day, rollup)
+        return monthly.groupBy("college_id").agg(
+            *[_in_month(p.m1_first, c).alias(n) for c, n in (("n_enrol", "new_enrol_m1"), ("n_pause", "pauses_m1"), ("n_archive", "archives_m1"),
+                                                             ("n_enrol_mtd", "new_enrol_m1_mtd"))],
+            _in_month(p.y1_first, "n_enrol").alias("new_enrol_y1"), _in_month(p.y1_first, "n_enrol_mtd").alias("new_enrol_y1_mtd"))
     if daily is None:        # alone: one aggregation by tenant, each event its own day
         a = wh.slice("activities", p.y1_first, p.m1_last).where(F.col("kind").isin(*KINDS))
         daily = a.select("college_id", day("created").alias("d"), *[
@@ -89,12 +100,19 @@ def activity_counts_prior(wh: Warehouse, p: Period, daily: DataFrame | None = No
     )
 
 
-def activity_monthly(wh: Warehouse, lo: date, hi: date, through_day: int) -> DataFrame:
-    """(college_id, mo, n_enrol, n_enrol_mtd, n_pause, n_archive) for days in [lo, hi].
+def _in_month(month: date, col: str):
+    return _sum_if(F.col("mo") == lit_date(month), col)
+
+
+def activity_monthly(wh: Warehouse, lo: date, hi: date | None, through_day: int, rollup=None) -> DataFrame:
+    """(college_id, mo, n_enrol, n_enrol_mtd, n_pause, n_archive) for days in [lo, hi] (``hi`` None: open).
 
     ``n_enrol_mtd`` counts enrolments on or before day ``through_day`` of the
     month: the capped month-to-date count of M03 and the MTD count of M14.
+    From a ``rollup`` the counts are sums over its rows' own days: no exchange.
     """
+    if rollup is not None:
+        return _monthly_of(rollup.months(lo, hi), lo, hi, through_day)
     a = wh.slice("activities", lo, hi)
     d = day("created")
     enrol = F.col("kind") == ENROL
@@ -110,7 +128,23 @@ def activity_monthly(wh: Warehouse, lo: date, hi: date, through_day: int) -> Dat
     )
 
 
-def month_report_activity(wh: Warehouse, p: Period) -> DataFrame:
+def _monthly_of(rolled: DataFrame, lo: date, hi: date | None, through_day: int) -> DataFrame:
+    """``activity_monthly`` of rollup rows (college_id, mo, days)."""
+    def inside(x):
+        d = F.date_add("mo", x["dom"] - 1)
+        return (d >= lit_date(lo)) if hi is None else d.between(lit_date(lo), lit_date(hi))
+
+    def total(col: str, upto=None):
+        kept = F.filter("days", lambda x: inside(x) if upto is None else inside(x) & (x["dom"] <= F.lit(upto)))
+        return F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + x[col])
+
+    counts = rolled.select("college_id", "mo", total("n_enrol").alias("n_enrol"), total("n_enrol", through_day).alias("n_enrol_mtd"),
+                           total("n_pause").alias("n_pause"), total("n_archive").alias("n_archive"))
+    # a month with events of other kinds only, or outside the days, is no row
+    return counts.where(F.col("n_enrol") + F.col("n_pause") + F.col("n_archive") > 0)
+
+
+def month_report_activity(wh: Warehouse, p: Period, rollup=None) -> DataFrame:
     """M02, M03 and M14 columns per tenant from a single bounded scan of ``activities``.
 
     The monthly rollup is aggregated once more per tenant. The 18-month
@@ -119,12 +153,8 @@ def month_report_activity(wh: Warehouse, p: Period) -> DataFrame:
     and the top-4 / same-month-last-year / preceding-months averages are
     array expressions, so no window and no second scan is needed.
     """
-    monthly = activity_monthly(wh, p.history_first, p.last, p.today_day)
-    mo = F.col("mo")
-
-    def at(month: date, col: str):
-        return F.coalesce(F.sum(F.when(mo == lit_date(month), F.col(col))), F.lit(0)).cast("bigint")
-
+    monthly = activity_monthly(wh, p.history_first, p.last, p.today_day, rollup)
+    mo, at = F.col("mo"), _in_month
     in_hist = (mo >= lit_date(p.history_first)) & (mo < lit_date(p.first)) & (F.col("n_enrol") > 0)
     entry = F.struct(mo.alias("mo"), F.col("n_enrol_mtd").alias("mtd"), F.col("n_enrol").alias("total"))
     agg = monthly.groupBy("college_id").agg(
@@ -172,12 +202,16 @@ def completion_from_history(df: DataFrame, p: Period) -> DataFrame:
 # ---- M14: seasonality-aware completion rate ------------------------------
 
 def monthly_mtd_history(wh: Warehouse, p: Period, through_day: int | None = None,
-                        daily: DataFrame | None = None) -> DataFrame:
-    """(college_id, mo, mtd_count, total_month) over the 18 months before the month."""
+                        daily: DataFrame | None = None, rollup=None) -> DataFrame:
+    """(college_id, mo, mtd_count, total_month) over the 18 months before the month.
+
+    One exchange, by (tenant, month); none from a ``rollup`` of closed months.
+    """
     through_day = p.today_day if through_day is None else through_day
     lo, hi = p.history_first, date.fromordinal(p.first.toordinal() - 1)
     if daily is None:
-        daily = activity_daily(wh, lo, hi)
+        monthly = activity_monthly(wh, lo, hi, through_day, rollup)
+        return monthly.where(F.col("n_enrol") > 0).select("college_id", "mo", F.col("n_enrol_mtd").alias("mtd_count"), F.col("n_enrol").alias("total_month"))
     # Window membership is a condition inside the sums (not a row filter) so
     # a shared rollup stays one subtree; empty months drop out afterwards.
     window = _between(lo, hi)
@@ -219,7 +253,7 @@ def seasonal_factor(rates: DataFrame, p: Period) -> DataFrame:
     )
 
 
-def completion_rates(wh: Warehouse, p: Period, through_day: int | None = None) -> DataFrame:
+def completion_rates(wh: Warehouse, p: Period, through_day: int | None = None, rollup=None) -> DataFrame:
     """completion_rate = momentum x y1_rate / y1_prev_rate (else momentum); avg_full_month.
 
     One bounded scan: the 18-month monthly rollup is folded into a per-tenant
@@ -228,7 +262,7 @@ def completion_rates(wh: Warehouse, p: Period, through_day: int | None = None) -
     """
     through_day = p.today_day if through_day is None else through_day
     hi = date.fromordinal(p.first.toordinal() - 1)
-    monthly = activity_monthly(wh, p.history_first, hi, through_day).where(F.col("n_enrol") > 0)
+    monthly = activity_monthly(wh, p.history_first, hi, through_day, rollup).where(F.col("n_enrol") > 0)
     entry = F.struct(F.col("mo").alias("mo"), F.col("n_enrol_mtd").alias("mtd"), F.col("n_enrol").alias("total"))
     hist = monthly.groupBy("college_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias("hist"))
     return completion_from_history(hist, p).select("college_id", "completion_rate", "avg_full_month")
@@ -250,20 +284,15 @@ def completion_rates_windowed(wh: Warehouse, p: Period, through_day: int | None
 
 # ---- M17: per-tenant monthly trend ---------------------------------------
 
-def tenant_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None) -> DataFrame:
+def tenant_trend(wh: Warehouse, p: Period, months: int = 14, college_id=None, rollup=None) -> DataFrame:
     """(college_id, month, new_enrol, pauses, archives) since as_of - months.
 
     Built for every tenant at once; pass ``college_id`` for the one-tenant view.
     """
-    daily = activity_daily(wh, p.trend_first(months), None)
+    monthly = activity_monthly(wh, p.trend_first(months), None, 31, rollup)
     if college_id is not None:
-        daily = daily.where(F.col("college_id") == F.lit(college_id))
-    return (
-        daily.groupBy("college_id", F.date_format("d", "yyyy-MM").alias("month"))
-        .agg(
-            F.sum("n_enrol").cast("bigint").alias("new_enrol"),
-            F.sum("n_pause").cast("bigint").alias("pauses"),
-            F.sum("n_archive").cast("bigint").alias("archives"),
-        )
-        .orderBy("college_id", "month")
-    )
+        monthly = monthly.where(F.col("college_id") == F.lit(college_id))
+    return monthly.select(
+        "college_id", F.date_format("mo", "yyyy-MM").alias("month"),
+        F.col("n_enrol").alias("new_enrol"), F.col("n_pause").alias("pauses"), F.col("n_archive").alias("archives"),
+    ).orderBy("college_id", "month")

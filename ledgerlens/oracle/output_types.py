@@ -19,12 +19,21 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                                             'new_enrol_m1_mtd',
                                             'new_enrol_y1',
                                             'new_enrol_y1_mtd')},
+ 'activity_counts_prior_rollup': {'bools': (),
+                                  'ints': ('college_id',
+                                           'new_enrol_m1',
+                                           'pauses_m1',
+                                           'archives_m1',
+                                           'new_enrol_m1_mtd',
+                                           'new_enrol_y1',
+                                           'new_enrol_y1_mtd')},
  'additional_items': {'bools': (), 'ints': ('college_id',)},
  'admission_mix': {'bools': (), 'ints': ('pba', 'rpl', 'standard')},
  'avg_share_per_degree_3m': {'bools': (), 'ints': ('college_id', 'degree_id')},
  'avg_share_per_tenant': {'bools': (), 'ints': ('college_id',)},
  'completion_rates': {'bools': (), 'ints': ('college_id',)},
  'completion_rates_current': {'bools': (), 'ints': ('college_id',)},
+ 'completion_rates_rollup': {'bools': (), 'ints': ('college_id',)},
  'conversion_admission_counts': {'bools': (), 'ints': ('college_id', 'st_converted_this_month', 'pba_count')},
  'conversion_age_bands': {'bools': (), 'ints': ('cnt',)},
  'degree_fee_pivot': {'bools': (), 'ints': ('college_id', 'degree_id')},
@@ -206,6 +215,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
  'momentum_last4': {'bools': (), 'ints': ('college_id',)},
  'monthly_invoice_purchases': {'bools': (), 'ints': ('college_id',)},
  'monthly_mtd_history': {'bools': (), 'ints': ('college_id', 'mtd_count', 'total_month')},
+ 'monthly_mtd_history_rollup': {'bools': (), 'ints': ('college_id', 'mtd_count', 'total_month')},
  'mtd_rates': {'bools': (), 'ints': ('college_id', 'total_month')},
  'new_enrolment_tuition': {'bools': (), 'ints': ('degree_student_id', 'college_id', 'degree_id')},
  'opportunity_flags': {'bools': (), 'ints': ('college_id',)},
@@ -525,6 +535,7 @@ OUTPUT_TYPES = {'active_base_asof': {'bools': (), 'ints': ('college_id', 'active
                           'net_revsh')},
  'tenant_trend': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
  'tenant_trend_net': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives', 'net')},
+ 'tenant_trend_rollup': {'bools': (), 'ints': ('college_id', 'new_enrol', 'pauses', 'archives')},
  'total_revenue': {'bools': (), 'ints': ('college_id',)},
  'verified_tenants': {'bools': (), 'ints': ('id',)},
  'workload_total': {'bools': (), 'ints': ('wlh_count',)}}

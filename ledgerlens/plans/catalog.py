@@ -412,6 +412,24 @@ _REFRESH_COUNTS = {m.key(PAST): f"q_{m.name}" for m in snap.stored_metrics()} |
 _REFRESH_SQL = "\nUNION ALL ".join(f"SELECT '{k}' AS key, 'ok' AS status, (SELECT COUNT(*) FROM {t}) AS rows" for k, t in sorted(_REFRESH_COUNTS.items()))
 
 
+def _rollup(wh, p):
+    """Closed months in a store that later runs on the same tables find again."""
+    from ..streaming.rollup import ActivityRollup
+
+    store = snap.SnapshotStore(wh.spark, f"{snap.default_root(wh.spark)}/rollup-{wh.tag}")
+    return ActivityRollup.for_period(store, wh, p, datetime(p.as_of.year, p.as_of.month, p.as_of.day, 12))
+
+
+# The metrics over many months, from the incremental rollup: the results of their plain forms.
+ENTRIES.update({
+    "monthly_mtd_history_rollup": Entry(lambda wh: act.monthly_mtd_history(wh, PAST, rollup=_rollup(wh, PAST)), **_q("monthly_mtd_history", dates=("mo",))),
+    "completion_rates_rollup": Entry(lambda wh: act.completion_rates(wh, CURRENT, rollup=_rollup(wh, CURRENT)),
+                                     **_q("completion_rates", doubles=("completion_rate", "avg_full_month"), period="current")),
+    "activity_counts_prior_rollup": Entry(lambda wh: act.activity_counts_prior(wh, CURRENT, rollup=_rollup(wh, CURRENT)),
+                                          **_q("activity_counts_prior", period="current")),
+    "tenant_trend_rollup": Entry(lambda wh: act.tenant_trend(wh, CURRENT, rollup=_rollup(wh, CURRENT)), **_q("tenant_trend", period="current")),
+})
+
 ENTRIES.update({
     "snapshot_read": Entry(_snapshot_read, **_q("activity_counts_month")),
     "snapshot_refresh": Entry(_snapshot_refresh, sql_final=_REFRESH_SQL, sql_deps=tuple(sorted(set(_REFRESH_COUNTS.values())))),

@@ -159,12 +159,13 @@ class Warehouse:
             self._bound[name] = self._loader(name)
         return self._bound[name]
 
-    def _raw(self, name: str) -> DataFrame:
+    def raw(self, name: str) -> DataFrame:
+        """Operational table with its layout columns, where it has any (``month_column``)."""
         return self._bound[name] if name in self._bound else getattr(self, name)
 
     def table(self, name: str) -> DataFrame:
         """Operational table by name (bound directly or derived), data columns only."""
-        df = self._raw(name)
+        df = self.raw(name)
         if name in PARTITIONED and month_column(name) in df.columns:
             df = df.drop(month_column(name))
         return df
@@ -176,7 +177,7 @@ class Warehouse:
         into parquet) and, when the table is month-partitioned, as a range on
         the month partition column as well (partition pruning).
         """
-        df = self._raw(name)
+        df = self.raw(name)
         ts = PARTITIONED[name]
         pcol = month_column(name)
         partitioned = pcol in df.columns

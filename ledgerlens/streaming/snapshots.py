@@ -306,9 +306,16 @@ def failures(report: DataFrame) -> list[str]:
 
 def month_tasks(wh, p, now_is_current: bool | None = None, store: SnapshotStore | None = None,
                 now: datetime | None = None) -> dict[str, Task]:
-    """The refresh registry of one month (keys carry the period, TTLs follow the source rules)."""
+    """The refresh registry of one month (keys carry the period, TTLs follow the source rules).
+
+    With a store, the metrics over many months read closed months from the
+    store's rollup, which the run brings up to date first.
+    """
+    from .rollup import ActivityRollup
+
     current = p.is_current if now_is_current is None else now_is_current
-    tasks = {m.key(p): Task(m.ttl_hours(current), lambda m=m: m.compute(wh, p)) for m in stored_metrics()}
+    rollup = ActivityRollup.for_period(store, wh, p, now) if store is not None and now is not None else None
+    tasks = {m.key(p): Task(m.ttl_hours(current), lambda m=m: m.compute(wh, p, rollup=rollup) if m.many_months else m.compute(wh, p)) for m in stored_metrics()}
     daily = TTL_LIVE if current else TTL_DAILY
     tasks[month_report_key(p)] = Task(daily, lambda: _month_report(wh, p, store, now), after=tuple(tasks))
     tasks[overview_key(p)] = Task(daily, lambda: _overview(wh, p, store, now), after=(month_report_key(p),))
@@ -324,6 +331,7 @@ class Metric:
     ttl: float
     scope: str = "month"
     live: bool = False          # a current month keeps for an hour only
+    many_months: bool = False   # takes the rollup of closed months
 
     def key(self, p) -> str:
         month = f"_{p.first.year}_{p.first.month:02d}"
@@ -344,7 +352,7 @@ def stored_metrics() -> list[Metric]:
 
     return [
         Metric("activity_counts_month", act.activity_counts_month, TTL_LIVE),
-        Metric("completion_rates", act.completion_rates, TTL_DAILY, "day"),
+        Metric("completion_rates", act.completion_rates, TTL_DAILY, "day", many_months=True),
         Metric("conversion_admission_counts", enr.conversion_admission_counts, TTL_DAILY),
         Metric("exemption_counts", enr.exemption_counts, TTL_DAILY),
         Metric("expected_share_revenue", rsh.expected_share_revenue, TTL_DAILY),
@@ -356,7 +364,7 @@ def stored_metrics() -> list[Metric]:
         Metric("pricing_config", lambda wh, p: prc.pricing_config(wh), TTL_WEEKLY, ""),
         Metric("verified_tenants", lambda wh, p: enr.verified_tenants(wh), TTL_WEEKLY, ""),
         Metric("active_base", enr.active_base, TTL_FROZEN, "month", live=True),
-        Metric("activity_counts_prior", act.activity_counts_prior, TTL_FROZEN, "day"),
+        Metric("activity_counts_prior", act.activity_counts_prior, TTL_FROZEN, "day", many_months=True),
         Metric("lead_workload", lds.lead_workload, TTL_FROZEN),
     ]
 
