@@ -112,6 +112,21 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+# The source's exact money type, and operand widths whose product Spark and SQL keep whole (38 digits, 18 of them decimals).
+MONEY = "decimal(38,9)"
+RATE_OPERAND, MONEY_OPERAND = "decimal(14,9)", "decimal(23,9)"
+
+
+def money(c: Column | str) -> Column:
+    """exact amount with nine decimals. Not-a-number and infinite amounts are an error, as no exact amount is either."""
+    return _c(c).cast(MONEY)
+
+
+def money_times(rate: Column, amount: Column) -> Column:
+    """``rate x amount`` exactly, rounded once to nine decimals (rates under 10^5, amounts under 10^14)."""
+    return (rate.cast(RATE_OPERAND) * amount.cast(MONEY_OPERAND)).cast(MONEY)
+
+
 def count_if(cond: Column) -> Column:
     """COUNTIF - zero, never NULL, on an empty group."""
     return F.count_if(cond)

@@ -9,6 +9,12 @@ rows: a tenant's floors travel as one small row, copied to every salt, and the
 purchases are dealt by (tenant, salt), so a tenant with most of the rows is
 spread over ``SALTS`` tasks. One pass reduces them to mergeable sums and counts
 for each (tenant, degree) before anything else is joined.
+
+Money is exact from the tuition on: tuition, the contract formula, each
+enrolment's amount, their sum and its rounding are ``decimal(38,9)``; so cents
+neither get lost nor decide on which side of a half a sum falls. Averages of
+recorded shares have the type of the bound ``rev_share`` and enter the sum with
+nine decimals.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if, distinct_from, midnight, sqlround, strict_greatest
+from ..functions.exprs import count_if, distinct_from, midnight, money, money_times, sqlround, strict_greatest
 from ..functions.periods import Period
 from ..sources.warehouse import PARTITIONED, Warehouse
 from .pricing import degree_fee_pivot
@@ -78,7 +84,7 @@ def tenant_shares(sums: DataFrame) -> DataFrame:
 
 
 def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
-    """M09e: enrolments of the month with their USD tuition (override, else USD list price)."""
+    """M09e: enrolments of the month with their USD tuition (override, else USD list price), exact."""
     ds = wh.slice("degree_students", p.first, p.last).select(
         F.col("id").alias("degree_student_id"), "college_id", "degree_id")
     d = wh.table("degrees").select(F.col("id").alias("degree_id"), "currency", "tuition_cost")
@@ -95,8 +101,7 @@ def new_enrolment_tuition(wh: Warehouse, p: Period) -> DataFrame:
         .join(ipo, "degree_student_id", "left")
         .select(
             "degree_student_id", "college_id", "degree_id",
-            F.coalesce(F.col("tuition_due"),
-                       F.when(F.col("currency") == "USD", F.col("tuition_cost").cast("double"))).alias("tuition_usd"),
+            F.coalesce(money("tuition_due"), F.when(F.col("currency") == "USD", money("tuition_cost"))).alias("tuition_usd"),
         )
     )
 
@@ -121,12 +126,12 @@ def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False,
     shares = tenant_shares(share_sums(wh, p.three_months_ago, fees))
     j = (ne.join(fees, ["college_id", "degree_id"], "left").join(shares, "college_id", "left")
          .withColumn("deg_avg", F.when(F.col("degree_id").isNotNull(), F.try_element_at("degree_avgs", F.col("degree_id")))))
-    floor0 = F.coalesce(F.col("min_rev_share"), F.lit(0.0))
+    floor0 = money(F.coalesce(F.col("min_rev_share"), F.lit(0.0)))
     value = (
-        F.when(F.col("deg_avg").isNotNull(), F.col("deg_avg"))
+        F.when(F.col("deg_avg").isNotNull(), money("deg_avg"))
         .when(F.col("tuition_usd").isNotNull(),
-              strict_greatest(F.col("enrollment_pct") * F.col("tuition_usd"), floor0))
-        .when(F.col("tenant_avg").isNotNull(), F.col("tenant_avg"))
+              strict_greatest(money_times(F.col("enrollment_pct"), F.col("tuition_usd")), floor0))
+        .when(F.col("tenant_avg").isNotNull(), money("tenant_avg"))
         .otherwise(floor0)
     )
     floor_only = F.col("deg_avg").isNull() & F.col("tuition_usd").isNull() & F.col("tenant_avg").isNull()
@@ -135,6 +140,6 @@ def expected_share_revenue(wh: Warehouse, p: Period, with_rows: bool = False,
             "degree_student_id", "college_id", "degree_id", value.alias("value"),
             share_branch(F.col("tuition_usd"), F.col("deg_avg"), F.col("tenant_avg")).alias("branch"))
     return j.groupBy("college_id").agg(
-        sqlround(F.sum(value), 0).alias("exp_rev_usd"),
+        sqlround(F.sum(value), 0).cast("double").alias("exp_rev_usd"),        # whole dollars: exact as a double, too
         count_if(floor_only).alias("est_from_min_rev"),
     )
