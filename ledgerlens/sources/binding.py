@@ -7,6 +7,11 @@ returns a ``Warehouse`` that reads the written tables. Writing cuts the
 derivation lineage: a lost executor recomputes from the written files, not
 from the raw test tables, and every metric plan starts at a plain parquet
 scan with pushed filters. The result is memoised per session and data set.
+
+Each binding writes to a folder of its own and publishes it by a marker once
+tables and views are whole. Two drivers that bind the same data at once, or one
+that rebuilds while others read, never write to files that another one uses;
+readers take the newest published folder.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -24,25 +30,25 @@ from .warehouse import Warehouse
 
 _BOUND: dict[tuple[str, str], Warehouse] = {}
 _LOCK = threading.RLock()          # one binding at a time per driver process
+MARKER = "_BOUND"
 
 
-def _marker_path(root: str) -> str:
-    return f"{root}/_BOUND"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Marker check through Spark itself, so it works for any file system and session type."""
+def _published(spark: SparkSession, root: str) -> str | None:
+    """The newest folder under ``root`` whose marker was written, listed by Spark (any file system); None if there is none."""
     try:
-        spark.read.text(path).limit(1).collect()
-        return True
+        marker = spark.read.text(f"{root}/*/{MARKER}").select("_metadata.file_modification_time", "value")
+        found = marker.orderBy(F.desc("file_modification_time"), "value").first()
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
-            return False
+            return None
         raise
+    return f"{root}/{found['value']}" if found else None
 
 
-def _touch(spark: SparkSession, path: str) -> None:
-    spark.range(1).selectExpr("'bound' AS value").coalesce(1).write.mode("overwrite").text(path)
+def _publish(spark: SparkSession, folder: str) -> None:
+    """Name ``folder`` as complete. Each writer has a folder and a marker of its own, so no writer touches another's files."""
+    name = folder.rsplit("/", 1)[-1]
+    spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(f"{folder}/{MARKER}")
 
 
 def _session_id(spark: SparkSession) -> str:
@@ -101,23 +107,23 @@ def _bind(spark: SparkSession, sf_dir: str, rebuild: bool) -> Warehouse:
     key = (_session_id(spark), root)
     if key in _BOUND and not rebuild:
         return _BOUND[key]
-    if rebuild or not _exists(spark, _marker_path(root)):
-        Warehouse.from_testdata(spark, sf_dir).write(root)
-        _touch(spark, _marker_path(root))
-    wh = Warehouse.from_parquet_dir(spark, root)
-    wh.tag = root.rstrip("/").rsplit("/", 1)[-1]
-    # Side dimensions are derived from base tables; keep the base loader too.
-    src = Warehouse.from_testdata(spark, sf_dir)
-    wh._loader = src._loader
     from ..operators.pricing import dimension_views
 
-    views = dimension_views()
-    vroot = f"{root}/_views"
-    if rebuild or not _exists(spark, _marker_path(vroot)):
-        wh.materialize_views(vroot, views)
-        _touch(spark, _marker_path(vroot))
+    views, src = dimension_views(), Warehouse.from_testdata(spark, sf_dir)
+    folder = None if rebuild else _published(spark, root)
+    if folder is None:
+        folder = f"{root}/{uuid.uuid4().hex}"
+        Warehouse.from_testdata(spark, sf_dir).write(folder)
+        wh = Warehouse.from_parquet_dir(spark, folder)
+        wh._loader = src._loader
+        wh.materialize_views(f"{folder}/_views", views)
+        _publish(spark, folder)
     else:
+        wh = Warehouse.from_parquet_dir(spark, folder)
         for name in views:
-            wh._views[name] = spark.read.parquet(f"{vroot}/{name}")
+            wh._views[name] = spark.read.parquet(f"{folder}/_views/{name}")
+    wh.tag = root.rstrip("/").rsplit("/", 1)[-1]
+    # Side dimensions are derived from base tables; keep the base loader too.
+    wh._loader = src._loader
     _BOUND[key] = wh
     return wh
