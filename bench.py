@@ -56,6 +56,7 @@ def main() -> None:
 
     t0 = time.time()
     wh = bound_warehouse(spark, sf_dir, rebuild=True)
+    wh.bind_all()
     bind_sec = time.time() - t0
 
     def run(key: str) -> int:
