@@ -33,7 +33,7 @@ from .common import batches, pick, ship
 
 VOCABULARY = "word_bpe_49k.json"
 LONG_WORD = 64                   # symbols; longer words are merged by heap
-BATCH = 1 << 21                  # characters worked on at a time
+BATCH = 1 << 19                  # characters worked on at a time
 NONE = np.int32(2**31 - 1)       # the rank of a pair that doesn't merge
 WHITE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
