@@ -67,6 +67,69 @@ def test_descent_goes_on_while_neighbours_change(spark, tmp_path):
     assert np.mean(hit) >= 0.99
 
 
+def _members(rows):
+    """Rows (at, id, vector, floor, new, own) as the descent sends them to a list."""
+    import pyarrow as pa
+
+    code = lambda v: np.array([1], "<f4").tobytes() + np.array(v, np.int8).tobytes()
+    at, ids, vecs, floor, new, own = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids), pa.array([code(v) for v in vecs]), pa.array(floor, pa.float32()), pa.array(new), pa.array(own)],
+                                      names=["at", "id", "code", "floor", "new", "own"])
+
+
+def test_pairs_that_met_before_are_not_compared_again():
+    low = float("-inf")
+    x = {1: [1, 0], 2: [2, 0], 3: [3, 1], 4: [0, 5]}
+    rows = [(7, i, x[i], low, i == 3, i != 4) for i in (1, 2, 3, 4)] + [(7, 3, x[3], low, False, False)]        # 3 in both directions
+    rows += [(8, i, x[i], low, False, True) for i in (1, 2)] + [(9, 4, x[4], low, True, True)]                   # none new; one alone
+    rows += [(10, i, x[i], 5.5, True, False) for i in (1, 2, 3)]                                                 # floors
+    told, used = collections.defaultdict(dict), {}
+    for size in (2, 100):
+        whole = _members(rows)
+        got = [r for b in ann._compare(8)(whole.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+        pairs = sorted((r["id"], n, s) for r in got for n, s in zip(r["nbr"], r["sim"]))
+        assert pairs == [(1, 3, 3.0), (2, 3, 6.0), (2, 3, 6.0), (3, 1, 3.0), (3, 2, 6.0), (3, 2, 6.0), (3, 4, 5.0), (4, 3, 5.0)]
+        assert [(r["id"], sorted(r["used"])) for r in got if r["used"]] == [(7, [1, 2, 3])]
+
+
+def test_descent_compares_only_what_is_new(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1500, 32)))], "id long, embedding array<float>")
+    nodes = frame.mapInArrow(ann._encode(4), ann.NODE).cache()
+    rounds, real = [], ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df, path: rounds.append((path, real(df, path))) or rounds[-1][1])
+    ann.build_graph(nodes, 1500, str(tmp_path / "g"))
+    graphs = [t.collect() for path, t in rounds if "/graph-" in path]
+    left = [sum(sum(r["new"]) for r in g) / sum(len(r["nbr"]) for r in g) for g in graphs]
+    assert len(graphs) > 3 and left[0] == 1 and left[-1] < 0.01
+    for before, after in zip(graphs, graphs[1:]):
+        old = {r["id"]: set(r["nbr"]) for r in before}
+        for r in after:                                  # all that a node had before has been compared from it
+            assert {n for n, new in zip(r["nbr"], r["new"]) if new} == set(r["nbr"]) - old[r["id"]] and r["fresh"] == sum(r["new"])
+
+
+def test_many_queries_share_copies_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    vecs = rng.standard_normal((300, 6)).astype(np.float32).astype(np.float64)
+    assert _recall(spark, list(range(300)), vecs) == 1
+
+
+def test_tasks_follow_the_nodes_not_the_shuffle_partitions(spark):
+    rows, most = spark.range(1000).withColumnRenamed("id", "at"), spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = [p for p in ann._together(rows, "at", 1000).rdd.glom().map(lambda p: [r["at"] for r in p]).collect()]
+        assert len(parts) <= most and sorted(sum(parts, [])) == list(range(1000)) and all(p == sorted(p) for p in parts)
+        assert most < ann._together(rows, "at", 30 * ann.BLOCK).rdd.getNumPartitions() <= 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_copies_ties_and_unsound_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(4).astype(np.float32).tolist()
